@@ -113,14 +113,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     null. Rows that repeat a doc_id each have a row; as the next document such an id stands for its smallest text.
     With one document the next one is itself. Each text is shuffled once, and a quarter of it once more.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = materialize(next_ids(base.select("doc_id", F.length("text").alias("n"))), "minhash-next")
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = every.where("doc_id is not null")  # the same rows in both joins below, so that one exchange serves both
+    order = materialize(next_ids(every.select("doc_id", F.length("text").alias("n"))), "minhash-next")
     before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), "need")
     heads = base.join(before, "doc_id").select(F.col("to_id").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head"))
     heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
     q = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - q), F.coalesce("head", F.lit("")))
-    both = base.join(heads, "doc_id", "left").select("doc_id", "text", edited.alias("edited"))
+    both = base.join(heads, "doc_id", "left").union(every.where("doc_id is null").withColumn("head", F.lit(""))).select("doc_id", "text", edited.alias("edited"))
     prints = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp"))
     prints = materialize(prints, "minhash-prints")
     follow = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("next_fp")).join(before.select("doc_id", "to_id"), "doc_id").select(F.col("to_id").alias("doc_id"), "next_fp")
