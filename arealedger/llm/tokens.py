@@ -15,12 +15,17 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker process; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: Python counts these as white space, the library doesn't.
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
+#: A stop or comma at a word's end that doesn't follow a letter or digit: it belongs to a run of punctuation.
+PUNCTUATED = re.compile(r"[.,](?=\s|$)(?<![^\W_].)", re.S)
 ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 BYTE_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-LOOSE = re.compile(r" \s|\s ")
+LOOSE = re.compile(r"\s\s")
+#: Two of these in a row, or one of the rest, in a Latin-1 text may make a longer run of white space.
+SPACES = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
+CUT = "\x1d"
 
 
 class PieceCache:
@@ -40,27 +45,49 @@ class PieceCache:
         return self.kept
 
 
+def odd(text: str) -> bool:
+    return any(c in text for c in ODD)
+
+
+def latin(text: str) -> bool:
+    """Whether lower case is a matter of each letter alone, and white space is known."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def word_pieces(text: str) -> list[str]:
-    """For tokenizers that drop white space."""
-    if ODD.search(text):
+    """For lower-casing tokenizers that drop white space: words, and stops and commas at their ends by themselves."""
+    if odd(text):
         return [x for x in ASCII_SPACE.split(text) if x]
+    if not latin(text) or "<|" in text:
+        return text.split()
+    text = text.lower()
+    if not PUNCTUATED.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
     return text.split()
 
 
 def byte_pieces(text: str) -> list[str]:
-    """For byte-level tokenizers that keep one space at the head of a word."""
-    if "<|" in text or ODD.search(text):
+    """For byte-level tokenizers that keep one space at the head of a word: cut before spaces and around line ends."""
+    if "<|" in text or odd(text):
         return [text]
-    if LOOSE.search(text):
+    if any(x in text for x in SPACES) if latin(text) else LOOSE.search(text):
         return BYTE_PIECE.findall(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+    text = text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT)
+    if not PUNCTUATED.search(text):
+        text = text.replace("." + CUT, CUT + "." + CUT).replace("," + CUT, CUT + "," + CUT)
+    return [x for x in text.split(CUT) if x]
 
 
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    GROUP = 100
+    GROUP = 50
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,30 +101,23 @@ class Encoder:
         self.edge, self.cache = edge, PieceCache(self._many)
         self.pieces = word_pieces if self.words else byte_pieces
 
-    def _plain(self, p: str) -> bool:
-        """Whether the ids of p can be told apart in a row of such pieces."""
-        return p.isalpha() if self.words else p[:1] == " " and len(p) > 1 and len(p.split()) == 1 and not p[1:2].isspace() and "<|" not in p
-
     def _many(self, pieces: list[str]) -> list[bytes]:
+        """Plain words are encoded many at once and told apart by the ids that end (or begin) a word."""
         out: dict[str, bytes] = {}
-        plain = [p for p in pieces if self._plain(p)]
-        rest = [p for p in pieces if not self._plain(p)]
+        words = self.words
+        plain = [p for p in pieces if p.isalpha()] if words else [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         groups = [plain[i : i + self.GROUP] for i in range(0, len(plain), self.GROUP)]
-        glue = " " if self.words else ""
+        glue = " " if words else ""
         for g, e in zip(groups, self.tok.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
             ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(self.edge[ids])
-            if len(at) != len(g):
-                rest += g
-                continue
-            ends = at + 1 if self.words else np.append(at[1:], len(ids))
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(g, ends.tolist(), strict=True):
-                out[p] = raw[4 * start : 4 * end]
-                start = end
+            if len(at) == len(g):
+                ends = (4 * at + 4 if words else np.append(4 * at[1:], 4 * len(ids))).tolist()
+                raw = ids.tobytes()
+                out.update(zip(g, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [p for p in pieces if p not in out]
         if rest:
-            for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, "<u4").tobytes()
+            out.update(zip(rest, [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
         return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
