@@ -85,7 +85,7 @@ def complex_concentration(spark, d):
 
 
 @query(f""", c AS (SELECT dong, apt_seq, count(*) AS n FROM valid WHERE q BETWEEN {LAST_QUARTER - 3} AND {LAST_QUARTER} GROUP BY 1, 2), s AS (SELECT dong, sum(n) AS n, max(n) / sum(n) AS share FROM c GROUP BY 1)
-SELECT dong, array_to_string(list_filter([CASE WHEN n < 20 THEN 'FEW_SALES' END, CASE WHEN share > 0.5 THEN 'ONE_COMPLEX_DOMINATES' END], x -> x IS NOT NULL), ';') AS flags FROM s""")
+SELECT dong, array_to_string([x FOR x IN [CASE WHEN n < 20 THEN 'FEW_SALES' END, CASE WHEN share > 0.5 THEN 'ONE_COMPLEX_DOMINATES' END] IF x IS NOT NULL], ';') AS flags FROM s""")
 def sample_flags(spark, d):
     rows = ledger.complex_concentration(valid(spark, d)).where(F.col("as_of") == LAST_QUARTER)
     return rows.select("dong", F.array_join(scalars.sample_flags(F.col("sale_n_valid_4q"), F.col("dominant_share_4q")), ";").alias("flags"))
