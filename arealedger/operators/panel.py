@@ -115,8 +115,8 @@ def peers(matrix: DataFrame, features: list[str], group: str, k: int = 5) -> Dat
 def region_tags(rows: DataFrame, col: str, top: float = 0.3) -> DataFrame:
     """Rows with a positive value at or above that of place ceil(top * n) among positive ones."""
     plus = rows.where(F.col(col) > 0)
-    n = plus.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc(col)))  # distinct values, counted: not rows
-    whole = F.sum("n").over(Window.orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    n = plus.groupBy(col).agg(F.count(F.lit(1)).alias("_rows"))
+    above = F.sum("_rows").over(Window.orderBy(F.desc(col)))  # distinct values, counted: not rows
+    whole = F.sum("_rows").over(Window.orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     cut = n.select(col, above.alias("above"), whole.alias("whole")).where(F.col("above") >= F.ceil(F.col("whole") * F.lit(top) - 1e-9)).agg(F.max(col).alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("tagged", F.coalesce((F.col(col) > 0) & (F.col(col) >= F.col("cut")), F.lit(False)))

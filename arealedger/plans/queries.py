@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quarters, scalars
-from ..operators import ledger, panel, windows
+from ..operators import geometry, hedonic, ledger, panel, windows
 from ..sources.adapter import LAST_QUARTER, SALE_SQL, completions, complexes, table, trade_rent, trade_sale
 
 FIRST = LAST_QUARTER - 26
@@ -103,7 +103,7 @@ def supply_features(spark, d):
 z AS (SELECT s_nationkey || '_S' || s_suppkey AS dong, cast(c_custkey % 100 AS BIGINT) AS households, f, f + 180 AS f2, f + 720 AS f3 FROM customer JOIN o ON o_custkey = c_custkey, n JOIN supplier ON s_suppkey = c_custkey % n.n),
 zz AS (SELECT dong, households, year(f) * 4 + quarter(f) - 1 AS s1, year(f2) * 4 + quarter(f2) - 1 AS s2, year(f3) * 4 + quarter(f3) - 1 AS s3 FROM z),
 k AS (SELECT dong, as_of FROM (SELECT DISTINCT dong FROM valid), range({LAST_QUARTER - 7}, {LAST_QUARTER + 1}) r(as_of))
-SELECT dong, as_of, count_if(s1 <= as_of) AS n_s1, count_if(s2 <= as_of) AS n_s2, count_if(s3 <= as_of) AS n_s3, cast(sum(CASE WHEN s1 <= as_of AND NOT s3 <= as_of THEN households ELSE 0 END) AS BIGINT) AS active_households,
+SELECT dong, as_of, count_if(s1 <= as_of)::BIGINT AS n_s1, count_if(s2 <= as_of)::BIGINT AS n_s2, count_if(s3 <= as_of)::BIGINT AS n_s3, cast(sum(CASE WHEN s1 <= as_of AND NOT s3 <= as_of THEN households ELSE 0 END) AS BIGINT) AS active_households,
 cast(sum((s1 <= as_of AND s1 > as_of - 4)::INT + (s2 <= as_of AND s2 > as_of - 4)::INT + (s3 <= as_of AND s3 > as_of - 4)::INT) AS BIGINT) AS events_4q FROM k JOIN zz USING (dong) GROUP BY 1, 2""")
 def zone_features(spark, d):
     s = table(spark, d, "supplier")
@@ -277,7 +277,7 @@ def event_counts(spark, d):
     return e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
 
 
-@query(f""", c AS (SELECT count(*) AS rows, count_if(price IS NULL) AS missing_price, count_if(NOT regexp_matches(deal_ym, '^[0-9]{{6}}$')) AS bad_month, count_if(dong <> sgg_cd || '_' || umd_nm) AS bad_key, min(deal_ym) AS first_ym, max(deal_ym) AS last_ym FROM sale),
+@query(f""", c AS (SELECT count(*) AS rows, count_if(price IS NULL)::BIGINT AS missing_price, count_if(NOT regexp_matches(deal_ym, '^[0-9]{{6}}$'))::BIGINT AS bad_month, count_if(dong <> sgg_cd || '_' || umd_nm)::BIGINT AS bad_key, min(deal_ym) AS first_ym, max(deal_ym) AS last_ym FROM sale),
 k AS (SELECT count(*) AS repeated FROM (SELECT order_no, floor FROM sale GROUP BY 1, 2 HAVING count(*) > 1)), o AS (SELECT count(*) AS orphans FROM rent r WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.dong = r.dong AND v.q = r.q)) SELECT * FROM c, k, o""")
 def ledger_profile(spark, d):
     s = trade_sale(spark, d)
@@ -285,3 +285,42 @@ def ledger_profile(spark, d):
     k = s.groupBy("order_no", "floor").count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated"))
     o = trade_rent(spark, d).join(valid(spark, d).select("dong", "q").distinct(), ["dong", "q"], "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
     return c.crossJoin(k).crossJoin(o)
+
+
+@query()
+def hedonic_index(spark, d):
+    return hedonic.hedonic_index(valid(spark, d))
+
+
+@query()
+def vintage_indexes(spark, d):
+    """The index as seen at the ends of two years."""
+    return hedonic.hedonic_index(valid(spark, d), origins=[LAST_QUARTER - 8, LAST_QUARTER - 4]).select("origin", "dong", "q", "n_sales", "log_index")
+
+
+@query()
+def repeat_sales_index(spark, d):
+    return hedonic.repeat_sales_index(ledger.repeat_pairs(valid(spark, d)))
+
+
+@query()
+def mae_bootstrap(spark, d):
+    """Own momentum against the city's mean, by dong blocks."""
+    rows = panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4))
+    return hedonic.block_bootstrap(rows.select("dong", F.abs(F.col("y") - F.col("b1")).alias("a"), F.abs(F.col("y") - F.col("b2")).alias("b")), "dong", "a", "b")
+
+
+@query()
+def structure_clusters(spark, d):
+    v = valid(spark, d).groupBy("dong").agg(F.avg("log_ppm2").alias("level"), F.avg("build_year").alias("built"), F.count(F.lit(1)).cast("double").alias("n"))
+    return hedonic.structure_clusters(v, ["level", "built", "n"])
+
+
+@query()
+def complexes_in_squares(spark, d):
+    """Complexes in the tenth-of-a-degree squares of the map that have suppliers of one gu or more."""
+    p = complexes(spark, d).select("apt_seq", F.col("lng").alias("x"), F.col("lat").alias("y"))
+    corner = p.select((F.floor(F.col("x") * 10) / 10).alias("a"), (F.floor(F.col("y") * 10) / 10).alias("b")).distinct()
+    ring = F.array(*[F.array(F.col("a") + i, F.col("b") + j) for i, j in ((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1), (0.0, 0.0))])
+    squares = corner.select(F.concat_ws("_", F.round("a", 1).cast("string"), F.round("b", 1).cast("string")).alias("key"), ring.alias("ring"))
+    return geometry.points_in_polygons(p, squares).select("apt_seq", "key")
