@@ -66,16 +66,16 @@ def eligibility(spark, d):
 @query(""", r AS (SELECT dong, unnest(range(q, q + 4)) AS as_of, is_cancelled, year(deal_date) - build_year AS age FROM sale),
 a AS (SELECT dong, as_of, count(*) AS sale_n_all_4q, round(avg(is_cancelled::INT), 6) AS cancel_share_4q, median(age) AS median_age_4q, round(avg((age >= 30)::INT), 6) AS old30_share_4q FROM r GROUP BY 1, 2),
 p AS (SELECT dong, unnest(range(q, q + 4)) AS as_of, price / area AS ppm2 FROM valid),
-b AS (SELECT dong, as_of, count(*) AS sale_n_valid_4q, round(median(ppm2), 6) AS median_ppm2_4q FROM p GROUP BY 1, 2) SELECT * FROM a LEFT JOIN b USING (dong, as_of)""")
+b AS (SELECT dong, as_of, count(*) AS sale_n_valid_4q, round(median(ppm2), 3) AS median_ppm2_4q FROM p GROUP BY 1, 2) SELECT * FROM a LEFT JOIN b USING (dong, as_of)""")
 def sale_features(spark, d):
     out = ledger.sale_features(trade_sale(spark, d), valid(spark, d))
-    return out.select("dong", "as_of", "sale_n_all_4q", F.round("cancel_share_4q", 6).alias("cancel_share_4q"), "median_age_4q", F.round("old30_share_4q", 6).alias("old30_share_4q"), "sale_n_valid_4q", F.round("median_ppm2_4q", 6).alias("median_ppm2_4q"))
+    return out.select("dong", "as_of", "sale_n_all_4q", F.round("cancel_share_4q", 6).alias("cancel_share_4q"), "median_age_4q", F.round("old30_share_4q", 6).alias("old30_share_4q"), "sale_n_valid_4q", F.round("median_ppm2_4q", 3).alias("median_ppm2_4q"))
 
 
 @query(""", r AS (SELECT dong, unnest(range(q, q + 4)) AS as_of, monthly = 0 AS j, CASE WHEN area > 0 AND deposit > 0 AND monthly = 0 THEN deposit / area END AS p FROM rent)
-SELECT dong, as_of, count(*) AS rent_n_4q, round(avg(j::INT), 6) AS jeonse_share_4q, round(median(p), 6) AS jeonse_ppm2_4q FROM r GROUP BY 1, 2""")
+SELECT dong, as_of, count(*) AS rent_n_4q, round(avg(j::INT), 6) AS jeonse_share_4q, round(median(p), 3) AS jeonse_ppm2_4q FROM r GROUP BY 1, 2""")
 def rent_features(spark, d):
-    return ledger.rent_features(trade_rent(spark, d)).select("dong", "as_of", "rent_n_4q", F.round("jeonse_share_4q", 6).alias("jeonse_share_4q"), F.round("jeonse_ppm2_4q", 6).alias("jeonse_ppm2_4q"))
+    return ledger.rent_features(trade_rent(spark, d)).select("dong", "as_of", "rent_n_4q", F.round("jeonse_share_4q", 6).alias("jeonse_share_4q"), F.round("jeonse_ppm2_4q", 3).alias("jeonse_ppm2_4q"))
 
 
 @query(""", c AS (SELECT dong, apt_seq, unnest(range(q, q + 4)) AS as_of FROM valid), e AS (SELECT dong, as_of, apt_seq, count(*) AS n FROM c GROUP BY 1, 2, 3)
