@@ -7,9 +7,11 @@ import heapq
 import json
 import unicodedata
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import PieceCache, in_slices, word_pieces
 
@@ -142,9 +144,6 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
     """df with an array of token ids of each text."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("array<int>")
     def ids(s: pd.Series) -> pd.Series:
         c = codec(path)
@@ -155,9 +154,6 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") ->
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the text of each array of token ids."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def text(s: pd.Series) -> pd.Series:
         c = codec(path)

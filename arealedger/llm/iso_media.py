@@ -6,8 +6,10 @@ import hashlib
 import struct
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import in_slices
 
@@ -159,9 +161,6 @@ def media_index(df: DataFrame, media: str = "media", to: str = "media_index") ->
 
     A null or malformed container gives null.
     """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("array<struct<codec: string, handler: string, seconds: double, samples: bigint, keyframes: array<struct<start: bigint, end: bigint>>>>")
     def index(s: pd.Series) -> pd.Series:
         def one(raw):

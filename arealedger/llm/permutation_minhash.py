@@ -84,7 +84,7 @@ def likeness(a: Column, b: Column) -> Column:
     xors = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
     same = F.aggregate(xors, F.lit(0), lambda s, x: s + sum((F.when(F.shiftright(x, BITS * k).bitwiseAND(F.lit(full)) == 0, 1).otherwise(0) for k in range(_PER)), F.lit(0)))
     chance = 2.0**-BITS
-    return F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance))
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
 def to_hex(packs: Column) -> Column:

@@ -89,7 +89,7 @@ class WaveletMatrix:
     def count(self, c: int, start: int = 0, end: int | None = None) -> int:
         """Occurrences of id c at places start to end."""
         a, b = self._range(c, start, self.n if end is None else end)
-        return b - a
+        return max(0, b - a)
 
     def select(self, c: int, k: int) -> int:
         """Place of occurrence k (from 0) of id c; -1 if there is none."""

@@ -263,7 +263,7 @@ def test_toxicity(spark, docs, none):
     for i in range(600):
         t = sentence(rng, rng.randint(5, 60))
         if i % 5 == 0:
-            t += " you " + rng.choice(["vileone", "vilekin", "scoundrel"]) + " " + sentence(rng, 5)
+            t += " " + rng.choice(["vileone", "vilekin", "scoundrel"]) + " " + sentence(rng, 5)
         rows_.append((i, t, int(i % 5 == 0)))
     table = spark.createDataFrame(rows_, "doc_id bigint, text string, toxic int")
     out = toxic_crf.toxicity(table.select("doc_id", "text").union(spark.createDataFrame([(9000, None), (9001, ""), (None, "x")], "doc_id bigint, text string")), table.select("doc_id", "toxic"))
