@@ -132,7 +132,7 @@ def _emissions(key: str) -> dict[str, float]:
 def lexicon(labelled: DataFrame, limit: int = LEXICON) -> set[str]:
     """Words and first letters that mark toxic documents, from counts over all rows of labelled (text, toxic).
 
-    At least 5 toxic documents, odds 8 times those in clean ones, 3 standard errors above even; the `limit` strongest.
+    At least 5 toxic documents and one in a hundred of them, odds 8 times those in clean ones, 3 standard errors above even; the `limit` strongest.
     """
     words = labelled.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("w")).where("w <> ''")
     stems = F.array(F.concat(F.lit("w:"), "w"), *[F.when(F.length("w") >= k, F.concat(F.lit("p:"), F.substring("w", 1, k))) for k in PREFIXES])
@@ -143,7 +143,7 @@ def lexicon(labelled: DataFrame, limit: int = LEXICON) -> set[str]:
         return set()
     ratio = F.log((F.col("bad") + 0.5) / (totals["n_bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (totals["n_good"] + 1.0))
     z = ratio / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    found = counts.where((ratio >= float(np.log(8))) & (z >= 3)).orderBy(z.desc(), "term").limit(limit)
+    found = counts.where((F.col("bad") >= 0.01 * totals["n_bad"]) & (ratio >= float(np.log(8))) & (z >= 3)).orderBy(z.desc(), "term").limit(limit)
     return {r["term"] for r in found.select("term").collect()}
 
 
@@ -199,6 +199,24 @@ def fit_field(texts: list[str], toxic: list[int], marks: set[str], epochs: int =
     return fit
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, toxic) with one document of each group of near copies: else a much copied text's own words
+    would look like signs of its label.
+
+    In each of four passes documents of one label that share the least hash of their 3-word runs, under that pass's
+    seed, leave the one with the smallest doc_id. Only ids and hashes are regrouped, then joined back.
+    """
+    words = F.split("text", r"\s+")
+    runs = lambda s: F.array_min(F.transform(F.col("_runs"), lambda h: F.xxhash64(h, F.lit(s))))
+    hashed = rows.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
+    pairs = F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, 1 << 30).alias("b"), F.slice("_words", 3, 1 << 30).alias("c"))
+    hashed = hashed.select("doc_id", "toxic", F.transform(pairs, lambda x: F.xxhash64(x["a"], x["b"], x["c"])).alias("_runs"))
+    left = materialize(hashed.select("doc_id", "toxic", *[runs(s).alias(f"s{s}") for s in range(4)]), "toxic-copies")
+    for s in range(4):
+        left = left.groupBy("toxic", f"s{s}").agg(F.min(F.struct("doc_id", *[f"s{k}" for k in range(4)])).alias("r")).select("toxic", "r.*")
+    return rows.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """Fit on labelled rows whose crc32(doc_id as text) mod 5 isn't 0. Rows without label or id teach nothing.
 
@@ -206,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
     """
     of = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(of, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = materialize(rows, "toxic-train")
+    rows = materialize(one_of_copies(materialize(rows, "toxic-labelled")), "toxic-train")
     marks = lexicon(rows)
     sample = []
     for label in (0, 1):
