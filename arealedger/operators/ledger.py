@@ -75,7 +75,7 @@ def map_complexes(complexes: DataFrame, trades: DataFrame) -> DataFrame:
 
 def repeat_pairs(valid: DataFrame) -> DataFrame:
     """Consecutive trades of a cell in different quarters."""
-    w = Window.partitionBy("cell").orderBy("q", "deal_date", "log_ppm2", "order_no")
+    w = Window.partitionBy("cell").orderBy("q", "deal_date", "order_no", "log_ppm2")
     rows = valid.select("cell", "dong", "q", F.lag("q").over(w).alias("q0"), (F.col("log_ppm2") - F.lag("log_ppm2").over(w)).alias("change"))
     return rows.where("q0 is not null and q0 <> q")
 

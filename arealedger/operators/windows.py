@@ -89,7 +89,8 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.select(*by, pct_rank_avg(a, by).alias("_a"), pct_rank_avg(b, by).alias("_b"))
     flat = (F.stddev_pop("_a") == 0) | (F.stddev_pop("_b") == 0)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, F.corr("_a", "_b")).alias("spearman"))
+    r = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, r).alias("spearman"))
 
 
 def top_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:

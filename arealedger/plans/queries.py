@@ -163,7 +163,7 @@ def gamma_choice(spark, d):
     return panel.choose_gamma(rows).withColumn("mae", F.round("mae", 6))
 
 
-@query(""", r AS (SELECT cell, dong, q, lag(q) OVER w AS q0, log_ppm2 - lag(log_ppm2) OVER w AS change FROM valid WINDOW w AS (PARTITION BY cell ORDER BY q, deal_date, log_ppm2, order_no))
+@query(""", r AS (SELECT cell, dong, q, lag(q) OVER w AS q0, log_ppm2 - lag(log_ppm2) OVER w AS change FROM valid WINDOW w AS (PARTITION BY cell ORDER BY q, deal_date, order_no, log_ppm2))
 SELECT dong, q0, q, count(*) AS pairs, round(sum(change), 5) AS change FROM r WHERE q0 IS NOT NULL AND q0 <> q GROUP BY 1, 2, 3""")
 def repeat_pairs(spark, d):
     return ledger.repeat_pairs(valid(spark, d)).groupBy("dong", "q0", "q").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("change"), 5).alias("change"))

@@ -10,6 +10,7 @@ from ..functions.quarters import quarter_ord
 
 def event_windows(events: DataFrame, window: str = "1 hour", late: str = "30 days") -> DataFrame:
     """Counts by event type and window; rows later than `late` are left out when streamed."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("event_type", F.col("window.start").alias("start"), "n", "total")
 
 
