@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .common import materialize, running_totals
 SHARDS, ROUNDS = 24, 4
 #: Room of a shard while labels move, as a multiple of an even share; the last cut then makes sizes even.
 SLACK = 1.1
+#: Nodes of one link that a join task meets under one key.
+SPREAD = 256
 
 
 def share(*cols: Column) -> Column:
@@ -24,18 +28,24 @@ def propagate(members: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     among equals), its other nodes ask to move there, and a shard admits as large a part of those that ask as its
     quota leaves room for: by link, so that links move whole, and by node where a link alone is larger than the room.
     A node of several links follows the largest of them. Nodes without a neighbour go anywhere and take no room. A link is only ever
-    counted by label, and the counts by shard are the one thing broadcast: `shards` rows.
+    counted by label, and its wish goes out to its nodes in parts of some SPREAD nodes, so that a link with most of
+    the nodes is spread over tasks. The counts by shard are the one thing broadcast: `shards` rows.
     """
-    sizes = members.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
     now = materialize(members.select("node", "link").withColumn("label", F.floor(share("node", F.lit(-1)) * shards).cast("int")), "propagation")
-    linked = materialize(now.join(sizes, "link"), "propagation-linked")
     nodes = now.select("node").distinct().count()
+    # Counted in pieces first, as many as the square root of the nodes: no task of these joins meets a whole link.
+    cut = now.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(math.isqrt(nodes) + 1)))
+    pieces = cut.groupBy("link", "piece").agg(F.count("*").alias("n"))
+    sizes = pieces.groupBy("link").agg(F.sum("n").alias("n")).where("n > 1")
+    linked = cut.join(pieces.select("link", "piece").join(sizes, "link"), ["link", "piece"]).select("node", "link", "label", "n")
+    linked = materialize(linked, "propagation-linked")
     cap = SLACK * nodes / shards
     alone = now.join(linked.select("node").distinct(), "node", "left_anti").select("node", "link", "label")
     for k in range(rounds):
         votes = linked.groupBy("link", "label").agg(F.count("*").alias("votes"))
-        wish = votes.groupBy("link").agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("to"))
-        asks = linked.join(wish, "link")
+        wish = votes.groupBy("link").agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("to"), F.sum("votes").alias("members"))
+        wish = wish.select("link", "to", F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / SPREAD))).alias("part"))
+        asks = linked.withColumn("part", F.pmod(F.xxhash64("node"), F.floor(F.col("n") / SPREAD) + 1)).join(wish, ["link", "part"])
         best = asks.groupBy("node").agg(F.max_by(F.struct("to", "link", "n"), F.struct("n", "to")).alias("b"), F.first("label").alias("label")).select("node", "label", "b.*")
         best = materialize(best, "propagation-asks")
         load = best.groupBy("label").agg(F.count("*").alias("busy"), F.sum(F.when(F.col("to") != F.col("label"), 1).otherwise(0)).alias("leave"))
