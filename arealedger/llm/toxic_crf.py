@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field; forward-backward marginals give document scores.
 
 Labels are of documents, so token labels are derived first: a term (a word or its first letters) that stands far more
-often in toxic than in clean labelled documents marks tokens of toxic documents. These counts cover all labelled
-training rows. The field is fitted on a bounded sample of them (TRAIN_DOCS of each label) and tags every whole text.
+often in toxic than in clean labelled documents marks tokens of toxic documents. These counts cover a bounded sample of
+the labelled training rows (about TRAIN_ROWS of each label, all where there are fewer); the field is fitted on
+TRAIN_DOCS of them of each label and tags every whole text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 from .tokens import in_slices
 
+#: Labelled documents of each label, about, whose terms are counted.
+TRAIN_ROWS = 20_000
 #: Documents of each label in the fitting sample.
 TRAIN_DOCS = 800
 #: The fitting sample takes whole texts of up to so many characters.
@@ -217,19 +220,35 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
     return rows.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """(doc_id, text, toxic) of about train_rows documents of each label, or all of them, drawn by a hash of the id.
+
+    Who is drawn is settled on ids and labels alone, so that texts are never regrouped: the drawn ids, twice train_rows
+    of them about, are broadcast to one scan of the texts.
+    """
+    of = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
+    of = of.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    known = materialize(of.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic-known")
+    share = known.groupBy("toxic").agg((F.lit(float(train_rows)) / F.count("*")).alias("share"))
+    place = F.shiftright(F.xxhash64("doc_id"), 11).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    drawn = materialize(known.join(F.broadcast(share), "toxic").where(place < F.col("share")).select("doc_id", "toxic"), "toxic-drawn")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(texts.join(F.broadcast(drawn), "doc_id"), "toxic-labelled")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Field:
     """Fit on labelled rows whose crc32(doc_id as text) mod 5 isn't 0. Rows without label or id teach nothing.
 
     A doc_id labelled twice counts as toxic if one label says so. Without both labels every score is that of no sign.
     """
-    of = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(of, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = materialize(one_of_copies(materialize(rows, "toxic-labelled")), "toxic-train")
+    rows = materialize(one_of_copies(training_rows(docs, labels, train_rows)), "toxic-train")
     marks = lexicon(rows)
     sample = []
     for label in (0, 1):
         some = rows.where((F.col("toxic") == label) & (F.length("text") <= TRAIN_CHARS))
-        sample += some.orderBy(F.xxhash64("doc_id", "text")).limit(train_docs).select("text", "toxic").collect()
+        first = some.select("doc_id", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(train_docs).select("doc_id").distinct()
+        found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "text", "toxic").collect()
+        sample += sorted(found, key=lambda r: (r["doc_id"], r["text"]))
     return fit_field([r["text"] for r in sample], [r["toxic"] for r in sample], marks)
 
 
