@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from arealedger.functions import quarters, scalars
 from arealedger.operators import geometry, hedonic, ledger, quality, windows
+from arealedger.plans import forecasts  # noqa: F401  (adds its queries)
 from arealedger.plans.queries import ORACLE, QUERIES
 from arealedger.sources import files
 from arealedger.streaming import vintages
