@@ -136,8 +136,8 @@ def structure_z(spark, d):
     return catalog.structure_z(f.select("dong", "level", "n"), f, ["level", "n"]).withColumn("z", F.round("z", 6))
 
 
-@query(f""", c AS (SELECT dong, sgg_cd AS gu_name, umd_nm AS umd_name, count(*) AS n, round(median(price / area), 4) AS price FROM valid WHERE q > {LAST_QUARTER - 4} GROUP BY 1, 2, 3) SELECT dong, price FROM c WHERE contains(gu_name || ' ' || umd_name, 'S1') AND n < 20 AND price BETWEEN 1000 AND 1600""")
+@query(f""", c AS (SELECT dong, sgg_cd AS gu_name, umd_nm AS umd_name, count(*) AS n, round(median(price / area), 4) AS price FROM valid WHERE q > {LAST_QUARTER - 4} GROUP BY 1, 2, 3) SELECT dong, price FROM c WHERE contains(gu_name || ' ' || umd_name, 'S1') AND n >= 20 AND price BETWEEN 1000 AND 2000""")
 def catalog_filter(spark, d):
     c = valid(spark, d).where(F.col("q") > LAST_QUARTER - 4).groupBy("dong", F.col("sgg_cd").alias("gu_name"), F.col("umd_nm").alias("umd_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(F.col("price") / F.col("area")), 4).alias("price"))
     c = c.withColumn("flags", scalars.sample_flags(F.col("n"), F.lit(0.0)))
-    return catalog.filter_dongs(c, "S1", flagged=True, band=(1000, 1600)).select("dong", "price")
+    return catalog.filter_dongs(c, "S1", flagged=False, band=(1000, 2000)).select("dong", "price")
