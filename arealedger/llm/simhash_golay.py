@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialize
+from .common import connected_components, materialize
+from .shingle_groups import LEAST, WORDS, keep_one
 from .tokens import in_slices
 
 #: Generator polynomial of the binary [23, 12, 7] Golay code.
@@ -143,12 +144,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest doc_id (among equal ids, one)."""
-    fp = fresh(docs, "_fp")
-    tagged = materialize(with_fingerprint(docs, to=fp), "simhash-docs")
-    same = materialize(components(tagged.select("doc_id", F.col(fp).alias("fp"))), "simhash-marks")
-    kept = fresh(docs, "_component")
-    marks = same.select(F.col("fp").alias(f"{fp}k"), F.col("component_id").alias(kept))
-    out = tagged.join(marks, F.col(fp) == F.col(f"{fp}k")).where(F.col("doc_id").eqNullSafe(F.col(kept)))
-    return out.dropDuplicates(["doc_id", kept]).select(*docs.columns)
+def keep_one_per_group(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the smallest doc_id (among equal ids, one).
+
+    Groups are those of exact shingle likeness, `least` or more over `words` words; such copies differ in 3 to 11 bits
+    of a fingerprint as a rule, so op8's links at 2 bits would miss them.
+    """
+    return keep_one(docs, words, least)

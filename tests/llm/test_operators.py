@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arealedger.llm import bpe_codec, chat_rotation, config_packing, iso_media, label_propagation, permutation_minhash, secret_battery, simhash_golay, toxic_crf, wavelet_tokens
+from arealedger.llm import bpe_codec, chat_rotation, config_packing, iso_media, label_propagation, permutation_minhash, secret_battery, shingle_groups, simhash_golay, toxic_crf, wavelet_tokens
 from arealedger.llm.common import connected_components, running_totals
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -166,6 +166,53 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in got})
 
 
+def brute_groups(rows_, words=5, num=4, den=5):
+    """Smallest id of each group linked by exact shingle likeness of num / den or more."""
+    def shingles(x):
+        w = x.encode().lower().split()
+        return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1)))
+
+    sets = [(k, shingles(x or "")) for k, x in rows_]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if len(a & b) * den >= len(a | b) * num and find(i) != find(j):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (k, _) in enumerate(sets):
+        groups.setdefault(find(i), []).append(k)
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("paired", [2, 64])
+def test_near_copies_against_brute_force(spark, paired):
+    rng = random.Random(paired)
+    made, line = [], sentence(rng, 12)
+    for g in range(25):
+        base = [sentence(rng, 1) for _ in range(rng.randint(8, 150))]
+        for _ in range(rng.choice([1, 2, 12])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randint(0, 10**6))
+            made.append(" ".join(w) + (" " + line if g % 3 == 0 else ""))
+    made += ["", " ", "one two", "One  two", "two one"]
+    rows_ = list(enumerate(made))
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    want = brute_groups(rows_)
+    assert sorted(r["doc_id"] for r in shingle_groups.keep_one(df, paired=paired).collect()) == want
+    if paired == 64:
+        kept = simhash_golay.keep_one_per_group(df)
+        assert sorted(r["doc_id"] for r in kept.collect()) == want
+        assert len({r["component_id"] for r in simhash_golay.simhash_groups(df).collect()}) > len(want)
+    assert shingle_groups.keep_one(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("paired", [0, 3, 64])
 def test_golay_links(spark, paired):
     rng = random.Random(paired)
