@@ -1,8 +1,13 @@
-"""Packing token sequences by the configuration linear program over the length histogram."""
+"""Packing token sequences by the configuration linear program over the length histogram.
+
+The program is solved by multiplicative weights with knapsack dynamic-programming prices, then rounded; only the
+histogram, of at most `size` rows, is looked at outside Spark.
+"""
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,36 +15,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, running_totals
-from .tokens import encoder, in_slices
-
-#: Rounds of the multiplicative-weights solver.
-ROUNDS = 300
-#: How fast a covered length loses its weight.
-RATE = 0.5
-
-
-def best_pattern(value: np.ndarray, size: int) -> np.ndarray:
-    """Counts by length of a fullest-valued sequence: unbounded knapsack over capacities (value[l] of length l)."""
-    lengths = np.flatnonzero(value > 0)
-    v = value[lengths]
-    best, choice = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        if k:
-            tried = best[c - lengths[:k]] + v[:k]
-            j = int(tried.argmax())
-            if tried[j] > best[c - 1]:
-                best[c], choice[c] = tried[j], lengths[j]
+from .tokens import encoder, text_slices
+
+#: The program ends once every length is covered so many times over (the result is scaled), or after ROUNDS rounds.
+PASSES, ROUNDS = 2, 400
+#: How fast a covered length loses its weight, and how far over the least covered one it still counts.
+RATE, SLACK = 0.5, 1.0
+#: A round raises up to FAN patterns whose value is within NEAR of the best one's.
+FAN, NEAR = 32, 0.02
+#: Times the program is solved, each time for what rounding left.
+RESOLVES = 4
+#: Parts of a rounding after each of which the closing is tried.
+PARTS = 4
+
+
+class Knapsack:
+    """Unbounded knapsack by dynamic programming: best[c] is the most value that capacity c holds.
+
+    Among patterns of equal value the one with longer items is taken, so short ones stay for later.
+    """
+
+    def __init__(self, value: np.ndarray, size: int):
+        lengths = np.flatnonzero(value > 0)[::-1].copy()
+        v, self.best, self.choice = value[lengths], np.zeros(size + 1), np.zeros(size + 1, np.int64)
+        firsts = len(lengths) - np.searchsorted(lengths[::-1], np.arange(size + 1), side="right")
+        for c in range(1, size + 1):
+            k = firsts[c]
+            self.best[c] = self.best[c - 1]
+            if k < len(lengths):
+                tried = self.best[c - lengths[k:]] + v[k:]
+                j = int(tried.argmax())
+                if tried[j] > self.best[c] + 1e-12:
+                    self.best[c], self.choice[c] = tried[j], lengths[k + j]
+
+    def pattern(self, c: int) -> dict[int, int]:
+        """length -> count of a best filling of capacity c."""
+        out: dict[int, int] = {}
+        while c > 0:
+            length = int(self.choice[c])
+            if length:
+                out[length] = out.get(length, 0) + 1
+            c -= length or 1
+        return out
+
+
+def program(n: np.ndarray, size: int, passes: int = PASSES, rounds: int = ROUNDS) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """(x, covered, bound) of the covering program min sum(x), sum(pattern * x) >= n, by multiplicative weights.
+
+    x: weight of each pattern, a sorted tuple of (length, count). covered: how many times over x covers each length. A
+    length's price falls by the factor exp(-RATE) for each time it is covered, from a start that grows with the length;
+    lengths over SLACK times better covered than the worst one have no price. Each round runs the knapsack once and
+    reads from its table the best pattern with each of the worst covered lengths. bound: the largest value of the dual that
+    prices gave, each scaled so that no pattern is worth more than 1; no packing takes fewer sequences.
+    """
+    used = np.flatnonzero(n)
+    covered, x = np.zeros(size + 1), {}
+    bound = float(n @ np.arange(size + 1)) / size
+    for _ in range(rounds):
+        low = covered[used].min()
+        if low >= passes:
+            break
+        live = used[covered[used] <= low + SLACK]
+        price = np.zeros(size + 1)
+        price[live] = live * (1 + live / size) * np.exp(-RATE * (covered[live] - low))
+        table = Knapsack(price, size)
+        bound = max(bound, float(price @ n) / table.best[size])
+        near = live[price[live] + table.best[size - live] >= (1 - NEAR) * table.best[size]]
+        for length in near[np.lexsort((-near, np.round(covered[near], 1)))][:FAN].tolist():
+            p = table.pattern(size - length)
+            p[length] = p.get(length, 0) + 1
+            if any(covered[a] > low + SLACK for a in p):
                 continue
-        best[c] = best[c - 1]
-    out, c = np.zeros(size + 1, np.int64), size
-    while c > 0:
-        if choice[c]:
-            out[choice[c]] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return out
+            step = min(float(n[a]) / k for a, k in p.items())
+            key = tuple(sorted(p.items()))
+            x[key] = x.get(key, 0.0) + step
+            for a, k in p.items():
+                covered[a] += k * step / n[a]
+    return x, covered, bound
 
 
 def fill(left: np.ndarray, first: int, size: int) -> np.ndarray:
@@ -112,63 +164,83 @@ def fullest(left: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def solve(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times) that use each length exactly as often as counts says.
+@dataclass
+class Plan:
+    """patterns: (length -> count, times); program: sequences that come from the program; bound: no packing has fewer."""
+
+    patterns: list[tuple[dict[int, int], int]]
+    program: int
+    bound: float
+
+    @property
+    def sequences(self) -> int:
+        return sum(k for _, k in self.patterns)
+
+
+def closed(left: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """What is left, packed longest first: by best fit, or by fullest choice where there is little and that takes fewer."""
+    ways = [best_fit(left, size)] + ([fullest(left, size)] if left.sum() < 1500 else [])
+    return min(ways, key=lambda ps: sum(k for _, k in ps))
+
 
-    The covering program min sum(x) with sum(pattern * x) >= counts is solved by multiplicative weights: each round
-    prices lengths by how little of them is covered, takes the best sequence by knapsack dynamic programming and
-    raises it until a length in it gains its full count. The scaled x are rounded down and cut to what is left; the
-    rest is packed longest item first, by best fit or by fullest choice, whichever takes fewer sequences.
+def solve(counts: dict[int, int], size: int, resolves: int = RESOLVES) -> Plan:
+    """Patterns that use each length exactly as often as counts says, in as few sequences as it can.
+
+    The program's x is scaled so that no length is used more often than it occurs, and its patterns that fill a sequence are
+    rounded, as far as items last; what is left is a smaller program, solved again, up to `resolves` times. The rest is
+    closed longest first. Rounding can go too far, so after each of PARTS parts of it the closing is tried, and the end
+    with the fewest sequences in all is kept, the last among equals.
     """
-    n = np.zeros(size + 1, np.int64)
+    left = np.zeros(size + 1, np.int64)
     for length, k in counts.items():
-        n[length] = k
-    if not n.any():
-        return []
-    used, have = n > 0, np.where(n > 0, n, 1)
-    covered, x = np.zeros(size + 1), {}
-    for _ in range(rounds):
-        weight = np.where(used, np.exp(-RATE * (covered - covered[used].min())) / have, 0.0)
-        p = best_pattern(weight, size)
-        step = float((n[p > 0] / p[p > 0]).min())
-        key = p.tobytes()
-        x[key] = x.get(key, 0.0) + step
-        covered += p * step / have
-    total = sum(np.frombuffer(k, np.int64) * v for k, v in x.items())
-    scale = float((total[used] / n[used]).max())
-    left, out = n.copy(), []
-    for key, times in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])):
-        p = np.frombuffer(key, np.int64)
-        if int(p @ np.arange(size + 1)) < size:  # only full ones: the fills below may do better than the others
-            continue
-        k = min(int(times / max(scale, 1e-9)), int((left[p > 0] // p[p > 0]).min()))
-        if k > 0:
-            out.append((p, k))
-            left = left - p * k
-    out += min((best_fit(left, size), fullest(left, size)), key=lambda ps: sum(k for _, k in ps))
-    return [({int(i): int(p[i]) for i in np.flatnonzero(p)[::-1]}, k) for p, k in out]
+        left[length] = k
+    taken: list[tuple[dict[int, int], int]] = []
+    rest = closed(left, size)
+    best, bound = (sum(k for _, k in rest), 0, rest), 0.0
+    for step in range(resolves):
+        if not left.any():
+            break
+        x, covered, found = program(left, size)
+        bound = found if step == 0 else bound
+        scaled = [(key, int(times / covered.max() + 0.5)) for key, times in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])) if sum(a * c for a, c in key) == size]
+        whole, seen, part = sum(times for _, times in scaled), 0, 1
+        for key, times in scaled:
+            k = min(times, *(int(left[a]) // c for a, c in key))
+            if k > 0:
+                for a, c in key:
+                    left[a] -= c * k
+                taken.append((dict(reversed(key)), k))
+            seen += times
+            if times and seen * PARTS >= whole * part:
+                part, rest = part + 1, closed(left, size)
+                total = sum(k for _, k in taken) + sum(k for _, k in rest)
+                if total <= best[0]:
+                    best = (total, len(taken), rest)
+    patterns = taken[: best[1]] + [({int(i): int(p[i]) for i in np.flatnonzero(p)[::-1]}, k) for p, k in best[2]]
+    return Plan(patterns, sum(k for _, k in taken[: best[1]]), bound)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents in pieces of at most `size` ids, the first one shorter."""
 
     def run(batches):
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc = encoder(path)
         for b in batches:
-            for keys, texts in in_slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = []
-                for key, raw in zip(keys, enc.encode(texts), strict=True):
-                    raw += end
-                    n = len(raw) // 4
+            keys, col = b.column(0).to_pylist(), b.column(1)
+            for lo, hi in text_slices(col):
+                ids, own = enc.flat(col.slice(lo, hi - lo))
+                raw, at, rows = memoryview(np.insert(ids, np.cumsum(own), end_id).astype("<u4").tobytes()), 0, []
+                for key, n in zip(keys[lo:hi], (own + 1).tolist(), strict=True):
                     cuts = [0, *range(n % size or size, n + 1, size)]
-                    rows += [(key, k, a, z - a, zlib.crc32(raw[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                    rows += [(key, k, a, z - a, zlib.crc32(raw[4 * (at + a) : 4 * (at + z)])) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                    at += n
                 doc, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack(items: DataFrame, size: int, order: tuple[str, ...], rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, size: int, order: tuple[str, ...]) -> DataFrame:
     """items (column length, 1 to size) with sequence_id and offset.
 
     Only the histogram, of at most `size` rows, comes to the driver. Items take places by their rank among equal
@@ -179,7 +251,7 @@ def pack(items: DataFrame, size: int, order: tuple[str, ...], rounds: int = ROUN
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     full = counts.pop(size, 0)
     taken, base, plan = {}, full, [(size, 0, full, 0, 1, 0)] if full else []
-    for pattern, times in solve(counts, size, rounds):
+    for pattern, times in solve(counts, size).patterns:
         at = 0
         for length, each in pattern.items():
             first = taken.get(length, 0)
@@ -195,6 +267,10 @@ def pack(items: DataFrame, size: int, order: tuple[str, ...], rounds: int = ROUN
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece of each document row; an empty or null text is a piece of the end id alone."""
+    """One row per piece of each document row; an empty or null text is a piece of the end id alone.
+
+    Rows that repeat a doc_id are packed as documents of their own; pieces of equal length are interchangeable, so which
+    of them stands where follows doc_id (null first), piece and checksum. Other columns are not looked at.
+    """
     cut = materialize(pieces(docs, path, end_id, size), "packing-pieces")
     return pack(cut, size, ("doc_id", "piece", "ids_crc32"))

@@ -1,30 +1,36 @@
 """Exact token ids of whole texts from the tokenizers library, with the ids of white-space-free pieces kept per worker.
 
 Neither tokenizer here merges across the piece boundaries used, so the ids of a text are those of its pieces in a
-row. Texts for which that might not hold (special-token strings, unusual separators) are encoded whole.
+row. Texts are cut, and equal pieces found, by Arrow's kernels; ids are put together by NumPy. Texts for which the
+boundaries might not hold (special-token strings, unusual separators) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker process; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_PIECES = 800_000
-#: Python counts these as white space, the library doesn't.
+CACHE_PIECES = 1_200_000
+#: Bytes of text that are worked on at once (one longer text is a slice of its own).
+SLICE = 10_000_000
+#: Python and Arrow count these as white space, the library doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
 #: A stop or comma at a word's end that doesn't follow a letter or digit: it belongs to a run of punctuation.
 PUNCTUATED = re.compile(r"[.,](?=\s|$)(?<![^\W_].)", re.S)
 ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 BYTE_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-LOOSE = re.compile(r"\s\s")
-#: Two of these in a row, or one of the rest, in a Latin-1 text may make a longer run of white space.
-SPACES = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
+#: White space other than single blanks and line ends between other characters.
+LOOSE = r"\s\s|[\t\r\x0b\x0c\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPECIAL = "<\\||[\x1c-\x1f]"
 CUT = "\x1d"
 
 
@@ -72,58 +78,113 @@ def word_pieces(text: str) -> list[str]:
     return text.split()
 
 
-def byte_pieces(text: str) -> list[str]:
-    """For byte-level tokenizers that keep one space at the head of a word: cut before spaces and around line ends."""
-    if "<|" in text or odd(text):
-        return [text]
-    if any(x in text for x in SPACES) if latin(text) else LOOSE.search(text):
-        return BYTE_PIECE.findall(text)
-    text = text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT)
-    if not PUNCTUATED.search(text):
-        text = text.replace("." + CUT, CUT + "." + CUT).replace("," + CUT, CUT + "," + CUT)
-    return [x for x in text.split(CUT) if x]
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool (starts, sizes) numbered by `at`, laid end to end, and the size of each."""
+    sizes = sizes[at]
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return pool[:0], sizes
+    kind = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
+    return pool[np.repeat((starts[at] - (ends - sizes)).astype(kind), sizes) + np.arange(ends[-1], dtype=kind)], sizes
 
 
 class Encoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """ids of whole texts: little-endian unsigned 32-bit, all texts' ids in a row and how many each has."""
 
-    GROUP = 50
+    #: Pieces that go through the library in one string, told apart by the file's special token.
+    GROUP = 200
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.limit = Tokenizer.from_file(path), limit
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.words = any(t.endswith("</w>") for t in vocab)
-        edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        for t, i in vocab.items():
-            edge[i] = t.endswith("</w>") if self.words else t.startswith("Ġ")
-        self.edge, self.cache = edge, PieceCache(self._many)
-        self.pieces = word_pieces if self.words else byte_pieces
-
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """Plain words are encoded many at once and told apart by the ids that end (or begin) a word."""
-        out: dict[str, bytes] = {}
-        words = self.words
-        plain = [p for p in pieces if p.isalpha()] if words else [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        groups = [plain[i : i + self.GROUP] for i in range(0, len(plain), self.GROUP)]
-        glue = " " if words else ""
-        for g, e in zip(groups, self.tok.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(self.edge[ids])
-            if len(at) == len(g):
-                ends = (4 * at + 4 if words else np.append(4 * at[1:], 4 * len(ids))).tolist()
-                raw = ids.tobytes()
-                out.update(zip(g, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
-        rest = [p for p in pieces if p not in out]
-        if rest:
-            out.update(zip(rest, [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
-        return [out[p] for p in pieces]
+        self.mark = "<|endoftext|>" if "<|endoftext|>" in vocab else None
+        self.mark_id = vocab.get(self.mark, -1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _library(self, pieces: list[str]) -> list[np.ndarray]:
+        """Pieces without special-token strings, many to a call."""
+        out: list[np.ndarray] = []
+        size = self.GROUP if self.mark else 1
+        groups = [pieces[i : i + size] for i in range(0, len(pieces), size)]
+        joined = [(self.mark or "").join(g) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False) if groups else [], strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id) if self.mark else np.zeros(0, np.int64)
+            if len(at) != len(g) - 1:
+                raise RuntimeError("pieces of a group can't be told apart")
+            out += [ids[a:z] for a, z in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Add the ids of unknown pieces."""
+        made = self._library(pieces)
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        ends = len(self.pool) + np.cumsum(sizes)
+        self.place.update(zip(pieces, range(len(self.starts), len(self.starts) + len(made)), strict=True))
+        self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, *made])
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where each of the distinct words is kept."""
+        k = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if (k < 0).any():
+            if len(self.place) + (k < 0).sum() > self.limit:
+                self._clear()
+                k[:] = -1
+            self._learn([words[i] for i in np.flatnonzero(k < 0).tolist()])
+            k = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return k
+
+    def _cut(self, col: pa.Array) -> pa.Array:
+        """A list of pieces for each regular text."""
+        if self.words:  # lower case here just makes fewer pieces; beyond Latin-1 it is left to the library
+            wide = pc.match_substring_regex(col, "[^\x00-\xff]")
+            return pc.utf8_split_whitespace(pc.if_else(wide, col, pc.utf8_lower(col)))
+        loose = pc.match_substring_regex(col, LOOSE)
+        marked = pc.replace_substring(pc.replace_substring(col, " ", CUT + " "), "\n", CUT + "\n" + CUT)
+        if pc.any(loose).as_py():
+            own = [CUT.join(BYTE_PIECE.findall(t)) if x else None for t, x in zip(col.to_pylist(), loose.to_pylist(), strict=True)]
+            marked = pc.coalesce(pa.array(own, col.type), marked)
+        return pc.split_pattern(marked, CUT)
+
+    def flat(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of each text's ids) of a string array; null: empty."""
+        col = pc.fill_null(col, "")
+        special = pc.match_substring_regex(col, SPECIAL)
+        lists = self._cut(pc.if_else(special, "", col))
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary
+        # A stop or comma behind a letter or digit is a piece of its own: only what stands before it is kept.
+        stopped = pc.match_substring_regex(words, r"[\p{L}\p{N}][.,]$")
+        stems = pc.if_else(stopped, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        k = self._places([*stems.dictionary.to_pylist(), ".", ","])
+        tails = pc.if_else(stopped, pc.if_else(pc.ends_with(words, "."), len(k) - 2, len(k) - 1), -1).to_numpy(zero_copy_only=False)
+        pairs = np.stack([stems.indices.to_numpy(zero_copy_only=False), tails], axis=1).ravel()
+        pool, n = gather(self.pool, np.append(self.starts[k], 0), np.append(self.sizes[k], 0), pairs)
+        n = n.reshape(-1, 2).sum(axis=1)
+        ids, sizes = gather(pool, np.cumsum(n) - n, n, found.indices.to_numpy(zero_copy_only=False))
+        ends = np.cumsum(sizes)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
+        n = np.diff(bounds)
+        if pc.any(special).as_py():  # texts encoded whole take the place of their empty stand-ins
+            parts = np.split(ids, bounds[1:-1])
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+                parts[i] = np.array(self.tok.encode_batch_fast([col[i].as_py()], add_special_tokens=False)[0].ids, np.uint32)
+            ids, n = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, n
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        kept = self.cache.ready([p for x in split for p in x])
-        return [b"".join(map(kept.__getitem__, x)) for x in split]
+        """Each text's ids as bytes."""
+        ids, n = self.flat(pa.array(texts, pa.large_string()))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,6 +197,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def text_slices(col: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows in turn, each of some `most` bytes of text: bounds a worker's memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def in_slices(ids: list, texts: list, chars: int = 2_000_000) -> Iterable[tuple[list, list]]:
     """Rows of a batch in slices of about so many characters: bounds a worker's memory."""
     a, b, n = [], [], 0
