@@ -162,7 +162,8 @@ class Encoder:
         found = lists.flatten().dictionary_encode()
         words = found.dictionary
         # A stop or comma behind a letter or digit is a piece of its own: only what stands before it is kept.
-        stopped = pc.match_substring_regex(words, r"[\p{L}\p{N}][.,]$")
+        # (The small form of \u0130 ends in a mark, which the library takes together with the stop.)
+        stopped = pc.and_(pc.match_substring_regex(words, r"[\p{L}\p{N}][.,]$"), pc.invert(pc.match_substring_regex(words, "\u0130[.,]$")))
         stems = pc.if_else(stopped, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
         k = self._places([*stems.dictionary.to_pylist(), ".", ","])
         tails = pc.if_else(stopped, pc.if_else(pc.ends_with(words, "."), len(k) - 2, len(k) - 1), -1).to_numpy(zero_copy_only=False)
