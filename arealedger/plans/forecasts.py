@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quarters, scalars
 from ..operators import catalog, forecast, ledger, nowcast, panel
-from ..sources.adapter import LAST_QUARTER, complexes, trade_sale
-from .queries import INDEX_SQL, query, valid
+from ..sources.adapter import complexes, span, trade_sale
+from .queries import INDEX_SQL, LAST, query, valid
 
 RESIDUALS_SQL = """, ce AS (SELECT cell, avg(log_ppm2) AS e FROM valid GROUP BY 1),
 rs AS (SELECT sgg_cd, dong, q, datediff('day', date_trunc('quarter', deal_date), deal_date) + 1 AS day, log_ppm2 - e AS residual FROM valid JOIN ce USING (cell)),
@@ -101,6 +101,7 @@ def ladder_score(spark, d):
 @query()
 def two_stage_metrics(spark, d):
     """Market and relative parts, their variants and six metrics over two segments."""
+    last = span(spark, d)[1]
     rel = _relative(spark, d)
     market = rel.groupBy("q").agg(F.first("b2").alias("base"), F.avg("y").alias("target"), F.avg("x2").alias("depth"))
     m = forecast.market_models(market, 4, "base", "target", {"M1": ["base"], "M2": ["base", "depth"]}, least=4)
@@ -109,7 +110,7 @@ def two_stage_metrics(spark, d):
     g = forecast.rolling_gamma(gamma.where("model = 'R1'"), 4, least_origins=4, least_rows=100)
     r = r.join(g, "q").withColumn("gamma", F.when(F.col("model") == "R0", 0.0).otherwise(F.col("gamma")))
     preds = forecast.assemble_variants(rel.select("q", "dong", "y"), m, r)
-    segments = spark.createDataFrame([("early", 0, LAST_QUARTER - 12), ("recent", LAST_QUARTER - 11, LAST_QUARTER)], "segment string, first int, last int")
+    segments = spark.createDataFrame([("early", 0, last - 12), ("recent", last - 11, last)], "segment string, first int, last int")
     return forecast.metric_cube(preds, segments)
 
 
@@ -128,16 +129,18 @@ def error_gap_bootstrap(spark, d):
     return forecast.moving_block_bootstrap(series, 4, 500)
 
 
-@query(f"""{INDEX_SQL}, f AS (SELECT dong, cast(sgg_cd AS INT) % 4 AS cluster, log_index AS level, n_sales::DOUBLE AS n FROM idx WHERE q = {LAST_QUARTER}),
+@query(f"""{INDEX_SQL}, f AS (SELECT dong, cast(sgg_cd AS INT) % 4 AS cluster, log_index AS level, n_sales::DOUBLE AS n FROM idx WHERE q = {LAST}),
 l AS (SELECT dong, cluster, unnest(['level', 'n']) AS feature, unnest([level, n]) AS value FROM f), w AS (SELECT feature, median(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY 1), c AS (SELECT cluster, feature, median(value) AS c FROM l GROUP BY 1, 2)
 SELECT cluster, feature, coalesce(round((c - m) / nullif(sd, 0), 6), 0) AS z FROM c JOIN w USING (feature)""")
 def structure_z(spark, d):
-    f = panel.mean_index(valid(spark, d)).where(F.col("q") == LAST_QUARTER).select("dong", (F.col("sgg_cd").cast("int") % 4).alias("cluster"), F.col("log_index").alias("level"), F.col("n_sales").cast("double").alias("n"))
+    last = span(spark, d)[1]
+    f = panel.mean_index(valid(spark, d)).where(F.col("q") == last).select("dong", (F.col("sgg_cd").cast("int") % 4).alias("cluster"), F.col("log_index").alias("level"), F.col("n_sales").cast("double").alias("n"))
     return catalog.structure_z(f.select("dong", "level", "n"), f, ["level", "n"]).withColumn("z", F.round("z", 6))
 
 
-@query(f""", c AS (SELECT dong, sgg_cd AS gu_name, umd_nm AS umd_name, count(*) AS n, round(median(price / area), 4) AS price FROM valid WHERE q > {LAST_QUARTER - 4} GROUP BY 1, 2, 3) SELECT dong, price FROM c WHERE contains(gu_name || ' ' || umd_name, 'S1') AND n >= 20 AND price BETWEEN 1000 AND 2000""")
+@query(f""", c AS (SELECT dong, sgg_cd AS gu_name, umd_nm AS umd_name, count(*) AS n, round(median(price / area), 4) AS price FROM valid WHERE q > {LAST} - 4 GROUP BY 1, 2, 3) SELECT dong, price FROM c WHERE contains(gu_name || ' ' || umd_name, 'S1') AND n >= 20 AND price BETWEEN 1000 AND 2000""")
 def catalog_filter(spark, d):
-    c = valid(spark, d).where(F.col("q") > LAST_QUARTER - 4).groupBy("dong", F.col("sgg_cd").alias("gu_name"), F.col("umd_nm").alias("umd_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(F.col("price") / F.col("area")), 4).alias("price"))
+    last = span(spark, d)[1]
+    c = valid(spark, d).where(F.col("q") > last - 4).groupBy("dong", F.col("sgg_cd").alias("gu_name"), F.col("umd_nm").alias("umd_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(F.col("price") / F.col("area")), 4).alias("price"))
     c = c.withColumn("flags", scalars.sample_flags(F.col("n"), F.lit(0.0)))
     return catalog.filter_dongs(c, "S1", flagged=False, band=(1000, 2000)).select("dong", "price")

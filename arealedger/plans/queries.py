@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import quarters, scalars
 from ..operators import geometry, hedonic, ledger, panel, windows
-from ..sources.adapter import LAST_QUARTER, SALE_SQL, completions, complexes, table, trade_rent, trade_sale
+from ..sources.adapter import SALE_SQL, completions, complexes, span, table, trade_rent, trade_sale
 
-FIRST = LAST_QUARTER - 26
+#: The last complete quarter, and quarters as a table, in the SQL.
+LAST = "(SELECT l FROM span)"
+ALL_Q = "(SELECT unnest(range(f, l + 1)) AS q FROM span)"
+LAST_8Q = "(SELECT unnest(range(l - 7, l + 1)) AS q FROM span)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 # Dated events, policy rates and designation changes used with the given tables.
@@ -54,13 +57,14 @@ def sales_by_quarter(spark, d):
     return valid(spark, d).groupBy("dong", "q").agg(F.count(F.lit(1)).alias("n_sales"), F.round(F.avg("log_ppm2"), 6).alias("mean_log_ppm2"), F.count_distinct("cell").alias("cells"))
 
 
-@query(f""", g AS (SELECT dong, q FROM (SELECT DISTINCT dong FROM valid), range({FIRST}, {LAST_QUARTER + 1}) r(q)),
+@query(f""", g AS (SELECT dong, q FROM (SELECT DISTINCT dong FROM valid), {ALL_Q} r),
 c AS (SELECT dong, q, count(*) AS n FROM valid GROUP BY 1, 2), f AS (SELECT dong, q, coalesce(n, 0) AS n_sales FROM g LEFT JOIN c USING (dong, q))
 SELECT dong, q, n_sales, CASE WHEN count(*) OVER w = 4 THEN cast(sum(n_sales) OVER w AS BIGINT) END AS n_sales_4q,
 coalesce(CASE WHEN count(*) OVER w = 4 THEN sum(n_sales) OVER w END >= 20, false) AS eligible
 FROM f WINDOW w AS (PARTITION BY dong ORDER BY q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 def eligibility(spark, d):
-    return ledger.eligible(valid(spark, d), FIRST, LAST_QUARTER)
+    first, last = span(spark, d)
+    return ledger.eligible(valid(spark, d), first, last)
 
 
 @query(""", r AS (SELECT dong, unnest(range(q, q + 4)) AS as_of, is_cancelled, year(deal_date) - build_year AS age FROM sale),
@@ -84,34 +88,37 @@ def complex_concentration(spark, d):
     return ledger.complex_concentration(valid(spark, d)).withColumn("dominant_share_4q", F.round("dominant_share_4q", 6))
 
 
-@query(f""", c AS (SELECT dong, apt_seq, count(*) AS n FROM valid WHERE q BETWEEN {LAST_QUARTER - 3} AND {LAST_QUARTER} GROUP BY 1, 2), s AS (SELECT dong, sum(n) AS n, max(n) / sum(n) AS share FROM c GROUP BY 1)
+@query(f""", c AS (SELECT dong, apt_seq, count(*) AS n FROM valid WHERE q BETWEEN {LAST} - 3 AND {LAST} GROUP BY 1, 2), s AS (SELECT dong, sum(n) AS n, max(n) / sum(n) AS share FROM c GROUP BY 1)
 SELECT dong, array_to_string([x FOR x IN [CASE WHEN n < 20 THEN 'FEW_SALES' END, CASE WHEN share > 0.5 THEN 'ONE_COMPLEX_DOMINATES' END] IF x IS NOT NULL], ';') AS flags FROM s""")
 def sample_flags(spark, d):
-    rows = ledger.complex_concentration(valid(spark, d)).where(F.col("as_of") == LAST_QUARTER)
+    last = span(spark, d)[1]
+    rows = ledger.complex_concentration(valid(spark, d)).where(F.col("as_of") == last)
     return rows.select("dong", F.array_join(scalars.sample_flags(F.col("sale_n_valid_4q"), F.col("dominant_share_4q")), ";").alias("flags"))
 
 
-@query(f""", b AS (SELECT dong, q, sum(l_linenumber) AS h FROM joined WHERE l_returnflag = 'A' GROUP BY 1, 2), g AS (SELECT dong, q FROM (SELECT DISTINCT dong FROM b), range({FIRST}, {LAST_QUARTER + 1}) r(q)),
+@query(f""", b AS (SELECT dong, q, sum(l_linenumber) AS h FROM joined WHERE l_returnflag = 'A' GROUP BY 1, 2), g AS (SELECT dong, q FROM (SELECT DISTINCT dong FROM b), {ALL_Q} r),
 f AS (SELECT dong, q, coalesce(h, 0) AS households FROM g LEFT JOIN b USING (dong, q))
 SELECT dong, q, cast(households AS BIGINT) AS households, cast(sum(households) OVER (PARTITION BY dong ORDER BY q ROWS 3 PRECEDING) AS BIGINT) AS households_4q,
 cast(sum(households) OVER (PARTITION BY dong ORDER BY q ROWS 7 PRECEDING) AS BIGINT) AS households_8q, cast(sum(households) OVER (PARTITION BY dong ORDER BY q ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stock FROM f""")
 def supply_features(spark, d):
-    return ledger.supply_features(completions(spark, d), FIRST, LAST_QUARTER)
+    first, last = span(spark, d)
+    return ledger.supply_features(completions(spark, d), first, last)
 
 
 @query(f""", n AS (SELECT count(*) AS n FROM supplier), o AS (SELECT o_custkey, min(cast(o_orderdate AS DATE)) AS f FROM orders GROUP BY 1),
 z AS (SELECT s_nationkey || '_S' || s_suppkey AS dong, cast(c_custkey % 100 AS BIGINT) AS households, f, f + 180 AS f2, f + 720 AS f3 FROM customer JOIN o ON o_custkey = c_custkey, n JOIN supplier ON s_suppkey = c_custkey % n.n),
 zz AS (SELECT dong, households, year(f) * 4 + quarter(f) - 1 AS s1, year(f2) * 4 + quarter(f2) - 1 AS s2, year(f3) * 4 + quarter(f3) - 1 AS s3 FROM z),
-k AS (SELECT dong, as_of FROM (SELECT DISTINCT dong FROM valid), range({LAST_QUARTER - 7}, {LAST_QUARTER + 1}) r(as_of))
+k AS (SELECT dong, as_of FROM (SELECT DISTINCT dong FROM valid), (SELECT q AS as_of FROM {LAST_8Q}) r)
 SELECT dong, as_of, count_if(s1 <= as_of)::BIGINT AS n_s1, count_if(s2 <= as_of)::BIGINT AS n_s2, count_if(s3 <= as_of)::BIGINT AS n_s3, cast(sum(CASE WHEN s1 <= as_of AND NOT s3 <= as_of THEN households ELSE 0 END) AS BIGINT) AS active_households,
 cast(sum((s1 <= as_of AND s1 > as_of - 4)::INT + (s2 <= as_of AND s2 > as_of - 4)::INT + (s3 <= as_of AND s3 > as_of - 4)::INT) AS BIGINT) AS events_4q FROM k JOIN zz USING (dong) GROUP BY 1, 2""")
 def zone_features(spark, d):
+    last = span(spark, d)[1]
     s = table(spark, d, "supplier")
     n = s.agg(F.count(F.lit(1)).alias("_n"))
     first = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("f"))
     c = table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey")).crossJoin(F.broadcast(n)).withColumn("k", F.col("c_custkey") % F.col("_n"))
     z = c.join(s, F.col("k") == F.col("s_suppkey")).select(F.concat(F.col("s_nationkey").cast("string"), F.lit("_S"), F.col("s_suppkey").cast("string")).alias("dong"), (F.col("c_custkey") % 100).alias("households"), *[quarters.quarter_ord(F.date_add("f", 180 * k)).alias(a) for a, k in (("s1", 0), ("s2", 1), ("s3", 4))])
-    origins = windows.grid(valid(spark, d).select("dong").distinct(), LAST_QUARTER - 7, LAST_QUARTER, "as_of")
+    origins = windows.grid(valid(spark, d).select("dong").distinct(), last - 7, last, "as_of")
     return ledger.zone_features(z, origins)
 
 
@@ -169,11 +176,12 @@ def repeat_pairs(spark, d):
     return ledger.repeat_pairs(valid(spark, d)).groupBy("dong", "q0", "q").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("change"), 5).alias("change"))
 
 
-@query(f"""{INDEX_SQL}, hs AS (SELECT dong, sum(p_size) AS w FROM (SELECT DISTINCT dong, p_partkey, p_size FROM joined) GROUP BY 1), c AS (SELECT a.dong, a.log_index - b.log_index AS change, w FROM idx a JOIN idx b ON a.dong = b.dong AND b.q = a.q - 4 JOIN hs ON hs.dong = a.dong WHERE a.q = {LAST_QUARTER}),
+@query(f"""{INDEX_SQL}, hs AS (SELECT dong, sum(p_size) AS w FROM (SELECT DISTINCT dong, p_partkey, p_size FROM joined) GROUP BY 1), c AS (SELECT a.dong, a.log_index - b.log_index AS change, w FROM idx a JOIN idx b ON a.dong = b.dong AND b.q = a.q - 4 JOIN hs ON hs.dong = a.dong WHERE a.q = {LAST}),
 m AS (SELECT sum(change * w) / sum(w) AS mu FROM c) SELECT dong, round(change, 6) AS change, round(mu, 6) AS mu, round(change - mu, 6) AS delta FROM c, m""")
 def change_block(spark, d):
+    last = span(spark, d)[1]
     cx = ledger.map_complexes(complexes(spark, d), trade_sale(spark, d)).groupBy("dong").agg(F.sum("households").alias("w"))
-    out = panel.change_block(panel.mean_index(valid(spark, d)), cx, LAST_QUARTER)
+    out = panel.change_block(panel.mean_index(valid(spark, d)), cx, last)
     return out.select("dong", *[F.round(c, 6).alias(c) for c in ("change", "mu", "delta")])
 
 
@@ -199,10 +207,11 @@ def area_bands(spark, d):
 
 
 @query(f""", s AS (SELECT dong, q, count(*) AS a FROM valid GROUP BY 1, 2), r AS (SELECT dong, q, count(*) AS b, count_if(monthly <> 0) AS m FROM rent GROUP BY 1, 2),
-g AS (SELECT dong, q FROM (SELECT dong FROM valid UNION SELECT dong FROM rent), range({LAST_QUARTER - 7}, {LAST_QUARTER + 1}) x(q))
+g AS (SELECT dong, q FROM (SELECT dong FROM valid UNION SELECT dong FROM rent), {LAST_8Q} x)
 SELECT dong, q, coalesce(a, 0) AS n_sales, coalesce(b, 0) AS n_rents, round(m / b, 6) AS monthly_share FROM g LEFT JOIN s USING (dong, q) LEFT JOIN r USING (dong, q)""")
 def flows(spark, d):
-    return ledger.flows(valid(spark, d), trade_rent(spark, d), LAST_QUARTER).withColumn("monthly_share", F.round("monthly_share", 6))
+    last = span(spark, d)[1]
+    return ledger.flows(valid(spark, d), trade_rent(spark, d), last).withColumn("monthly_share", F.round("monthly_share", 6))
 
 
 @query(" SELECT apt_seq, deal_date, order_no, price, area FROM valid QUALIFY row_number() OVER (PARTITION BY apt_seq ORDER BY deal_date DESC, order_no DESC, price DESC, area DESC) = 1")
@@ -210,34 +219,38 @@ def last_sale_per_complex(spark, d):
     return ledger.recent_sale_per_complex(valid(spark, d)).select("apt_seq", "deal_date", "order_no", "price", "area")
 
 
-@query(f""", c AS (SELECT dong, count(*) AS n FROM valid WHERE q BETWEEN {LAST_QUARTER - 3} AND {LAST_QUARTER} GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i, count(*) OVER () AS t FROM c WHERE n > 0)
+@query(f""", c AS (SELECT dong, count(*) AS n FROM valid WHERE q BETWEEN {LAST} - 3 AND {LAST} GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i, count(*) OVER () AS t FROM c WHERE n > 0)
 SELECT dong, n, n >= (SELECT n FROM r WHERE i = ceil(0.3 * t - 1e-9)) AS tagged FROM c""")
 def region_tags(spark, d):
-    c = valid(spark, d).where(F.col("q").between(LAST_QUARTER - 3, LAST_QUARTER)).groupBy("dong").agg(F.count(F.lit(1)).alias("n"))
+    last = span(spark, d)[1]
+    c = valid(spark, d).where(F.col("q").between(last - 3, last)).groupBy("dong").agg(F.count(F.lit(1)).alias("n"))
     return panel.region_tags(c, "n").select("dong", "n", "tagged")
 
 
-@query(f"""{INDEX_SQL}, l AS (SELECT dong, sgg_cd, log_index, n_sales FROM idx WHERE q = {LAST_QUARTER}), r AS (SELECT *, (rank() OVER (PARTITION BY sgg_cd ORDER BY n_sales) + (count(*) OVER (PARTITION BY sgg_cd, n_sales) - 1) / 2) / count(*) OVER (PARTITION BY sgg_cd) AS pr,
+@query(f"""{INDEX_SQL}, l AS (SELECT dong, sgg_cd, log_index, n_sales FROM idx WHERE q = {LAST}), r AS (SELECT *, (rank() OVER (PARTITION BY sgg_cd ORDER BY n_sales) + (count(*) OVER (PARTITION BY sgg_cd, n_sales) - 1) / 2) / count(*) OVER (PARTITION BY sgg_cd) AS pr,
 log_index - median(log_index) OVER (PARTITION BY sgg_cd) AS c FROM l) SELECT dong, round(pr, 6) AS pct_rank, round(c, 6) AS centered FROM r""")
 def relative_panel(spark, d):
-    l = panel.mean_index(valid(spark, d)).where(F.col("q") == LAST_QUARTER)
+    last = span(spark, d)[1]
+    l = panel.mean_index(valid(spark, d)).where(F.col("q") == last)
     out = windows.center_median(l.withColumn("pct_rank", windows.pct_rank_avg("n_sales", ["sgg_cd"])), "log_index", ["sgg_cd"], "centered")
     return out.select("dong", F.round("pct_rank", 6).alias("pct_rank"), F.round("centered", 6).alias("centered"))
 
 
-@query(f"""{INDEX_SQL}, h AS (SELECT dong, max_by(q, (log_index, q)) AS peak, count(*) AS n FROM idx WHERE q BETWEEN {LAST_QUARTER - 19} AND {LAST_QUARTER} GROUP BY 1), l AS (SELECT dong, q, log_index FROM idx)
-SELECT h.dong, CASE WHEN n = 20 THEN peak END AS peak_q, CASE WHEN n = 20 THEN round(a.log_index - b.log_index, 6) END AS gap FROM h LEFT JOIN l a ON a.dong = h.dong AND a.q = {LAST_QUARTER} LEFT JOIN l b ON b.dong = h.dong AND b.q = peak""")
+@query(f"""{INDEX_SQL}, h AS (SELECT dong, max_by(q, (log_index, q)) AS peak, count(*) AS n FROM idx WHERE q BETWEEN {LAST} - 19 AND {LAST} GROUP BY 1), l AS (SELECT dong, q, log_index FROM idx)
+SELECT h.dong, CASE WHEN n = 20 THEN peak END AS peak_q, CASE WHEN n = 20 THEN round(a.log_index - b.log_index, 6) END AS gap FROM h LEFT JOIN l a ON a.dong = h.dong AND a.q = {LAST} LEFT JOIN l b ON b.dong = h.dong AND b.q = peak""")
 def peak_gap(spark, d):
-    i = panel.mean_index(valid(spark, d)).where(F.col("q").between(LAST_QUARTER - 19, LAST_QUARTER))
-    h = i.groupBy("dong").agg(F.max(F.struct("log_index", "q")).alias("p"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("q") == LAST_QUARTER, F.col("log_index"))).alias("now"))
+    last = span(spark, d)[1]
+    i = panel.mean_index(valid(spark, d)).where(F.col("q").between(last - 19, last))
+    h = i.groupBy("dong").agg(F.max(F.struct("log_index", "q")).alias("p"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("q") == last, F.col("log_index"))).alias("now"))
     return h.select("dong", F.when(F.col("n") == 20, F.col("p.q")).alias("peak_q"), F.when(F.col("n") == 20, F.round(F.col("now") - F.col("p.log_index"), 6)).alias("gap"))
 
 
-@query(f"""{INDEX_SQL}, f AS (SELECT dong, sgg_cd, log_index AS a, n_sales::DOUBLE AS b FROM idx WHERE q = {LAST_QUARTER}), s AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM f),
+@query(f"""{INDEX_SQL}, f AS (SELECT dong, sgg_cd, log_index AS a, n_sales::DOUBLE AS b FROM idx WHERE q = {LAST}), s AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM f),
 p AS (SELECT x.dong, y.dong AS peer, round(sqrt(pow(x.a / sa - y.a / sa, 2) + pow(x.b / sb - y.b / sb, 2)), 9) AS distance FROM f x JOIN f y ON x.sgg_cd = y.sgg_cd AND x.dong <> y.dong, s)
 SELECT dong, peer, round(distance, 6) AS distance, row_number() OVER (PARTITION BY dong ORDER BY distance, peer) AS rank FROM p QUALIFY rank <= 5""")
 def nearest_peers(spark, d):
-    m = panel.mean_index(valid(spark, d)).where(F.col("q") == LAST_QUARTER).select("dong", "sgg_cd", F.col("log_index").alias("a"), F.col("n_sales").cast("double").alias("b"))
+    last = span(spark, d)[1]
+    m = panel.mean_index(valid(spark, d)).where(F.col("q") == last).select("dong", "sgg_cd", F.col("log_index").alias("a"), F.col("n_sales").cast("double").alias("b"))
     return panel.peers(m, ["a", "b"], "sgg_cd").withColumn("distance", F.round("distance", 6))
 
 
@@ -295,7 +308,8 @@ def hedonic_index(spark, d):
 @query()
 def vintage_indexes(spark, d):
     """The index as seen at the ends of two years."""
-    return hedonic.hedonic_index(valid(spark, d), origins=[LAST_QUARTER - 8, LAST_QUARTER - 4]).select("origin", "dong", "q", "n_sales", "log_index")
+    last = span(spark, d)[1]
+    return hedonic.hedonic_index(valid(spark, d), origins=[last - 8, last - 4]).select("origin", "dong", "q", "n_sales", "log_index")
 
 
 @query()

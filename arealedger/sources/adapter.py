@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.quarters import quarter_ord
 
-LAST_QUARTER = 8006
 #: Width of an area bin in a cell.
 AREA_BIN = 25
 
@@ -17,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where(~((F.col("l_suppkey") % 4 == 3) & (F.col("l_partkey") % 5 != 0)))
+    line = table(spark, sf_dir, "lineitem")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     return line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -46,6 +45,13 @@ def trade_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First quarter of the ledger, and the last one that it holds to its end: one row comes to the driver."""
+    date = F.to_date("l_shipdate")
+    r = table(spark, sf_dir, "lineitem").agg(quarter_ord(F.min(date)).alias("f"), (quarter_ord(F.date_add(F.max(date), 1)) - 1).alias("l")).first()
+    return (0, -1) if r["f"] is None else (r["f"], r["l"])
+
+
 def trade_rent(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = F.when(F.col("l_discount") < 0.05, 0.0).otherwise(F.col("l_extendedprice") * F.col("l_discount"))
     return _joined(spark, sf_dir).where("l_linestatus = 'O'").select(*_keys(), F.col("l_quantity").alias("area"), F.col("l_extendedprice").alias("deposit"), monthly.alias("monthly"), (monthly == 0).alias("is_jeonse"))
@@ -70,12 +76,12 @@ joined AS (
   SELECT l.*, s_nationkey, p_partkey, p_size, cast(s_nationkey AS VARCHAR) AS sgg_cd, 'S' || l_suppkey AS umd_nm,
     s_nationkey || '_S' || l_suppkey AS dong, l_suppkey || '-' || (p_size // 10) AS apt_seq,
     cast(l_shipdate AS DATE) AS deal_date, year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS q
-  FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  WHERE NOT (l_suppkey % 4 = 3 AND l_partkey % 5 <> 0)),
+  FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 sale AS (
   SELECT sgg_cd, umd_nm, dong, apt_seq, deal_date, q, apt_seq || '_' || cast(floor(l_quantity / {AREA_BIN}) AS INT) AS cell,
     strftime(l_shipdate, '%Y%m') AS deal_ym, l_quantity AS area, l_extendedprice AS price, l_returnflag = 'R' AS is_cancelled,
     l_linenumber AS floor, 1950 + p_size AS build_year, l_orderkey AS order_no FROM joined),
+span AS (SELECT min(q) AS f, year(max(deal_date) + 1) * 4 + quarter(max(deal_date) + 1) - 2 AS l FROM sale),
 valid AS (
   SELECT *, ln(price / area) AS log_ppm2 FROM sale
   WHERE is_cancelled IS NOT TRUE AND sgg_cd IS NOT NULL AND umd_nm IS NOT NULL AND apt_seq IS NOT NULL AND area > 0 AND price > 0
