@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set: a temporary folder if driver and executors are one process, else an error, since executors
+    of a cluster would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arealedger-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -38,6 +45,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_of(df: DataFrame) -> DataFrame:
     """doc_id and text of df, a null text as the empty one."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

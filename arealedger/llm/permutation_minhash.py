@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound, materialize
 
 #: Bins (a power of two, so many of the hash's bits name the bin), kept bits of a bin, words in a shingle.
 BINS, BITS, WORDS = 128, 8, 5
@@ -23,7 +23,7 @@ def shingle_hashes(text: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))
         return F.when(F.size(h) >= WORDS, many).otherwise(F.array(F.xxhash64(F.concat_ws(",", F.transform(h, lambda x: x.cast("string"))))))
 
-    return F.transform(_bound(one, hashes), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFE)))
+    return F.transform(bound(one, hashes), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFE)))
 
 
 def bin_minima(hashes: Column) -> Column:
@@ -35,31 +35,37 @@ def bin_minima(hashes: Column) -> Column:
     ordered = F.sort_array(F.concat(hashes, ends))
     name = lambda x: F.shiftright(x, _LOW)
     firsts = lambda a: F.filter(a, lambda x, i: (i == 0) | (name(x) != name(F.get(a, i - 1))))
-    return _bound(ordered, firsts)
+    return bound(ordered, firsts)
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: Bins that an empty one asks at once, and how often it asks so.
+PROBES, ASKED = 8, 2
 
 
 def densified(minima: Column) -> Column:
-    """Low-order bits of each bin. An empty bin takes those of the full bin that comes first in a random order of its own.
+    """Low-order bits of each bin. An empty bin takes those of the first full bin in a random order of its own.
 
-    That order, by hash of (empty bin, full bin), is the same for all texts, as in densification by 2-universal
-    probing to the first full bin. Some bin is always full.
+    The order is the same for all texts, as in densification by probing at random till a full bin is met: bins that hashes
+    of (empty bin, attempt) name, PROBES at once, and after ASKED such rounds all bins by the hash of (empty bin, bin).
+    Some bin is always full.
     """
+    low = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1))
+    full = lambda x: x.bitwiseAND(F.lit(1)) == 0
+
     def fill(m: Column) -> Column:
-        fulls = F.filter(m, lambda x: x.bitwiseAND(F.lit(1)) == 0)
-        low = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1))
+        def met(bin_: Column, k: int) -> Column:
+            tries = F.sequence(F.lit(k * PROBES), F.lit((k + 1) * PROBES - 1))
+            return F.get(F.filter(F.transform(tries, lambda j: F.get(m, F.xxhash64(bin_, j).bitwiseAND(F.lit(BINS - 1)).cast("int"))), full), F.lit(0))
+
+        def last(bin_: Column) -> Column:
+            return F.array_min(F.transform(F.filter(m, full), lambda x: F.struct(F.xxhash64(bin_, F.shiftright(x, _LOW)).alias("o"), x.alias("v"))))["v"]
 
-        def borrowed(fs: Column, bin_: Column) -> Column:
-            order = F.transform(fs, lambda x: F.struct(F.xxhash64(bin_, F.shiftright(x, _LOW)).alias("o"), low(x).alias("v")))
-            return F.array_min(order)["v"]
+        def borrowed(bin_: Column) -> Column:
+            return low(F.coalesce(*[met(bin_, k) for k in range(ASKED)], last(bin_)))
 
-        return _bound(fulls, lambda fs: F.transform(m, lambda x: F.when(x.bitwiseAND(F.lit(1)) == 0, low(x)).otherwise(borrowed(fs, F.shiftright(x, _LOW)))))
+        return F.transform(m, lambda x: F.when(full(x), low(x)).otherwise(borrowed(F.shiftright(x, _LOW))))
 
-    return _bound(minima, fill)
+    return bound(minima, fill)
 
 
 def packed(bits: Column) -> Column:
@@ -70,7 +76,7 @@ def packed(bits: Column) -> Column:
             out = out.bitwiseOR(F.call_function("shiftleft", F.get(b, w * _PER + k), F.lit(BITS * (_PER - 1 - k))))
         return out
 
-    return _bound(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER - 1)), lambda w: word(b, w)))
+    return bound(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER - 1)), lambda w: word(b, w)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -92,12 +98,13 @@ def to_hex(packs: Column) -> Column:
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, need): the next larger doc_id (after the last, the first), and a quarter of n_chars.
+    """(doc_id, next_id, need) of docs (doc_id, n): the next larger doc_id (after the last, the first), and a quarter of
+    n, the largest one of a repeated id's.
 
     Narrow rows only: range partitions of ids, the next one inside a partition, and the first id of each partition
-    (one row for each) for those at its end. Of repeated ids the first text by order counts for n_chars.
+    (one row for each) for those at its end.
     """
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").alias("n"))
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
     tagged = materialize(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "minhash-order")
     heads = tagged.groupBy("part").agg(F.min("doc_id").alias("head"))
     on = Window.orderBy("part")
@@ -110,20 +117,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and its edited text, and their likenesses.
 
     Null text: empty. A row with a null doc_id has no neighbour: its edited text just loses its end, and near_next is
-    null. Rows that repeat a doc_id each have a row; as the next document such an id stands for its smallest text.
-    With one document the next one is itself. Each text is shuffled once, and a quarter of it once more.
+    null. Rows that repeat a doc_id each have a row; as the next document such an id stands for the one of its texts
+    with the least SHA-256. With one document the next one is itself. Other columns are not looked at; an empty table
+    gives an empty one. Each text is shuffled once, and a quarter of it once more.
     """
     every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = every.where("doc_id is not null")  # the same rows in both joins below, so that one exchange serves both
     order = materialize(next_ids(every.select("doc_id", F.length("text").alias("n"))), "minhash-next")
     before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), "need")
-    heads = base.join(before, "doc_id").select(F.col("to_id").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
+    key = F.sha2("text", 256)
+    heads = base.join(before, "doc_id").select(F.col("to_id").alias("doc_id"), key.alias("key"), F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head"))
+    heads = heads.groupBy("doc_id").agg(F.min_by("head", "key").alias("head"))
     q = F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - q), F.coalesce("head", F.lit("")))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - q), F.substring(F.coalesce("head", F.lit("")), F.lit(1), q))
     both = base.join(heads, "doc_id", "left").union(every.where("doc_id is null").withColumn("head", F.lit(""))).select("doc_id", "text", edited.alias("edited"))
-    prints = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp"))
+    prints = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), key.alias("key"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp"))
     prints = materialize(prints, "minhash-prints")
-    follow = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("next_fp")).join(before.select("doc_id", "to_id"), "doc_id").select(F.col("to_id").alias("doc_id"), "next_fp")
+    firsts = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("fp", "key").alias("next_fp"))
+    follow = firsts.join(before.select("doc_id", "to_id"), "doc_id").select(F.col("to_id").alias("doc_id"), "next_fp")
     out = prints.join(follow, "doc_id", "left")
     return out.select("doc_id", "n_chars", "edited_sha256", to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

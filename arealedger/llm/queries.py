@@ -71,11 +71,12 @@ WITH base AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
     replace(replace(coalesce(text, ''), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') AS body
   FROM conversations),
+named AS (SELECT *, translate(replace(replace(speaker, '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>'), chr(13) || chr(10), '  ') AS shown FROM base),
 people AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM base WHERE speaker <> 'system'),
 every AS (
   SELECT *, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
-  FROM base JOIN people ON conv_id IS NOT DISTINCT FROM c),
-headed AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM every),
+  FROM named JOIN people ON conv_id IS NOT DISTINCT FROM c),
+headed AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || shown ELSE '' END || chr(10) AS head FROM every),
 cut AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM headed),
 placed AS (
   SELECT *, row_number() OVER w - 1 AS position,

@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker process; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 900_000
 #: Bytes of text that are worked on at once (one longer text is a slice of its own).
-SLICE = 10_000_000
+SLICE = 6_000_000
 #: Python and Arrow count these as white space, the library doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
 #: A stop or comma at a word's end that doesn't follow a letter or digit: it belongs to a run of punctuation.
