@@ -1,7 +1,8 @@
 """Rolling-origin forecasts: ridge by moments, market and relative parts, variants, metrics, intervals, tests and the delta ladder.
 
 What an origin may learn from is a range of earlier origins, s + h <= q. Sums over that range are running sums of
-per-origin sums, so no history is ever copied to the origins that follow it.
+per-origin sums. Where a sum depends on the origin that looks back, sums by (origin, error) are copied to the origins
+that follow, and never a history's rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import shifted, spearman, weighted_quantile
+from .windows import origins_before, shifted, spearman, weighted_quantile
 
 
 def moments(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
@@ -240,16 +241,16 @@ def ladder_predictions(rows: DataFrame, h: int = 4, least: int = 500) -> DataFra
     """rows (q, delta, relative, gu_relative, se[, cluster_relative]) with c0 nothing, c1 the gu's momentum, c1f it and c1k the
     cluster's times a slope through the origin, and c2 momentum shrunk by its error times a slope. Slopes and the median
     error come from known origins; under `least` rows of them a fitted rung says nothing."""
-    at = rows.select("q").distinct()
-    past = rows.select(F.col("q").alias("s"), F.col("se").alias("_se"))
-    mid = at.join(past, F.col("s") + h <= F.col("q")).groupBy("q").agg(F.pow(F.median("_se"), 2).alias("_v"))
-    out = rows.join(mid, "q", "left").withColumn("_shrunk", F.col("relative") * F.col("_v") / (F.pow("se", 2) + F.col("_v")))
+    pairs = F.broadcast(origins_before(rows, h))
+    parts = rows.groupBy(F.col("q").alias("s"), "se").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("relative") * F.col("delta")).alias("_xd"), F.sum(F.when(F.col("delta").isNotNull(), F.pow("relative", 2))).alias("_xx")).join(pairs, "s")
+    mid = parts.groupBy("q").agg(F.pow(F.percentile("se", F.lit(0.5), F.col("_n")), 2).alias("_v"))
+    out = rows.join(F.broadcast(mid), "q", "left").withColumn("_shrunk", F.col("relative") * F.col("_v") / (F.pow("se", 2) + F.col("_v")))
     xs = {"c1f": "gu_relative"} | ({"c1k": "cluster_relative"} if "cluster_relative" in rows.columns else {})
     each = rows.groupBy("q").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(x) * F.col("delta")), F.lit(0.0)).alias(f"d_{k}") for k, x in xs.items()], *[F.coalesce(F.sum(F.col(x) * F.col(x)), F.lit(0.0)).alias(f"x_{k}") for k, x in xs.items()])
     known = known_before(each, h)
-    # A history is shrunk by the error scale of the origin that looks back, so its sums are taken for each such origin.
-    back = mid.join(rows.select(F.col("q").alias("s"), "delta", "relative", "se"), F.col("s") + h <= F.col("q")).withColumn("_x", F.col("relative") * F.col("_v") / (F.pow("se", 2) + F.col("_v")))
-    c2 = back.groupBy("q").agg(F.try_divide(F.sum(F.col("_x") * F.col("delta")), F.sum(F.col("_x") * F.col("_x"))).alias("_b"))
+    # A history is shrunk by the error scale of the origin that looks back: equal errors shrink alike.
+    part = F.col("_v") / (F.pow("se", 2) + F.col("_v"))
+    c2 = parts.join(F.broadcast(mid), "q").groupBy("q").agg(F.try_divide(F.sum(F.col("_xd") * part), F.sum(F.col("_xx") * part * part)).alias("_b"))
     out = out.join(known, "q").join(c2, "q", "left")
     fitted = lambda slope, x: F.when(F.col("n") >= least, F.coalesce(slope * F.col(x), F.lit(0.0))).otherwise(0.0)
     got = [F.lit(0.0).alias("c0"), F.col("gu_relative").alias("c1"), *[fitted(F.try_divide(f"d_{k}", f"x_{k}"), x).alias(k) for k, x in xs.items()], fitted(F.col("_b"), "_shrunk").alias("c2")]
@@ -266,7 +267,7 @@ def ladder_score(preds: DataFrame, rungs: Sequence[str], least: int = 30) -> Dat
     long = preds.where("delta is not null").unpivot(["q", "dong", "delta"], list(rungs), "rung", "pred")
     each = long.groupBy("rung", "q").agg(F.avg(F.abs(F.col("delta") - F.col("pred"))).alias("mae"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rho = spearman(long, "pred", "delta", ["rung", "q"]).select("rung", "q", F.col("spearman").alias("rho"))
-    up = F.avg(F.coalesce(F.col("rho") > 0, F.lit(False)).cast("double"))
+    up = F.avg(F.coalesce(F.col("rho") > 1e-12, F.lit(False)).cast("double"))
     return each.join(rho, ["rung", "q"], "left").groupBy("rung").agg(F.avg("mae").alias("mae"), F.median("rho").alias("rho"), up.alias("positive"))
 
 

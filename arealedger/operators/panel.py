@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import order_statistic, shifted, top_by
+from ..functions.scalars import crc_fold
+from .windows import running_order_statistic, shifted, top_by
 
 
 def mean_index(valid: DataFrame, lam: float = 5.0) -> DataFrame:
@@ -34,21 +35,18 @@ def mae_by_origin(preds: DataFrame) -> DataFrame:
 
 
 def conformal_intervals(preds: DataFrame, h: int, level: float = 0.8, least: int = 200) -> DataFrame:
-    """preds (dong, q, y, pred) with the half-width from errors of the other fold of dongs whose targets were known: s + h <= q.
-
-    Only (origin, fold) pairs are matched against calibration rows, never rows with rows.
-    """
-    from ..functions.scalars import crc_fold
-
+    """preds (dong, q, y, pred) with the half-width from errors of the other fold of dongs whose targets were known: s + h <= q."""
     rows = preds.withColumn("fold", crc_fold(F.col("dong"))).withColumn("err", F.abs(F.col("y") - F.col("pred")))
-    at = rows.select("q", "fold").distinct()
-    past = rows.select(F.col("q").alias("s"), F.col("fold").alias("other"), "err")
-    known = at.join(past, (F.col("s") + h <= F.col("q")) & (F.col("fold") != F.col("other")))
-    width = order_statistic(known, "err", level, ["q", "fold"], "half", least)
-    out = rows.join(width.select("q", "fold", "half", F.col("n").alias("n_cal")), ["q", "fold"])
+    width = running_order_statistic(rows, "err", level, ["fold"], h, "half", least).withColumn("fold", 1 - F.col("fold"))
+    out = rows.join(F.broadcast(width.select("q", "fold", "half", F.col("n").alias("n_cal"))), ["q", "fold"])
     return out.select("dong", "q", "fold", "n_cal", "half", (F.col("err") <= F.col("half")).alias("covered"))
 
 
+def interval_coverage(intervals: DataFrame) -> DataFrame:
+    """(year, n, coverage, width): share of targets inside and the median width, by year of the origin."""
+    return intervals.groupBy(F.floor(F.col("q") / 4).cast("int").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("covered").cast("double")).alias("coverage"), F.median(2 * F.col("half")).alias("width"))
+
+
 def choose_gamma(history: DataFrame, grid: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """The share of the signal x with the least mean absolute error of y - gamma * x, origins weighing alike; ties to the smaller."""
     tried = history.withColumn("gamma", F.explode(F.array(*[F.lit(g) for g in grid])))

@@ -84,6 +84,33 @@ def order_statistic(df: DataFrame, value: str, level: float, by: Sequence[str],
     return ranked.where((F.col("_n") >= least) & (F.col("_r") == F.least(F.ceil((F.col("_n") + 1) * F.lit(level) - 1e-9), F.col("_n")))).select(*by, F.col(value).alias(to), F.col("_n").alias("n"))
 
 
+def origins_before(origins: DataFrame, h: int, q: str = "q", to: str = "s") -> DataFrame:
+    """(q, s): for each distinct origin the earlier origins s with s + h <= q. One row for each origin comes together."""
+    w = Window.orderBy(q).rangeBetween(Window.unboundedPreceding, -h)
+    seen = origins.select(q).distinct().withColumn("_seen", F.collect_list(q).over(w))
+    return seen.select(q, F.explode("_seen").alias(to))
+
+
+def running_order_statistic(df: DataFrame, value: str, level: float, by: Sequence[str], h: int, to: str, least: int = 1, q: str = "q") -> DataFrame:
+    """(q, by, to, n): order_statistic of the values >= 0 at origins s with s + h <= q, for every q; none under `least` values.
+
+    Values are counted by narrow classes of their size, and the counts summed over origins; only those in the class that
+    holds the wanted rank are looked at one by one. So no history is copied to the origins that follow it.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(q, *by, value, F.when(F.col(value) > 0, F.floor(F.log2(value) * 32)).otherwise(F.lit(-(1 << 40))).alias("_class"))
+    pairs = origins_before(df, h, q, "_s")
+    counts = rows.groupBy(F.col(q).alias("_s"), *by, "_class").agg(F.count(F.lit(1)).alias("_k"))
+    known = counts.join(F.broadcast(pairs), "_s").groupBy(q, *by, "_class").agg(F.sum("_k").alias("_k"))
+    w = Window.partitionBy(q, *by)
+    run = known.withColumn("n", F.sum("_k").over(w)).withColumn("_up", F.sum("_k").over(w.orderBy("_class")))
+    rank = F.least(F.ceil((F.col("n") + 1) * F.lit(level) - 1e-9), F.col("n"))
+    at = run.withColumn("_rank", rank).where((F.col("n") >= least) & (F.col("_up") >= F.col("_rank")) & (F.col("_up") - F.col("_k") < F.col("_rank")))
+    at = at.select(q, *by, "_class", "n", (F.col("_rank") - F.col("_up") + F.col("_k")).alias("_rank"))
+    inside = at.join(F.broadcast(pairs), q).join(rows.withColumnRenamed(q, "_s"), ["_s", *by, "_class"])
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(q, *by).orderBy(value)))
+    return ranked.where("_r = _rank").select(q, *by, F.col(value).alias(to), "n")
+
+
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation, ties sharing their mean; null if a side doesn't vary."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())

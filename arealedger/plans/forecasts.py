@@ -93,9 +93,13 @@ def ladder_test(spark, d):
     return out.select("n", F.round("mean", 6).alias("mean"), F.round("statistic", 4).alias("statistic"))
 
 
-@query()
+@query(f"""{DELTA_SQL}, lo AS (UNPIVOT (SELECT q, dong, delta, c0::DOUBLE AS c0, c1::DOUBLE AS c1, c1f::DOUBLE AS c1f, c2::DOUBLE AS c2 FROM pr) ON c0, c1, c1f, c2 INTO NAME rung VALUE pred),
+rk AS (SELECT rung, q, rank() OVER (PARTITION BY rung, q ORDER BY pred) + (count(*) OVER (PARTITION BY rung, q, pred) - 1) / 2 AS ra, rank() OVER (PARTITION BY rung, q ORDER BY delta) + (count(*) OVER (PARTITION BY rung, q, delta) - 1) / 2 AS rb, abs(delta - pred) AS e FROM lo),
+rq AS (SELECT rung, q, avg(e) AS mae, count(*) AS n, CASE WHEN stddev_pop(ra) <> 0 AND stddev_pop(rb) <> 0 THEN corr(ra, rb) END AS rho FROM rk GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT rung, round(avg(mae), 6) AS mae, round(median(rho), 5) AS rho, round(avg(coalesce(rho > 1e-12, false)::INT), 6) AS positive FROM rq GROUP BY 1""")
 def ladder_score(spark, d):
-    return forecast.ladder_score(_ladder(spark, d), RUNGS, 5)
+    out = forecast.ladder_score(_ladder(spark, d), RUNGS, 5)
+    return out.select("rung", F.round("mae", 6).alias("mae"), F.round("rho", 5).alias("rho"), F.round("positive", 6).alias("positive"))
 
 
 @query()
@@ -114,10 +118,15 @@ def two_stage_metrics(spark, d):
     return forecast.metric_cube(preds, segments)
 
 
-@query()
+@query(f"""{INDEX_SQL}, t AS (SELECT i.q, a.log_index - i.log_index AS y, i.log_index - b.log_index AS b1 FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4),
+u AS (SELECT q, abs(y - avg(b1) OVER (PARTITION BY q)) AS err, 1 / count(*) OVER (PARTITION BY q) AS w FROM t), o AS (SELECT DISTINCT q FROM u),
+p AS (SELECT a.q, b.q AS s FROM o a JOIN o b ON b.q + 4 <= a.q QUALIFY row_number() OVER (PARTITION BY a.q ORDER BY b.q DESC) <= 4),
+k AS (SELECT p.q, s, err, w, sum(w) OVER (PARTITION BY p.q ORDER BY err) AS run, sum(w) OVER (PARTITION BY p.q) AS whole FROM p JOIN u ON u.q = s),
+c AS (SELECT q, count(DISTINCT s) AS origins, count(*) AS rows FROM k GROUP BY 1 HAVING count(DISTINCT s) = 4 AND count(*) >= 20)
+SELECT q, origins, rows, round(half, 6) AS half FROM c JOIN (SELECT q, min(err) AS half FROM k WHERE run >= 0.8 * whole - 1e-12 GROUP BY 1) USING (q)""")
 def empirical_intervals(spark, d):
     rows = _relative(spark, d).select("q", "y", F.col("b2").alias("y_hat"))
-    return forecast.empirical_intervals(rows, 4, n=4, least_rows=20)
+    return forecast.empirical_intervals(rows, 4, n=4, least_rows=20).withColumn("half", F.round("half", 6))
 
 
 @query()

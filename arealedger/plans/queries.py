@@ -156,8 +156,30 @@ def rolling_baselines(spark, d):
     return out.select("q", "n", *[F.round(c, 6).alias(c) for c in ("mae_b0", "mae_b1", "mae_b2")])
 
 
-@query()
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    step = "lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i::INT, 1))::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {step})), 4294967295)"
+
+
+CONFORMAL_SQL = f"""{INDEX_SQL}, fo AS (SELECT dong, ({crc32_sql('dong')} % 2)::INT AS fold FROM (SELECT DISTINCT dong FROM valid)),
+t AS (SELECT i.dong, i.q, a.log_index - i.log_index AS y, i.log_index - b.log_index AS b1 FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 2 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 2),
+u AS (SELECT dong, q, fold, abs(y - avg(b1) OVER (PARTITION BY q)) AS err FROM t JOIN fo USING (dong)),
+k AS (SELECT a.q, a.fold, err, row_number() OVER w AS r, count(*) OVER (PARTITION BY a.q, a.fold) AS n FROM (SELECT DISTINCT q, fold FROM u) a JOIN u ON u.q + 2 <= a.q AND u.fold <> a.fold WINDOW w AS (PARTITION BY a.q, a.fold ORDER BY err)),
+h AS (SELECT q, fold, err AS half, n AS n_cal FROM k WHERE n >= 200 AND r = least(ceil((n + 1) * 0.8::DOUBLE - 1e-9), n))"""
+
+
+@query(f"{CONFORMAL_SQL} SELECT dong, q, fold, n_cal, round(half, 6) AS half, err <= half AS covered FROM u JOIN h USING (q, fold)")
 def conformal_intervals(spark, d):
+    return _intervals(spark, d).withColumn("half", F.round("half", 6))
+
+
+@query(f"{CONFORMAL_SQL} SELECT (q // 4)::INT AS year, count(*) AS n, round(avg((err <= half)::INT), 6) AS coverage, round(median(2 * half), 6) AS width FROM u JOIN h USING (q, fold) GROUP BY 1")
+def interval_coverage(spark, d):
+    return panel.interval_coverage(_intervals(spark, d)).withColumn("coverage", F.round("coverage", 6)).withColumn("width", F.round("width", 6))
+
+
+def _intervals(spark, d):
     rows = panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 2)).withColumnRenamed("b2", "pred")
     return panel.conformal_intervals(rows, 2)
 
