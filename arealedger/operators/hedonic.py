@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import grid
+from ..functions.scalars import index_se
+from .windows import numbered_rows, spearman
 
-#: Unknowns of one solve; a group with more raises, so no task ever holds an unbounded system.
-WIDEST = 6000
+#: Cells whose counts one group of a first solve holds, about.
+CELLS = 20_000
+KEYS = "sgg_cd string, origin int, dong string"
 
 
 def compress(valid: DataFrame) -> DataFrame:
@@ -18,57 +22,145 @@ def compress(valid: DataFrame) -> DataFrame:
     return valid.groupBy("cell", "sgg_cd", "dong", "q").agg(F.count(F.lit(1)).alias("n"), F.sum("log_ppm2").alias("s"))
 
 
-def solve_gu(rows: pd.DataFrame, lam: float) -> pd.DataFrame:
-    """Quarter effects of a gu and ridge deviations of its dongs, cells taken out by the Schur complement."""
-    cell, cells = pd.factorize(rows["cell"])
-    quarter, quarters = pd.factorize(rows["q"], sort=True)
-    dq, dqs = pd.factorize(pd.MultiIndex.from_frame(rows[["dong", "q"]]))
-    g, d = len(quarters), len(dqs)
-    if g + d > WIDEST:
-        raise ValueError(f"{g + d} unknowns in a gu; the widest system is {WIDEST}")
-    n, s = np.zeros((len(cells), d)), np.zeros((len(cells), d))
-    np.add.at(n, (cell, dq), rows["n"].to_numpy(float))
-    np.add.at(s, (cell, dq), rows["s"].to_numpy(float))
-    of_cell = n.sum(axis=1)
-    w = np.diag(n.sum(axis=0)) - n.T @ (n / of_cell[:, None])
-    v = s.sum(axis=0) - n.T @ (s.sum(axis=1) / of_cell)
-    p = np.zeros((d, g))
-    p[np.arange(d), pd.factorize(pd.Index([k[1] for k in dqs]), sort=True)[0]] = 1
-    wp = w @ p
-    left = np.block([[p.T @ wp, wp.T], [wp, w + lam * np.eye(d)]])
-    x = np.linalg.lstsq(left, np.concatenate([p.T @ v, v]), rcond=None)[0]
-    level = pd.Series(x[:g], index=quarters)
-    return pd.DataFrame({"dong": [k[0] for k in dqs], "q": [int(k[1]) for k in dqs], "gq_effect": level.loc[[k[1] for k in dqs]].to_numpy(), "dq_effect": x[g:], "n_sales": n.sum(axis=0).astype("int64")})
+def _without_cells(n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normal equations (w, v) of a dong's quarters once the cells' own levels are taken out; n, s: cells x quarters."""
+    n, s = n[n.sum(axis=1) > 0], s[n.sum(axis=1) > 0]
+    whole = n.sum(axis=1)
+    return np.diag(n.sum(axis=0)) - n.T @ (n / whole[:, None]), s.sum(axis=0) - n.T @ (s.sum(axis=1) / whole)
 
 
-def hedonic_index(valid: DataFrame, lam: float = 5.0, origins: list[int] | None = None) -> DataFrame:
-    """log price = cell + gu x quarter + dong x quarter, deviations shrunk by ridge `lam`; one solve for each gu and origin.
+def _arrays(col: pd.Series, width: int) -> np.ndarray:
+    return np.stack([np.asarray(x, float).reshape(width, -1) for x in col])
+
 
-    Each origin sees the quarters up to it. A dong's quarters without sales have deviation 0. Levels are arbitrary;
-    differences within a dong are what is estimated. One group holds the compressed counts of a gu, bounded by
-    quarters x (1 + dongs).
+def dong_equations(rows: DataFrame, first: int, origins: list[int]) -> DataFrame:
+    """(sgg_cd, origin, dong, w, v, n): a dong's equations as seen at each origin, arrays over the quarters from `first` on.
+
+    A cell lies in one dong, so its level is taken out within the dong; sums over parts of a dong's cells add up.
     """
-    rows = compress(valid)
-    last = rows.agg(F.max("q").alias("q")) if origins is None else None
-    origin = F.explode(F.array(*[F.lit(o) for o in origins])) if origins is not None else None
-    rows = rows.withColumn("origin", origin).where("q <= origin") if origin is not None else rows.crossJoin(F.broadcast(last.withColumnRenamed("q", "origin")))
+    width = max(origins) - first + 1
+    parts = max(1, rows.agg(F.approx_count_distinct("cell").alias("n")).first()["n"] // CELLS + 1)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return solve_gu(pdf, lam).assign(sgg_cd=key[0], origin=key[1])[["sgg_cd", "origin", "dong", "q", "gq_effect", "dq_effect", "n_sales"]]
+        cell, cells = pd.factorize(pdf["cell"])
+        n, s = np.zeros((len(cells), width)), np.zeros((len(cells), width))
+        np.add.at(n, (cell, pdf["q"].to_numpy() - first), pdf["n"].to_numpy(float))
+        np.add.at(s, (cell, pdf["q"].to_numpy() - first), pdf["s"].to_numpy(float))
+        out = []
+        for o in origins:
+            k = o - first + 1
+            if n[:, :k].any():
+                w, v = np.zeros((width, width)), np.zeros(width)
+                w[:k, :k], v[:k] = _without_cells(n[:, :k], s[:, :k])
+                out.append((key[0], o, key[1], w.ravel().tolist(), v.tolist(), np.where(np.arange(width) < k, n.sum(axis=0), 0.0).tolist()))
+        return pd.DataFrame(out, columns=["sgg_cd", "origin", "dong", "w", "v", "n"])
+
+    each = rows.where(F.col("q") <= max(origins)).groupBy("sgg_cd", "dong", F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("part")).applyInPandas(fit, f"{KEYS}, w array<double>, v array<double>, n array<double>")
+    if parts == 1:
+        return each
+    add = lambda c: F.reduce(F.collect_list(c), F.array_repeat(F.lit(0.0), width * width if c == "w" else width), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias(c)
+    return each.groupBy("sgg_cd", "origin", "dong").agg(add("w"), add("v"), add("n"))  # as many as `parts` arrays come together
+
+
+def gu_effects(equations: DataFrame, lam: float, width: int) -> DataFrame:
+    """(sgg_cd, origin, g, seen): quarter effects of a gu, the dongs' ridge deviations taken out of its equations.
+
+    Each dong adds a quarters x quarters block; a task adds up its own blocks first, so a gu of any size is a few sums.
+    """
 
-    got = rows.groupBy("sgg_cd", "origin").applyInPandas(fit, "sgg_cd string, origin int, dong string, q int, gq_effect double, dq_effect double, n_sales bigint")
-    level = got.groupBy("sgg_cd", "origin", "q").agg(F.first("gq_effect").alias("gq_effect"))
-    keys = got.select("sgg_cd", "origin", "dong").distinct().join(level, ["sgg_cd", "origin"])
-    full = keys.join(got.drop("gq_effect"), ["sgg_cd", "origin", "dong", "q"], "left").fillna(0, ["dq_effect", "n_sales"])
-    return full.withColumn("log_index", F.col("gq_effect") + F.col("dq_effect"))
+    def blocks(batches):
+        total: dict[tuple, list] = {}
+        for b in batches:
+            for gu, origin, w, v, n in zip(b["sgg_cd"], b["origin"], b["w"], b["v"], b["n"], strict=True):
+                w, v, n = np.asarray(w).reshape(width, width), np.asarray(v), np.asarray(n)
+                at = np.flatnonzero(n > 0)
+                inv = lam * np.linalg.inv(w[np.ix_(at, at)] + lam * np.eye(len(at)))
+                own = total.setdefault((gu, origin), [np.zeros((width, width)), np.zeros(width), np.zeros(width)])
+                own[0][np.ix_(at, at)] += inv @ w[np.ix_(at, at)]
+                own[1][at] += inv @ v[at]
+                own[2] += n
+        yield pd.DataFrame([(*k, a.ravel().tolist(), r.tolist(), n.tolist()) for k, (a, r, n) in total.items()], columns=["sgg_cd", "origin", "a", "r", "n"])
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, r, n = (sum(_arrays(pdf[c], width)) for c in "arn")
+        at, g = np.flatnonzero(n.ravel() > 0), np.full(width, np.nan)
+        g[at] = np.linalg.lstsq(a[np.ix_(at, at)], r.ravel()[at], rcond=None)[0]
+        return pd.DataFrame([(key[0], key[1], g.tolist(), (n.ravel() > 0).tolist())], columns=["sgg_cd", "origin", "g", "seen"])
+
+    sums = equations.select("sgg_cd", "origin", "w", "v", "n").mapInPandas(blocks, "sgg_cd string, origin int, a array<double>, r array<double>, n array<double>")
+    return sums.groupBy("sgg_cd", "origin").applyInPandas(solve, "sgg_cd string, origin int, g array<double>, seen array<boolean>")
 
 
-def deviation_scale(index: DataFrame, sigma: float, lam: float = 5.0) -> DataFrame:
-    """Scale of true deviations, by moments over the upper half of sale counts; one row."""
-    some = index.where("n_sales > 0")
+def hedonic_index(valid: DataFrame, lam: float = 5.0, origins: list[int] | None = None) -> DataFrame:
+    """log price = cell + gu x quarter + dong x quarter, deviations shrunk by ridge `lam`; as seen at each origin.
+
+    Each origin sees the quarters up to it (without origins: one, the last quarter). A dong's quarters without sales have
+    deviation 0. Levels are arbitrary; differences within a dong are what is estimated. The least squares are exact: cells are
+    taken out by dong, dongs by gu, and what is solved are systems as wide as there are quarters.
+    """
+    rows = compress(valid)
+    ends = rows.agg(F.min("q").alias("first"), F.max("q").alias("last")).first()
+    names = f"{KEYS}, q int, gq_effect double, dq_effect double, n_sales bigint"
+    if ends["first"] is None:
+        return rows.sparkSession.createDataFrame([], names).withColumn("log_index", F.col("gq_effect"))
+    first, seen_at = ends["first"], sorted(origins or [ends["last"]])
+    width = max(seen_at) - first + 1
+    equations = dong_equations(rows, first, seen_at)
+
+    def deviations(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                w, v, n = np.asarray(r.w).reshape(width, width), np.asarray(r.v), np.asarray(r.n)
+                at, g, d = np.flatnonzero(n > 0), np.asarray(r.g, float), np.zeros(width)
+                own = w[np.ix_(at, at)]
+                d[at] = np.linalg.solve(own + lam * np.eye(len(at)), v[at] - own @ g[at])
+                out += [(r.sgg_cd, r.origin, r.dong, first + int(i), g[i], d[i], int(n[i])) for i in np.flatnonzero(r.seen)]
+            yield pd.DataFrame(out, columns=["sgg_cd", "origin", "dong", "q", "gq_effect", "dq_effect", "n_sales"])
+
+    with_gu = equations.join(F.broadcast(gu_effects(equations, lam, width)), ["sgg_cd", "origin"])  # a row for each gu and origin
+    return with_gu.mapInPandas(deviations, names).withColumn("log_index", F.col("gq_effect") + F.col("dq_effect"))
+
+
+def residual_scale(valid: DataFrame) -> DataFrame:
+    """(sigma): spread of log prices within a dong's quarter, pooled over all; one row."""
+    each = valid.groupBy("dong", "q").agg(F.count(F.lit(1)).alias("n"), F.var_pop("log_ppm2").alias("v"))
+    return each.agg(F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum(F.col("n") - 1))).alias("sigma"))
+
+
+def deviation_scale(index: DataFrame, sigma: DataFrame, lam: float = 5.0) -> DataFrame:
+    """(sigma, tau, used): scale of true deviations, by moments over the upper half of sale counts; sigma and result: one row."""
+    some = index.where("n_sales > 0").crossJoin(F.broadcast(sigma))
     mid = some.agg(F.median("n_sales").alias("mid"))
-    raw = F.pow(F.col("dq_effect") * (F.col("n_sales") + lam) / F.col("n_sales"), 2) - sigma * sigma / F.col("n_sales")
-    return some.crossJoin(F.broadcast(mid)).where("n_sales >= mid").agg(F.sqrt(F.greatest(F.avg(raw), F.lit(1e-8))).alias("tau"), F.count(F.lit(1)).alias("used"))
+    raw = F.pow(F.col("dq_effect") * (F.col("n_sales") + lam) / F.col("n_sales"), 2) - F.col("sigma") * F.col("sigma") / F.col("n_sales")
+    return some.crossJoin(F.broadcast(mid)).where("n_sales >= mid").agg(F.first("sigma").alias("sigma"), F.sqrt(F.greatest(F.avg(raw), F.lit(1e-8))).alias("tau"), F.count(F.lit(1)).alias("used"))
+
+
+def attach_se(index: DataFrame, scales: DataFrame, lam: float = 5.0) -> DataFrame:
+    """index with log_index_se; scales (sigma, tau): one row."""
+    kept = index.columns
+    return index.crossJoin(F.broadcast(scales.select("sigma", "tau"))).select(*kept, index_se(F.col("n_sales"), F.col("sigma"), F.col("tau"), lam).alias("log_index_se"))
+
+
+def eb_lambda(scales: DataFrame) -> DataFrame:
+    """(lam): the shrinkage that the two scales ask for."""
+    return scales.select(F.try_divide(F.pow("sigma", 2), F.pow("tau", 2)).alias("lam"))
+
+
+def se_by_count_bin(index: DataFrame, edges: Sequence[int] = (1, 5, 10, 20, 50)) -> DataFrame:
+    """(bin, n, median_se, mean_se, falls): errors by sale count, and whether the mean is below the bin's before."""
+    b = F.lit(0)
+    for i, e in enumerate(edges):
+        b = F.when(F.col("n_sales") >= e, i + 1).otherwise(b)
+    out = index.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median("log_index_se").alias("median_se"), F.avg("log_index_se").alias("mean_se"))
+    return out.withColumn("falls", F.col("mean_se") < F.lag("mean_se").over(Window.orderBy("bin")))  # one row for each bin
+
+
+def index_check(a: DataFrame, b: DataFrame, first: int, last: int) -> DataFrame:
+    """(n, spearman): how two indexes (dong, q, x) agree on the dongs' changes from quarter first to quarter last; one row."""
+    change = lambda df, to: df.where(F.col("q").isin(first, last)).groupBy("dong").agg((F.max(F.when(F.col("q") == last, F.col("x"))) - F.max(F.when(F.col("q") == first, F.col("x")))).alias(to))
+    both = change(a, "a").join(change(b, "b"), "dong").withColumn("_all", F.lit(1))
+    return spearman(both, "a", "b", ["_all"]).drop("_all")
 
 
 def repeat_sales_index(pairs: DataFrame, damp: float = 1e-4) -> DataFrame:
@@ -89,14 +181,14 @@ def repeat_sales_index(pairs: DataFrame, damp: float = 1e-4) -> DataFrame:
     return moments.groupBy("dong").applyInPandas(fit, "dong string, q int, repeat_index double")
 
 
-def block_bootstrap(errors: DataFrame, unit: str, a: str, b: str, draws: int = 200, seed: int = 1) -> DataFrame:
+def block_bootstrap(errors: DataFrame, unit: str, a: str, b: str, draws: int = 1000, seed: int = 1) -> DataFrame:
     """Mean error difference a - b and its 95 % interval over draws of units with replacement; one row.
 
     Units are summed first. Slot s of a draw takes the unit at hash(seed, draw, s), so a run repeats exactly under any
     partitioning; draws x units rows are made on the executors.
     """
     units = errors.groupBy(unit).agg(F.sum(F.col(a) - F.col(b)).alias("s"), F.count(F.lit(1)).alias("n"))
-    numbered = units.withColumn("slot", F.row_number().over(Window.orderBy(unit)) - 1)
+    numbered = numbered_rows(units, unit, "slot")
     size = numbered.agg(F.count(F.lit(1)).alias("units"))
     picks = errors.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size)).select("draw", "units", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("k"))
     picks = picks.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("units")).alias("slot"))
@@ -105,12 +197,28 @@ def block_bootstrap(errors: DataFrame, unit: str, a: str, b: str, draws: int = 2
     return each.agg(F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high")).crossJoin(mean)
 
 
-def structure_clusters(matrix: DataFrame, features: list[str], k: int = 4, tries: int = 3) -> DataFrame:
-    """dong and cluster by k-means on standardized features, the best of `tries` seeds."""
+def structure_clusters(matrix: DataFrame, features: list[str], ks: Sequence[int] = (4,), tries: int = 10, least: int = 50) -> DataFrame:
+    """(k, dong, cluster) by k-means on standardized features, for each k the best of `tries` seeds; nothing under `least` rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
+    empty = matrix.select(F.lit(0).alias("k"), "dong", F.lit(0).alias("cluster")).where("false")
+    if matrix.count() < least:
+        return empty
     x = VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip").transform(matrix)
-    x = StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(x).transform(x)
-    fits = [KMeans(k=k, seed=s).fit(x) for s in range(tries)]
-    return min(fits, key=lambda m: m.summary.trainingCost).transform(x).select("dong", F.col("prediction").alias("cluster"))
+    x = StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(x).transform(x).select("dong", "features").persist()
+    for k in ks:
+        best = min((KMeans(k=k, seed=s).fit(x) for s in range(tries)), key=lambda m: m.summary.trainingCost)
+        empty = empty.union(best.transform(x).select(F.lit(k).alias("k"), "dong", F.col("prediction").alias("cluster")))
+    return empty
+
+
+def choose_k(agreement: DataFrame) -> DataFrame:
+    """(k) with the best median agreement (k, ari), then the best tenth percentile, then the smallest; one row."""
+    each = agreement.groupBy("k").agg(F.median("ari").alias("m"), F.percentile("ari", F.lit(0.1)).alias("p"))
+    return each.orderBy(F.desc("m"), F.desc("p"), "k").limit(1).select("k")
+
+
+def cluster_profile(matrix: DataFrame, membership: DataFrame, price: str, others: Sequence[str]) -> DataFrame:
+    """(cluster, n, price, medians): members, exp of the median log price, and medians of the others."""
+    return matrix.join(membership.select("dong", "cluster"), "dong").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.exp(F.median(price)).alias("price"), *[F.median(c).alias(c) for c in others])

@@ -111,6 +111,15 @@ def running_order_statistic(df: DataFrame, value: str, level: float, by: Sequenc
     return ranked.where("_r = _rank").select(q, *by, F.col(value).alias(to), "n")
 
 
+def numbered_rows(df: DataFrame, order: str, to: str) -> DataFrame:
+    """df with row numbers from 0 by `order`: numbers inside range partitions, after the counts of those before."""
+    tagged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = tagged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return inside.join(F.broadcast(before), F.col("_part") == F.col("_of")).select(*df.columns, (F.col("_in") + F.col("_before") - 1).cast("long").alias(to))
+
+
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation, ties sharing their mean; null if a side doesn't vary."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())

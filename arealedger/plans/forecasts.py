@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quarters, scalars
-from ..operators import catalog, forecast, ledger, nowcast, panel
+from ..operators import catalog, forecast, hedonic, ledger, nowcast, panel
 from ..sources.adapter import complexes, span, trade_sale
-from .queries import INDEX_SQL, LAST, query, valid
+from .queries import INDEX_SQL, LAST, SCALES_SQL, query, scales, valid
 
 RESIDUALS_SQL = """, ce AS (SELECT cell, avg(log_ppm2) AS e FROM valid GROUP BY 1),
 rs AS (SELECT sgg_cd, dong, q, datediff('day', date_trunc('quarter', deal_date), deal_date) + 1 AS day, log_ppm2 - e AS residual FROM valid JOIN ce USING (cell)),
@@ -16,9 +16,9 @@ gl AS (SELECT sgg_cd, q, visible, avg(residual) AS level FROM sn GROUP BY 1, 2,
 sl AS (SELECT q, visible, CASE WHEN count(*) >= 30 THEN coalesce(regr_slope(residual, day), 0) ELSE 0 END AS slope FROM sn GROUP BY 1, 2),
 pv AS (SELECT q, visible, dong, count(*) AS n, any_value(level) + sum(residual - level) / (count(*) + 5) AS log_index, any_value(slope) AS slope FROM sn JOIN gl USING (sgg_cd, q, visible) JOIN sl USING (q, visible) GROUP BY 1, 2, 3)"""
 WEIGHT_SQL = ", hs AS (SELECT dong, sum(p_size) AS w FROM (SELECT DISTINCT dong, p_partkey, p_size FROM joined) GROUP BY 1)"
-DELTA_SQL = f"""{INDEX_SQL}{WEIGHT_SQL}, ty AS (SELECT i.dong, i.q, a.log_index - i.log_index AS y FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4),
+DELTA_SQL = f"""{SCALES_SQL}{WEIGHT_SQL}, ty AS (SELECT i.dong, i.q, a.log_index - i.log_index AS y FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4),
 tg AS (SELECT dong, q, y, sum(y * w) OVER (PARTITION BY q) / sum(w) OVER (PARTITION BY q) AS mu FROM ty JOIN hs USING (dong)),
-fc AS (SELECT i.dong, i.sgg_cd, i.q, i.log_index - b.log_index AS change, w, sqrt(0.09 * i.n_sales + 0.0025 * 25) / (i.n_sales + 5) AS se FROM idx i JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4 JOIN hs ON hs.dong = i.dong),
+fc AS (SELECT i.dong, i.sgg_cd, i.q, i.log_index - b.log_index AS change, w, sqrt(sigma * sigma * i.n_sales + tau * tau * 25) / (i.n_sales + 5) AS se FROM sc, idx i JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4 JOIN hs ON hs.dong = i.dong),
 fr AS (SELECT *, change - sum(change * w) OVER (PARTITION BY q) / sum(w) OVER (PARTITION BY q) AS relative FROM fc),
 fg AS (SELECT *, avg(relative) OVER (PARTITION BY q, sgg_cd) AS gu_relative FROM fr),
 dl AS (SELECT fg.*, y - mu AS delta FROM fg JOIN tg USING (dong, q)),
@@ -42,7 +42,7 @@ def _weights(spark, d):
 
 def _ladder(spark, d):
     w = _weights(spark, d)
-    index = panel.mean_index(valid(spark, d)).withColumn("se", scalars.index_se(F.col("n_sales"), 0.3, 0.05, 5.0))
+    index = hedonic.attach_se(*scales(spark, d)).withColumnRenamed("log_index_se", "se")
     rows = forecast.delta_features(index, w).join(forecast.delta_targets(index, w).select("q", "dong", "delta"), ["q", "dong"])
     return forecast.ladder_predictions(rows, least=100)
 
@@ -74,7 +74,7 @@ def revision_score(spark, d):
 
 @query()
 def shrinkage_choice(spark, d):
-    return nowcast.select_shrinkage(valid(spark, d), splits=1)
+    return nowcast.select_shrinkage(valid(spark, d))
 
 
 @query(f"{DELTA_SQL} SELECT q, n, round(mae_c0, 6) AS mae_c0, round(mae_c1, 6) AS mae_c1, round(mae_c1f, 6) AS mae_c1f, round(mae_c2, 6) AS mae_c2 FROM er")
@@ -135,7 +135,7 @@ def error_gap_bootstrap(spark, d):
     e = panel.mae_by_origin(panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4)))
     first = e.agg(F.min("q").alias("f"))
     series = e.crossJoin(F.broadcast(first)).select((F.col("q") - F.col("f")).alias("pos"), (F.col("mae_b1") - F.col("mae_b2")).alias("value"))
-    return forecast.moving_block_bootstrap(series, 4, 500)
+    return forecast.moving_block_bootstrap(series, 4)
 
 
 @query(f"""{INDEX_SQL}, f AS (SELECT dong, cast(sgg_cd AS INT) % 4 AS cluster, log_index AS level, n_sales::DOUBLE AS n FROM idx WHERE q = {LAST}),

@@ -329,9 +329,50 @@ def hedonic_index(spark, d):
 
 @query()
 def vintage_indexes(spark, d):
-    """The index as seen at the ends of two years."""
+    """The index as seen at the end of every quarter from the fourth on."""
+    first, last = span(spark, d)
+    return hedonic.hedonic_index(valid(spark, d), origins=list(range(first + 3, last + 1))).select("origin", "dong", "q", "n_sales", "log_index")
+
+
+SCALES_SQL = f"""{INDEX_SQL}, sv AS (SELECT count(*) AS n, var_pop(log_ppm2) AS v FROM valid GROUP BY dong, q), si AS (SELECT sqrt(sum(n * v) / sum(n - 1)) AS sigma FROM sv),
+md_ AS (SELECT median(n_sales) AS mid FROM idx), sc AS (SELECT any_value(sigma) AS sigma, sqrt(greatest(avg(pow(dq_effect * (n_sales + 5) / n_sales, 2) - sigma * sigma / n_sales), 1e-8)) AS tau, count(*) AS used FROM idx, md_, si WHERE n_sales >= mid),
+se AS (SELECT idx.*, sqrt(sigma * sigma * n_sales + tau * tau * 25) / (n_sales + 5) AS log_index_se FROM idx, sc)"""
+
+
+def scales(spark, d):
+    """The mean index and its two scales."""
+    v = valid(spark, d)
+    index = panel.mean_index(v)
+    return index, hedonic.deviation_scale(index, hedonic.residual_scale(v))
+
+
+@query(f"{SCALES_SQL} SELECT round(sigma, 6) AS sigma, round(tau, 6) AS tau, used, round(sigma * sigma / (tau * tau), 5) AS lam FROM sc")
+def error_scales(spark, d):
+    s = scales(spark, d)[1]
+    return s.crossJoin(F.broadcast(hedonic.eb_lambda(s))).select(F.round("sigma", 6).alias("sigma"), F.round("tau", 6).alias("tau"), "used", F.round("lam", 5).alias("lam"))
+
+
+@query(f"{SCALES_SQL} SELECT dong, q, n_sales, round(log_index, 6) AS log_index, round(log_index_se, 6) AS log_index_se FROM se")
+def index_with_errors(spark, d):
+    out = hedonic.attach_se(*scales(spark, d))
+    return out.select("dong", "q", "n_sales", F.round("log_index", 6).alias("log_index"), F.round("log_index_se", 6).alias("log_index_se"))
+
+
+@query(f"""{SCALES_SQL}, bn AS (SELECT (n_sales >= 1)::INT + (n_sales >= 5)::INT + (n_sales >= 10)::INT + (n_sales >= 20)::INT + (n_sales >= 50)::INT AS bin, count(*) AS n, median(log_index_se) AS md, avg(log_index_se) AS mn FROM se GROUP BY 1)
+SELECT bin, n, round(md, 6) AS median_se, round(mn, 6) AS mean_se, mn < lag(mn) OVER (ORDER BY bin) AS falls FROM bn""")
+def se_by_count_bin(spark, d):
+    out = hedonic.se_by_count_bin(hedonic.attach_se(*scales(spark, d)))
+    return out.select("bin", "n", F.round("median_se", 6).alias("median_se"), F.round("mean_se", 6).alias("mean_se"), "falls")
+
+
+@query()
+def index_check(spark, d):
+    """The hedonic and the repeat-sales index on changes between the last two years' ends."""
     last = span(spark, d)[1]
-    return hedonic.hedonic_index(valid(spark, d), origins=[last - 8, last - 4]).select("origin", "dong", "q", "n_sales", "log_index")
+    end = last - (last + 1) % 4
+    h = hedonic.hedonic_index(valid(spark, d)).select("dong", "q", F.col("log_index").alias("x"))
+    r = hedonic.repeat_sales_index(ledger.repeat_pairs(valid(spark, d))).select("dong", "q", F.col("repeat_index").alias("x"))
+    return hedonic.index_check(h, r, end - 4, end)
 
 
 @query()
@@ -349,7 +390,7 @@ def mae_bootstrap(spark, d):
 @query()
 def structure_clusters(spark, d):
     v = valid(spark, d).groupBy("dong").agg(F.avg("log_ppm2").alias("level"), F.avg("build_year").alias("built"), F.count(F.lit(1)).cast("double").alias("n"))
-    return hedonic.structure_clusters(v, ["level", "built", "n"])
+    return hedonic.structure_clusters(v, ["level", "built", "n"], ks=(4, 5, 6))
 
 
 @query()
