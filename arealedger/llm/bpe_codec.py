@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PieceCache, in_slices, word_pieces
+from .tokens import PieceCache, in_slices, sole, word_pieces
 
 #: Unicode white space, as the tokenizer files mean it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -113,17 +113,16 @@ class Bpe:
         return " ".join(self.names[i] for i in ids)
 
 
-_CODECS: dict[str, Bpe] = {}
-
-
 def codec(path: str) -> Bpe:
-    if path not in _CODECS:
-        _CODECS[path] = Bpe(path)
-    return _CODECS[path]
+    return sole(("bpe", path), lambda: Bpe(path))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text; a null or empty text has no ids."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text.
+
+    A null or empty text has no ids. Null and repeated doc_ids keep a row each; other columns are not looked at; an empty
+    table gives an empty one.
+    """
 
     def run(batches):
         c = codec(path)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker process; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 700_000
 #: Bytes of text that are worked on at once (one longer text is a slice of its own).
 SLICE = 6_000_000
 #: Python and Arrow count these as white space, the library doesn't.
@@ -91,8 +91,8 @@ def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarr
 class Encoder:
     """ids of whole texts: little-endian unsigned 32-bit, all texts' ids in a row and how many each has."""
 
-    #: Pieces that go through the library in one string, told apart by the file's special token.
-    GROUP = 200
+    #: Pieces that go through the library in one string, told apart by the file's special token; such strings in a call.
+    GROUP, CALL = 200, 50
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
@@ -113,13 +113,14 @@ class Encoder:
         out: list[np.ndarray] = []
         size = self.GROUP if self.mark else 1
         groups = [pieces[i : i + size] for i in range(0, len(pieces), size)]
-        joined = [(self.mark or "").join(g) for g in groups]
-        for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False) if groups else [], strict=True):
-            ids = np.array(e.ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark_id) if self.mark else np.zeros(0, np.int64)
-            if len(at) != len(g) - 1:
-                raise RuntimeError("pieces of a group can't be told apart")
-            out += [ids[a:z] for a, z in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+        for i in range(0, len(groups), self.CALL):
+            some = groups[i : i + self.CALL]
+            for g, e in zip(some, self.tok.encode_batch_fast([(self.mark or "").join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                at = np.flatnonzero(ids == self.mark_id) if self.mark else np.zeros(0, np.int64)
+                if len(at) != len(g) - 1:
+                    raise RuntimeError("pieces of a group can't be told apart")
+                out += [ids[a:z] for a, z in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
         return out
 
     def _learn(self, pieces: list[str]) -> None:
@@ -188,14 +189,20 @@ class Encoder:
         return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_SOLE: dict[tuple, object] = {}
+
+
+def sole(key: tuple, make: Callable[[], object]):
+    """The one large object that a worker process keeps from task to task; another one's key lets the last one go."""
+    if key not in _SOLE:
+        _SOLE.clear()
+        _SOLE[key] = make()
+    return _SOLE[key]
 
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary file, so that pieces stay known from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return sole(("encoder", path), lambda: Encoder(path))
 
 
 def text_slices(col: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:

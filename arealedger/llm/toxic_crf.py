@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field; forward-backward marginals give document scores.
 
 Labels are of documents, so token labels are derived first: a term (a word or its first letters) that stands far more
-often in toxic than in clean labelled documents marks tokens of toxic documents. These counts cover a bounded sample of
+often in toxic than in clean labelled documents marks tokens of toxic documents. The same terms are features of the
+emissions; what the chain adds is the neighbours' say, and the document weights are fitted on its marginals. Counts cover a bounded sample of
 the labelled training rows (about TRAIN_ROWS of each label, all where there are fewer); the field is fitted on
 TRAIN_DOCS of them of each label and tags every whole text.
 """
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
-from .tokens import in_slices
+from .tokens import sole, text_slices
 
 #: Labelled documents of each label, about, whose terms are counted.
 TRAIN_ROWS = 20_000
 #: Documents of each label in the fitting sample.
 TRAIN_DOCS = 800
-#: The fitting sample takes whole texts of up to so many characters.
+#: Characters of each of them that the fit reads; tagging reads whole texts.
 TRAIN_CHARS = 200_000
 #: Terms of the token-label lexicon at most.
 LEXICON = 4000
@@ -33,7 +34,9 @@ WORD = re.compile(r"\w+")
 CHUNK = 128
 EPOCHS = 60
 #: Words whose emission a worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
+#: Bytes of text that are tagged at once.
+SLICE = 1_000_000
 
 
 def terms(word: str) -> list[str]:
@@ -121,15 +124,9 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.features(found) @ self.document, -30, 30)))
 
 
-_EMISSIONS: dict[str, dict[str, float]] = {}
-
-
 def _emissions(key: str) -> dict[str, float]:
-    """Word emissions of one fit; those of an earlier fit are let go."""
-    if key not in _EMISSIONS:
-        _EMISSIONS.clear()
-        _EMISSIONS[key] = {}
-    return _EMISSIONS[key]
+    """Word emissions of one fit."""
+    return sole(("emissions", key), dict)
 
 
 def lexicon(labelled: DataFrame, limit: int = LEXICON) -> set[str]:
@@ -245,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     marks = lexicon(rows)
     sample = []
     for label in (0, 1):
-        some = rows.where((F.col("toxic") == label) & (F.length("text") <= TRAIN_CHARS))
+        some = rows.where(F.col("toxic") == label).withColumn("text", F.substring("text", 1, TRAIN_CHARS))
         first = some.select("doc_id", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(train_docs).select("doc_id").distinct()
         found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "text", "toxic").collect()
         sample += sorted(found, key=lambda r: (r["doc_id"], r["text"]))
@@ -260,26 +257,33 @@ def with_scores(df: DataFrame, fit: Field, text: str, score: str, spans: str) ->
     def run(batches):
         f = held.value
         for b in batches:
-            scores, found = [], []
-            for _, part in in_slices([None] * b.num_rows, b.column(b.schema.get_field_index(text)).to_pylist()):
-                m = f.tag(part)
-                scores.append(f.scores(m))
+            col = b.column(b.schema.get_field_index(text))
+            for lo, hi in text_slices(col, SLICE):
+                part = [t or "" for t in col.slice(lo, hi - lo).to_pylist()]
+                m, found = f.tag(part), []
                 for t, x in zip(part, m, strict=True):
                     bad = x >= 0.5
                     found.append(",".join(f"{w.start()}:{w.end()}" for w, k in zip(WORD.finditer(t), bad.tolist(), strict=True) if k) if bad.any() else "")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(found, pa.string())], names=[*b.schema.names, score, spans])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(f.scores(m), pa.float64()), pa.array(found, pa.string())], names=[*b.schema.names, score, spans])
 
     return df.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans of every document row. A null doc_id is not held out."""
+    """doc_id, held_out, score, predicted, spans of every document row.
+
+    A null doc_id is not held out, a null text counts as empty (the score of no sign). Repeated doc_ids keep a row each; other
+    columns are not looked at; an empty table gives an empty one.
+    """
     out = with_scores(docs.select("doc_id", "text"), train(docs, labels), "text", "score", "spans")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the field rejects; the columns stay as they are."""
+    """docs without those that the field rejects; the columns stay as they are, whatever their names.
+
+    Null and empty texts stay unless texts without a sign are rejected. Equal rows share their fate.
+    """
     score, spans = fresh(docs, "_toxic_score"), fresh(docs, "_toxic_spans")
     return with_scores(docs, train(docs, labels), "text", score, spans).where(F.col(score) < 0.5).select(*docs.columns)
