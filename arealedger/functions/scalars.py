@@ -63,7 +63,7 @@ def sample_flags(n: Column, share: Column, se: Column | None = None) -> Column:
 
 def parse_flags(c: Column) -> Column:
     known = F.array(F.lit(FEW_SALES), F.lit(ONE_COMPLEX), F.lit(HIGH_ERROR))
-    return F.array_intersect(F.transform(F.split(c, ";"), F.trim), known)
+    return F.array_intersect(F.transform(F.split(c, ";"), lambda x: F.trim(x)), known)
 
 
 def enum_or_null(c: Column, allowed: list[str]) -> Column:
@@ -127,3 +127,38 @@ def crc_fold(c: Column, k: int = 2) -> Column:
 
 def km_distance(lat: Column, lng: Column, point: tuple[float, float]) -> Column:
     return F.sqrt(F.pow((lat - point[0]) * 111.0, 2) + F.pow((lng - point[1]) * 88.0, 2))
+
+
+def format_price(c: Column) -> Column:
+    """Units of ten thousand as `N억 M`, either part left out where it is nothing."""
+    n = half_up(c).cast("long")
+    big, rest = F.floor(n / 10000), F.pmod(n, F.lit(10000))
+    return F.when(n == 0, "0").otherwise(F.concat_ws(" ", F.when(big > 0, F.concat(big.cast("string"), F.lit("억"))), F.when(rest > 0, F.format_number(rest, 0))))
+
+
+def zone_neighbourhood(address: Column, gu: Column) -> Column:
+    """The neighbourhood that a zone's lot stands in: without the gu's name and lot numbers; null for a list of lots.
+
+    A digit that belongs to the name (before its last letter) stays.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(address), F.concat(F.lit("^"), gu, F.lit(r"\s*")), F.lit("")))
+    name = F.regexp_extract(bare, r"^(.*?[가-힣])\s*(?:산\s*)?\d+(?:-\d+)?(?:\s*(?:번지|일대|일원|외|~).*)?$", 1)
+    one = F.when(name != "", F.trim(name)).otherwise(F.when(bare.rlike("^[가-힣0-9]*[가-힣]$"), bare))
+    return F.when(~bare.rlike(r"[,·]"), one)
+
+
+def round_coords(polygons: Column, digits: int = 6) -> Column:
+    """Every coordinate of a multipolygon rounded."""
+    return F.transform(polygons, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.transform(p, lambda x: F.round(x, digits)))))
+
+
+def encode_peers(peers: Column) -> Column:
+    """An array of (dong, reason) structs as JSON; null for none."""
+    return F.when(F.size(peers) > 0, F.to_json(peers))
+
+
+def peers_valid(c: Column) -> Column:
+    """Whether a text is a non-empty JSON list of objects with a dong and a reason, and nothing else."""
+    items = F.from_json(c, "array<map<string, string>>")
+    keys = lambda m: F.array_sort(F.map_keys(m))
+    return F.coalesce((F.size(items) > 0) & F.forall(items, lambda m: (keys(m) == F.array(F.lit("dong"), F.lit("reason"))) & m["dong"].isNotNull() & m["reason"].isNotNull()), F.lit(False))

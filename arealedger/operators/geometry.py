@@ -24,6 +24,17 @@ def ring_centroid(ring: Column) -> Column:
     return F.struct((x + sx / (6 * ring_area(ring))).alias("x"), (y + sy / (6 * ring_area(ring))).alias("y"))
 
 
+def multi_centroid(polygons: Column) -> Column:
+    """Centroid of polygons (each an outer ring and its holes), weighted by area; a hole counts against it."""
+    parts = F.flatten(F.transform(polygons, lambda rings: F.transform(rings, lambda r, i: F.struct(F.when(i == 0, F.abs(ring_area(r))).otherwise(-F.abs(ring_area(r))).alias("w"), ring_centroid(r).alias("c")))))
+    whole = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"])
+    return F.struct((F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"] * p["c"]["x"]) / whole).alias("x"), (F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"] * p["c"]["y"]) / whole).alias("y"))
+
+
+def multi_bounds(polygons: Column) -> Column:
+    return bounds(F.flatten(F.flatten(polygons)))
+
+
 def orient_ring(ring: Column, clockwise: bool) -> Column:
     return F.when((ring_area(ring) < 0) == F.lit(clockwise), ring).otherwise(F.reverse(ring))
 

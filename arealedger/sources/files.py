@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quarters import quarter_ord
+
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Every column as text: leading zeros of lot numbers stay."""
@@ -30,17 +32,110 @@ def html_table_rows(df: DataFrame, html: str) -> DataFrame:
     return cells.where((F.size("c") == 3) & F.get("c", F.lit(0)).rlike("^[0-9]{4}$")).select(F.get("c", F.lit(0)).alias("year"), F.get("c", F.lit(1)).alias("day"), F.get("c", F.lit(2)).try_cast("double").alias("rate"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features with the key and the rings of their polygons."""
-    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<array<double>>>>>>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.coordinates").alias("polygons"))
+def read_trade_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of {kind}_{gu}_{month}.json files with what their names say; files without a row give none."""
+    df = spark.read.schema(schema).json(path).withColumn("_file", F.input_file_name())
+    part = lambda k: F.regexp_extract("_file", r"([^/_]+)_([^/_]+)_([0-9]{6})\.json", k)
+    return df.select("*", part(1).alias("kind"), part(2).alias("gu"), part(3).alias("deal_ym")).drop("_file")
 
 
-def publish_snapshot(frames: dict[str, DataFrame], root: str, snapshot_id: str, checks: dict[str, DataFrame], commit: bool = False) -> dict[str, int]:
-    """Write frames under a new snapshot_id, run the checks, and only then move the pointer; counts of rows written.
+def read_trade_xml(spark: SparkSession, path: str, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): items of API pages under our names, whatever the case of their tags, and pages whose result code isn't zeros.
 
-    Without commit nothing is written but the checks run. Readers see the new snapshot when the pointer's one row
-    names it, so a run that fails in between leaves the old one in place.
+    fields: tag -> our name. A tag that an item lacks is null, and so is a blank one.
+    """
+    pages = spark.read.text(path, wholetext=True).withColumn("code", F.regexp_extract("value", r"(?i)<resultCode>\s*([^<]*?)\s*</resultCode>", 1))
+    ok = F.col("code").rlike("^0+$")
+    item = pages.where(ok).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?is)<item>(.*?)</item>"), F.lit(1))).alias("item"))
+    cell = lambda tag: F.nullif(F.trim(F.regexp_extract("item", rf"(?is)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
+    return item.select(*[cell(tag).alias(name) for tag, name in fields.items()]), pages.where(~ok).select(F.substring("value", 1, 500).alias("page"), "code")
+
+
+def latest_release(df: DataFrame) -> DataFrame:
+    """The row (year, month, seq, ...) of the newest release."""
+    return df.agg(F.max(F.struct("year", "month", "seq", *[c for c in df.columns if c not in ("year", "month", "seq")])).alias("r")).where("r is not null").select("r.*").select(*df.columns)
+
+
+def parse_registry(df: DataFrame, city: str, kind: str) -> DataFrame:
+    """Registry rows (pnu, address, kind, name) of a city and kind, the lot code split 5, 5, 4, 4 behind its land mark; the first name of each address."""
+    rows = df.where(F.col("address").startswith(city) & (F.col("kind") == kind))
+    first = rows.groupBy("address").agg(F.min(F.struct("pnu", "name")).alias("r")).select("address", "r.*")
+    cut = lambda at, n: F.substring("pnu", at, n)
+    return first.select("address", "name", cut(1, 5).alias("sigungu_cd"), cut(6, 5).alias("bjdong_cd"), cut(12, 4).alias("bun"), cut(16, 4).alias("ji"))
+
+
+def flatten_ledger(df: DataFrame, column: str, fields: dict[str, str], numbers: list[str], day: str) -> DataFrame:
+    """Items of a JSON text column under our names, numbers cast where they are some, and the year of a yyyymmdd day."""
+    items = F.from_json(F.get_json_object(column, "$.items.item"), "array<map<string, string>>")
+    rows = df.select(F.explode_outer(items).alias("i")).where("i is not null")
+    out = rows.select(*[F.nullif(F.trim(F.col("i")[k]), F.lit("")).alias(n) for k, n in fields.items()])
+    return out.withColumns({c: F.col(c).try_cast("double") for c in numbers}).withColumn("use_year", F.substring(day, 1, 4).try_cast("int"))
+
+
+def with_households(df: DataFrame, column: str = "households") -> DataFrame:
+    return df.where(F.col(column) > 0)
+
+
+def read_zones(spark: SparkSession, path: str, gus: list[str]) -> DataFrame:
+    """Redevelopment zones by column position: gu, lot, households and the quarters of their stage dates; rows whose first
+    four cells stand and whose gu is known."""
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    raw = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
+    full = F.lit(True)
+    for i in range(4):
+        full = full & (F.trim(F.coalesce(f"c{i}", F.lit(""))) != "")
+    stages = [i for i in (11, 13, 14, 16, 18, 22) if i < len(raw.columns)]
+    quarter = lambda i: quarter_ord(F.try_to_date(F.regexp_replace(F.trim(f"c{i}"), "[./]", "-"), "yyyy-MM-dd"))
+    kept = raw.where(full & F.trim("c2").isin(gus))
+    return kept.select(F.trim("c2").alias("gu"), F.trim("c4").alias("lot") if len(raw.columns) > 4 else F.lit(None).alias("lot"), F.col("c10").try_cast("int").alias("households") if len(raw.columns) > 10 else F.lit(None).alias("households"), *[quarter(i).alias(f"s{k + 1}") for k, i in enumerate(stages)])
+
+
+def read_permits(spark: SparkSession, path: str) -> DataFrame:
+    """Records of {"result": [...]} files of land-permit designations, every value as text."""
+    return spark.read.schema("result array<map<string, string>>").option("multiLine", True).json(path).select(F.explode("result").alias("r"))
+
+
+def write_summary(df: DataFrame, path: str, head: dict[str, str], evidence: list[str]) -> None:
+    """One JSON line: head, and the evidence columns of df's rows (a handful) as a list in their order."""
+    rows = df.agg(F.array_sort(F.collect_list(F.struct(*evidence))).alias("evidence"))
+    rows.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()], "evidence")).alias("value")).write.text(path)
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, type, polygons) of features: a Polygon's rings stand as a list of one polygon."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
+    shape = F.get_json_object("f", "$.geometry.coordinates")
+    rings = "array<array<array<double>>>"
+    many = F.when(F.col("type") == "Polygon", F.array(F.from_json(shape, rings))).when(F.col("type") == "MultiPolygon", F.from_json(shape, f"array<{rings}>"))
+    rows = lines.withColumn("type", F.get_json_object("f", "$.geometry.type"))
+    return rows.select(F.from_json(F.get_json_object("f", "$.properties"), "map<string, string>").alias("properties"), "type", many.alias("polygons"))
+
+
+def write_geojson(df: DataFrame, path: str, properties: list[str], polygons: str = "polygons") -> None:
+    """One feature a line, always as a MultiPolygon."""
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col(polygons).alias("coordinates"))
+    df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("value")).write.text(path)
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and snapshot of the newest pointer; each lies in a folder of its own, which is complete once it has its marker."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_active")
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        return None
+    done = [p.getPath().getName() for p in fs.listStatus(fs_path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))]
+    numbers = [int(n.split("=")[1]) for n in done if n.startswith("version=")]
+    if not numbers:
+        return None
+    return max(numbers), spark.read.parquet(f"{root}/_active/version={max(numbers)}").first()["snapshot_id"]
+
+
+def publish_snapshot(frames: dict[str, DataFrame], root: str, snapshot_id: str, checks: dict[str, DataFrame], commit: bool = False, carry: tuple[str, ...] = ()) -> dict[str, int]:
+    """Write frames under a new snapshot_id, compare what was written with what was to be, and only then add a pointer to it.
+
+    Checks run first; without commit nothing is written. carry: tables of the present snapshot that the new one takes over.
+    Pointers are never changed: each publication adds the next one, and readers take the newest that is complete, so a run that
+    fails anywhere leaves the present snapshot in place. Gives the counts of rows written.
     """
     bad = {name: n for name, df in checks.items() if (n := df.limit(1).count())}
     if bad:
@@ -48,15 +143,50 @@ def publish_snapshot(frames: dict[str, DataFrame], root: str, snapshot_id: str,
     if not commit:
         return {}
     spark, out = next(iter(frames.values())).sparkSession, {}
-    for name, df in frames.items():
+    present = _newest(spark, root)
+    if carry and present is None:
+        raise ValueError("there is no snapshot to carry tables over from")
+    every = frames | {name: active(spark, root, name).drop("snapshot_id") for name in carry if name not in frames}
+    for name, df in every.items():
         path = f"{root}/{name}/snapshot_id={snapshot_id}"
         df.write.parquet(path)
-        out[name] = spark.read.parquet(path).count()
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_active")
+        back = spark.read.parquet(path)
+        mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*x.columns))).first())
+        want, got = mark(df), mark(back.select(*df.columns))
+        if want != got:
+            raise ValueError(f"{name}: {got[0]} rows were written where {want[0]} were to be, or others")
+        out[name] = got[0]
+    number = 1 + (present[0] if present else 0)
+    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.parquet(f"{root}/_active/version={number}")
     return out
 
 
 def active(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The active snapshot of a table: one partition is read."""
-    sid = spark.read.parquet(f"{root}/_active").first()["snapshot_id"]
-    return spark.read.parquet(f"{root}/{name}").where(F.col("snapshot_id").cast("string") == sid)
+    found = _newest(spark, root)
+    if found is None:
+        raise ValueError(f"{root} has no active snapshot")
+    return spark.read.parquet(f"{root}/{name}").where(F.col("snapshot_id").cast("string") == found[1])
+
+
+def snapshot_counts(spark: SparkSession, root: str, names: list[str], old: str, new: str) -> DataFrame:
+    """(name, old, new, change): rows of each table in two snapshots."""
+    out = None
+    for name in names:
+        t = spark.read.parquet(f"{root}/{name}").withColumn("_s", F.col("snapshot_id").cast("string"))
+        row = t.agg(F.count_if(F.col("_s") == old).alias("old"), F.count_if(F.col("_s") == new).alias("new")).select(F.lit(name).alias("name"), "old", "new", (F.col("new") - F.col("old")).alias("change"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def publish_batch(df: DataFrame, kind: str, root: str, batch: str, commit: bool = False, limit: int = 10_000) -> DataFrame:
+    """Profile of a batch (kind, rows, first and last month, checksum); with commit it is written, read back, compared and made active.
+
+    A dry run looks at `limit` rows at most; a commit at all of them.
+    """
+    rows = df if commit else df.limit(limit)
+    profile = lambda x: x.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows"), F.min("deal_ym").alias("first_ym"), F.max("deal_ym").alias("last_ym"), F.hex(F.bit_xor(F.xxhash64(*df.columns))).alias("checksum"))
+    if commit:
+        publish_snapshot({kind: rows}, f"{root}/{kind}", batch, {}, commit=True)
+        return profile(active(df.sparkSession, f"{root}/{kind}", kind))
+    return profile(rows)

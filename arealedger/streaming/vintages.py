@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,56 @@ def quarter_counts(events: DataFrame) -> DataFrame:
 
 
 def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str):
-    """Append rows with unseen keys, each micro-batch written once under its number, so a repeated batch replaces itself."""
+    """Append rows whose key `target` doesn't hold yet; rows of one key that come together all go in.
+
+    What is there already is looked up in `target` itself, batch by batch, so no key is kept as state. Each micro-batch is
+    written once under its number, so a repeated batch replaces itself.
+    """
     def put(batch: DataFrame, number: int) -> None:
+        try:
+            known = batch.sparkSession.read.parquet(target).where(F.col("batch") < number).select(*keys).distinct()
+            batch = batch.join(known, keys, "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.dropDuplicates(keys).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_manifest(stream: DataFrame, target: str, checkpoint: str):
+    """Counts (as_of, kind, ym, n) of landed records, each day's recounted whole from the rows seen so far.
+
+    A batch writes the counts of its own rows under its number; a day's manifest is their sum, so a repeated batch replaces
+    its own part.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        batch.groupBy("as_of", "kind", "ym").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def manifest(spark, target: str) -> DataFrame:
+    """(as_of, kind, ym, n) over all batches."""
+    return spark.read.parquet(target).groupBy("as_of", "kind", "ym").agg(F.sum("n").alias("n"))
+
+
+def stream_eligibility(sales: DataFrame, least: int = 20, width: int = 4):
+    """(dong, q, n_4q, eligible) as sales (dong, q) stream in: state of a dong are its counts of the last `width` quarters."""
+    import pandas as pd
+
+    def update(key, batches, state):
+        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for pdf in batches:
+            for q, n in pdf["q"].value_counts().items():
+                counts[int(q)] = counts.get(int(q), 0) + int(n)
+        last = max(counts)
+        counts = {q: n for q, n in counts.items() if q > last - width}
+        state.update((list(counts), list(counts.values())))
+        total = sum(counts.values())
+        yield pd.DataFrame({"dong": [key[0]], "q": [last], "n_4q": [total], "eligible": [total >= least]})
+
+    return sales.groupBy("dong").applyInPandasWithState(update, "dong string, q int, n_4q bigint, eligible boolean", "qs array<int>, ns array<bigint>", "update", "NoTimeout")
 
 
 def arrival_curve(arrivals: DataFrame) -> DataFrame:
