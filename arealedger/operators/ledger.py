@@ -29,8 +29,9 @@ def eligible(valid: DataFrame, first: int, last: int, least: int = 20) -> DataFr
 def sale_features(ledger: DataFrame, valid: DataFrame, width: int = 4) -> DataFrame:
     """Trailing sale block by dong and as_of: count with cancelled ones, cancel share, age and 30-year share, median price."""
     age = F.year("deal_date") - F.col("build_year")
-    rows = trailing_windows(ledger.select("dong", "q", "is_cancelled", age.alias("age")), width)
-    block = rows.groupBy("dong", "as_of").agg(F.count(F.lit(1)).alias("sale_n_all_4q"), F.avg(F.col("is_cancelled").cast("double")).alias("cancel_share_4q"), F.median("age").alias("median_age_4q"), F.avg((F.col("age") >= 30).cast("double")).alias("old30_share_4q"))
+    each = ledger.groupBy("dong", "q", age.alias("age")).agg(F.count(F.lit(1)).alias("n"), F.count("is_cancelled").alias("marked"), F.count_if("is_cancelled").alias("cancelled"))
+    rows, known = trailing_windows(each, width), F.when(F.col("age").isNotNull(), F.col("n"))  # counts by age are repeated, not sales
+    block = rows.groupBy("dong", "as_of").agg(F.sum("n").alias("sale_n_all_4q"), F.try_divide(F.sum("cancelled"), F.sum("marked")).alias("cancel_share_4q"), F.percentile("age", F.lit(0.5), F.col("n")).alias("median_age_4q"), F.try_divide(F.sum(F.when(F.col("age") >= 30, F.col("n")).otherwise(0)), F.sum(known)).alias("old30_share_4q"))
     price = trailing_windows(valid.select("dong", "q", (F.col("price") / F.col("area")).alias("ppm2")), width).groupBy("dong", "as_of").agg(F.count(F.lit(1)).alias("sale_n_valid_4q"), F.median("ppm2").alias("median_ppm2_4q"))
     return block.join(price, ["dong", "as_of"], "left")
 
