@@ -570,10 +570,42 @@ def test_running_totals(spark):
     assert got == sorted(want)
 
 
-def test_pipeline_chain(spark, docs, tmp_path):
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    docs.drop("fp", "_part").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1, 0), (3, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "packing"]
+    rng = random.Random(11)
+    made, labels = [], []
+    for i in range(420):
+        t = sentence(rng, rng.randint(20, 60))
+        if i % 6 == 0:
+            t += " " + rng.choice(["vileone", "vilekin", "scoundrel"]) + " " + sentence(rng, 5)
+        if i % 5 == 1:
+            w = made[-1][1].split()
+            t = " ".join([*w[:-1], f"edit{i}"]) if i % 2 else made[-1][1]
+        if i % 9 == 2:
+            t += f" token = {rng.getrandbits(128):032x}"
+        made.append((i, t))
+        labels.append((i, 1, int(any(x in t for x in ("vileone", "vilekin", "scoundrel")))))
+    made += [(1000, None), (1001, ""), (1002, "word " * 9000), made[5], (None, made[7][1])]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        seen.append((name, docs.collect(), after.collect()))
+        assert name == "packing" or after.columns == docs.columns
+        docs = after
+    (_, before, clean), (_, _, single), (_, _, masked), (_, _, packed_) = seen
+    toxic = {k for k, _, t in labels if t}
+    assert {r["doc_id"] for r in before} - {r["doc_id"] for r in clean} == toxic
+    assert sorted(r["doc_id"] for r in single) == brute_groups(sorted([(r["doc_id"], r["text"]) for r in clean if r["doc_id"] is not None]))
+    texts_, hidden = {r["doc_id"]: r["text"] for r in single}, re.compile("token = [0-9a-f]{32}")
+    assert {r["doc_id"]: r["text"] for r in masked} == {k: t if t is None else hidden.sub("[secret]", t) for k, t in texts_.items()}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in masked)
+    ids, _ = library(BYTE)
+    for r in masked:
+        i, own = [*ids(r["text"] or ""), 2], sorted((p for p in packed_ if p["doc_id"] == r["doc_id"]), key=lambda p: p["piece"])
+        assert [(p["start"], p["ids_crc32"]) for p in own] == [(p["start"], zlib.crc32(np.array(i[p["start"] : p["start"] + p["length"]], "<u4").tobytes())) for p in own] and sum(p["length"] for p in own) == len(i)
+    assert len(packed_) == corpus_pipeline.run(spark, sf).count()
