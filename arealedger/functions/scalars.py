@@ -100,6 +100,13 @@ def lot_address(city: str, gu: Column, umd: Column, main: Column, sub: Column) -
     return F.when(strip_zeros(main).isNotNull(), F.concat(F.lit(f"{city} "), blank_to_null(gu), F.lit(" "), blank_to_null(umd), F.lit(" "), lot))
 
 
+def road_address(city: str, gu: Column, road: Column, main: Column, sub: Column) -> Column:
+    """City, gu, road (without a building number at its end) and building; null if a part but the second number is blank."""
+    name = blank_to_null(F.regexp_replace(F.trim(road), r"\s+[0-9]+(-[0-9]+)?$", ""))
+    number = F.concat_ws("-", strip_zeros(main), strip_zeros(sub))
+    return F.when(strip_zeros(main).isNotNull(), F.concat(F.lit(f"{city} "), blank_to_null(gu), F.lit(" "), name, F.lit(" "), number))
+
+
 def parse_spaced_date(c: Column) -> Column:
     """Dates like `2026. 8. 16.`"""
     part = [F.regexp_extract(c, r"^\s*(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.?\s*$", k) for k in (1, 2, 3)]

@@ -271,6 +271,11 @@ def ladder_score(preds: DataFrame, rungs: Sequence[str], least: int = 30) -> Dat
     return each.join(rho, ["rung", "q"], "left").groupBy("rung").agg(F.avg("mae").alias("mae"), F.median("rho").alias("rho"), up.alias("positive"))
 
 
+def ladder_verdict(low: float | None, p: float | None, level: float = 0.05) -> bool:
+    """Whether a rung betters its base: a gain whose interval lies above nothing, and a test that rejects equality."""
+    return low is not None and p is not None and low > 0 and p < level
+
+
 def save_model_card(models: DataFrame, path: str, params: dict, inputs: dict[str, str]) -> None:
     """One JSON line for each model row, with its parameters and digests of what it was fitted on."""
     models.select(F.to_json(F.struct(*models.columns, F.lit(json.dumps(params, sort_keys=True)).alias("params"), F.lit(json.dumps(inputs, sort_keys=True)).alias("input_sha256"))).alias("value")).write.text(path)

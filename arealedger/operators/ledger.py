@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def supply_features(completed: DataFrame, first: int, last: int) -> DataFrame:
     return full.select("dong", "q", "households", rolling_sum("households", ["dong"], "q", 4, True).alias("households_4q"), rolling_sum("households", ["dong"], "q", 8, True).alias("households_8q"), cumulative("households", ["dong"], "q").alias("stock"))
 
 
+def assemble_features(keys: DataFrame, frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
+    """keys with the columns of each frame where it has a row; frames have one row for a key."""
+    for frame in frames:
+        keys = keys.join(frame, list(on), "left")
+    return keys
+
+
+def eligible_by_year(rows: DataFrame) -> DataFrame:
+    """(year, dong_quarters, eligible) of the grid that `eligible` gives."""
+    return rows.groupBy(F.floor(F.col("q") / 4).cast("int").alias("year")).agg(F.count(F.lit(1)).alias("dong_quarters"), F.count_if("eligible").alias("eligible"))
+
+
+def household_coverage(complexes: DataFrame, mapped: DataFrame, least: float = 0.95) -> DataFrame:
+    """(households, mapped, coverage, enough): households of all complexes, of those with a dong, and whether the share will do."""
+    whole = complexes.agg(F.sum("households").alias("households"))
+    part = mapped.where("dong is not null").agg(F.coalesce(F.sum("households"), F.lit(0)).alias("mapped"))
+    share = F.try_divide("mapped", "households")
+    return whole.crossJoin(part).select("households", "mapped", share.alias("coverage"), (share >= least).alias("enough"))
+
+
 def complex_concentration(valid: DataFrame, width: int = 4) -> DataFrame:
     """Distinct complexes and the largest one's share, from counts by complex and quarter made once."""
     per = valid.groupBy("dong", "apt_seq", "q").agg(F.count(F.lit(1)).alias("n"))

@@ -171,3 +171,25 @@ def boundary_match(dongs: DataFrame, boundaries: DataFrame) -> DataFrame:
 def with_gu_name(df: DataFrame, names: dict[str, str], code: str = "sgg_cd") -> DataFrame:
     """df with the name of its gu's code, null for an unknown one; names: a short fixed list."""
     return df.withColumn("gu_name", F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col(code)] if names else F.lit(None).cast("string"))
+
+
+def check_non_blank(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n) of columns with null or blank values."""
+    one = F.explode(F.array_compact(F.array(*[F.when(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).isNull(), F.lit(c)) for c in columns])))
+    return df.select(one.alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
+def check_dong_key(df: DataFrame) -> DataFrame:
+    """Rows whose dong isn't its gu and neighbourhood, joined."""
+    return df.where(~F.col("dong").eqNullSafe(F.concat_ws("_", "sgg_cd", "umd_nm")))
+
+
+def check_null_rate(df: DataFrame, columns: list[str], most: float = 0.01) -> DataFrame:
+    """(column, rate) of columns that are null in `most` of the rows or more."""
+    rates = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    return rates.unpivot([], columns, "column", "rate").where(F.col("rate") >= most)
+
+
+def check_lineage(preds: DataFrame, origin: str = "q", label: str = "label_vintage") -> DataFrame:
+    """Predictions that learnt from labels later than their origin."""
+    return preds.where(F.col(label) > F.col(origin))

@@ -86,7 +86,7 @@ def _features(spark, d, last):
     rent = ledger.rent_features(trade_rent(spark, d)).where(F.col("as_of") == last)
     built = ledger.supply_features(completions(spark, d).where(F.col("q") <= last), span(spark, d)[0], last).where(F.col("q") == last)
     place = serving.dong_centers(v, complexes(spark, d), last - 7)
-    rows = now.join(sale, "dong", "left").join(rent.drop("as_of"), "dong", "left").join(built.drop("q"), "dong", "left").join(place, "dong", "left")
+    rows = ledger.assemble_features(now, [sale, rent.drop("as_of"), built.drop("q"), place], ["dong"])
     km = lambda p: scalars.km_distance(F.col("lat"), F.col("lng"), p)
     share = F.try_divide("households_8q", "stock")
     return index, stored(rows.select("dong", "sgg_cd", F.col("median_ppm2_4q").alias("median_ppm2"), F.col("old30_share_4q").alias("old30_share"), share.alias("completed_share"), F.col("households_8q").alias("completed_8q"), F.log("median_ppm2_4q").alias("log_ppm2"), F.try_divide("jeonse_ppm2_4q", "median_ppm2_4q").alias("jeonse_ratio"), F.log1p("stock").alias("log_stock"), share.alias("new_share"), "lat", "lng", km(CBD).alias("dist_cbd"), km(GANGNAM).alias("dist_gangnam")), "features")
@@ -208,6 +208,18 @@ def price_bands(spark, d):
     return serving.price_bands(p, "p")
 
 
+@query(f""", g AS (SELECT dong, q FROM (SELECT DISTINCT dong FROM valid), (SELECT unnest(range(f, l + 1)) AS q FROM span)), n AS (SELECT g.dong, g.q, count(v.q) AS k FROM g LEFT JOIN valid v ON v.dong = g.dong AND v.q = g.q GROUP BY 1, 2),
+e AS (SELECT q, coalesce(CASE WHEN count(*) OVER w = 4 THEN sum(k) OVER w END >= 20, false) AS ok FROM n WINDOW w AS (PARTITION BY dong ORDER BY q ROWS 3 PRECEDING)) SELECT (q // 4)::INT AS year, count(*) AS dong_quarters, count_if(ok)::BIGINT AS eligible FROM e GROUP BY 1""")
+def eligible_by_year(spark, d):
+    return ledger.eligible_by_year(_eligible(spark, d, span(spark, d)[1]))
+
+
+@query(f"{WEIGHT_SQL} SELECT sum(w)::BIGINT AS households, sum(w)::BIGINT AS mapped, 1.0::DOUBLE AS coverage, true AS enough FROM hs")
+def household_coverage(spark, d):
+    own = complexes(spark, d)
+    return ledger.household_coverage(own, ledger.map_complexes(own, trade_sale(spark, d)))
+
+
 VINTAGE_SQL = """, vc AS (SELECT cell, sgg_cd, dong, q, count(*) AS n, sum(log_ppm2) AS s FROM valid GROUP BY 1, 2, 3, 4), vs AS (SELECT vc.*, unnest(range(greatest(q, f + 3), l + 1)) AS origin FROM vc, span WHERE q <= l),
 vl AS (SELECT cell, origin, sum(s) / sum(n) AS level FROM vs GROUP BY 1, 2), vd AS (SELECT origin, sgg_cd, dong, q, sum(n)::BIGINT AS n_sales, sum(s - n * level) AS r FROM vs JOIN vl USING (cell, origin) GROUP BY 1, 2, 3, 4),
 vg AS (SELECT origin, sgg_cd, q, sum(r) / sum(n_sales) AS gu FROM vd GROUP BY 1, 2, 3), vi AS (SELECT vd.origin, sgg_cd, dong, q, n_sales, gu + (r - n_sales * gu) / (n_sales + 5) AS log_index FROM vd JOIN vg USING (origin, sgg_cd, q)),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quarters import quarter_ord
+from ..functions.quarters import parse_quarter, quarter_ord
+from ..functions.scalars import number_or_null
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -51,6 +52,30 @@ def read_trade_xml(spark: SparkSession, path: str, fields: dict[str, str]) -> tu
     return item.select(*[cell(tag).alias(name) for tag, name in fields.items()]), pages.where(~ok).select(F.substring("value", 1, 500).alias("page"), "code")
 
 
+def derive_ledger(df: DataFrame, gu_names: dict[str, str]) -> DataFrame:
+    """Raw sale rows (sggCd, dealYear, dealMonth, dealAmount, cdealType, all text) with deal_ym, gu, is_cancelled and the amount as a number."""
+    names = F.create_map(*[F.lit(x) for kv in gu_names.items() for x in kv])
+    ym = F.concat(F.lpad(F.trim("dealYear"), 4, "0"), F.lpad(F.trim("dealMonth"), 2, "0"))
+    return df.withColumns({"deal_ym": ym, "gu": names[F.col("sggCd")], "is_cancelled": F.coalesce(F.trim("cdealType") == "O", F.lit(False)), "deal_amount": number_or_null(F.col("dealAmount"))})
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Dated events of a typed TSV: event_id, date, category, label, direction, with the quarter and a score (tighten 1, ease -1, else 0)."""
+    raw = read_tsv(spark, path, ["event_id", "effective_date", "category", "label", "direction"])
+    date = F.try_to_date("effective_date", "yyyy-MM-dd")
+    return raw.withColumns({"effective_date": date, "q": quarter_ord(date), "score": F.when(F.col("direction") == "tighten", 1).when(F.col("direction") == "ease", -1).otherwise(0)})
+
+
+def read_panel(spark: SparkSession, path: str, label: str = "quarter") -> DataFrame:
+    """A Parquet panel with its quarter labels parsed to ordinals in q; bad labels have none."""
+    return spark.read.parquet(path).withColumn("q", parse_quarter(F.col(label)))
+
+
+def profile_source(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of each file, read whole by one task each."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def latest_release(df: DataFrame) -> DataFrame:
     """The row (year, month, seq, ...) of the newest release."""
     return df.agg(F.max(F.struct("year", "month", "seq", *[c for c in df.columns if c not in ("year", "month", "seq")])).alias("r")).where("r is not null").select("r.*").select(*df.columns)

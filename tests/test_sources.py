@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from arealedger.functions import quarters, scalars
@@ -39,6 +38,23 @@ def test_tables_and_files(spark, tmp_path):
     assert rows(files.read_vintages(spark, str(tmp_path / "v"), "price int")) == [(7, "20240101", "sale", "gu1", "202401")]
 
 
+def test_derivations(spark, tmp_path):
+    raw = spark.createDataFrame([("11", "2024", "3", "12,345", "O"), ("12", "2024", "11", "x", None)], "sggCd string, dealYear string, dealMonth string, dealAmount string, cdealType string")
+    assert rows(files.derive_ledger(raw, {"11": "g"}).select("deal_ym", "gu", "is_cancelled", "deal_amount")) == [("202403", "g", True, 12345.0), ("202411", None, False, None)]
+    events = put(tmp_path / "e.tsv", "event_id\teffective_date\tcategory\tlabel\tdirection\nE1\t2001-05-20\tpolicy\tx\ttighten\nE2\tbad\tpolicy\tx\tnone\n")
+    assert [(r["event_id"], r["q"], r["score"]) for r in files.read_events(spark, events).collect()] == [("E1", 8005, 1), ("E2", None, 0)]
+    spark.createDataFrame([("2001Q3",), ("bad",)], "quarter string").write.parquet(str(tmp_path / "p"))
+    assert rows(files.read_panel(spark, str(tmp_path / "p")).select("q")) == [(8006,), (None,)]
+    profile = files.profile_source(spark, events).first()
+    assert profile["bytes"] == len(open(events).read()) and len(profile["sha256"]) == 64
+    keyed = spark.createDataFrame([("1_a", "1", "a"), ("1_b", "1", "c"), (None, "1", " ")], "dong string, sgg_cd string, umd_nm string")
+    assert quality.check_dong_key(keyed).count() == 2 and rows(quality.check_non_blank(keyed, ["dong", "umd_nm"])) == [("dong", 1), ("umd_nm", 1)]
+    assert [r["column"] for r in quality.check_null_rate(keyed, ["dong", "sgg_cd"], 0.3).collect()] == ["dong"]
+    assert quality.check_lineage(spark.createDataFrame([(5, 5), (5, 6)], "q int, label_vintage int")).count() == 1
+    road = scalars.road_address("서울", F.lit("강남구"), F.lit("테헤란로 12"), F.lit("0012"), F.lit("0000"))
+    assert one(spark, road) == ("서울 강남구 테헤란로 12",) and forecast.ladder_verdict(0.1, 0.01) and not forecast.ladder_verdict(-0.1, 0.01) and not forecast.ladder_verdict(None, 0.01)
+
+
 def test_xml_pages(spark, tmp_path):
     put(tmp_path / "x/1.xml", "<r><resultCode>000</resultCode><items><item><aptSeq>A-1</aptSeq><FLOOR> 3 </FLOOR></item><item><APTSEQ>A-2</APTSEQ><floor> </floor></item></items></r>")
     put(tmp_path / "x/2.xml", "<r><resultCode>99</resultCode></r>")
