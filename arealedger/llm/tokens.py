@@ -7,6 +7,9 @@ boundaries might not hold (special-token strings, unusual separators) are encode
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -195,7 +198,12 @@ _SOLE: dict[tuple, object] = {}
 def sole(key: tuple, make: Callable[[], object]):
     """The one large object that a worker process keeps from task to task; another one's key lets the last one go."""
     if key not in _SOLE:
-        _SOLE.clear()
+        if _SOLE:
+            _SOLE.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
         _SOLE[key] = make()
     return _SOLE[key]
 

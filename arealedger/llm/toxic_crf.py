@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
@@ -25,8 +25,8 @@ from .tokens import sole, text_slices
 TRAIN_ROWS = 20_000
 #: Documents of each label in the fitting sample.
 TRAIN_DOCS = 800
-#: Characters of each of them that the fit reads; tagging reads whole texts.
-TRAIN_CHARS = 200_000
+#: Pieces of each of them that the fit reads, spread evenly over it, and characters in a piece; tagging reads whole texts.
+TRAIN_PIECES, TRAIN_CHARS = 40, 1_000
 #: Terms of the token-label lexicon at most.
 LEXICON = 4000
 PREFIXES = (4, 5, 6)
@@ -233,6 +233,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFr
     return materialize(texts.join(F.broadcast(drawn), "doc_id"), "toxic-labelled")
 
 
+def spread_pieces(text: Column) -> Column:
+    """A text, or TRAIN_PIECES pieces spread evenly over a longer one."""
+    step = F.length(text) / F.lit(float(TRAIN_PIECES))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda i: F.substring(text, (i * step).cast("int") + 1, F.lit(TRAIN_CHARS)))
+    return F.when(F.length(text) <= TRAIN_PIECES * TRAIN_CHARS, text).otherwise(F.array_join(cut, "\n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Field:
     """Fit on labelled rows whose crc32(doc_id as text) mod 5 isn't 0. Rows without label or id teach nothing.
 
@@ -242,9 +249,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     marks = lexicon(rows)
     sample = []
     for label in (0, 1):
-        some = rows.where(F.col("toxic") == label).withColumn("text", F.substring("text", 1, TRAIN_CHARS))
+        some = rows.where(F.col("toxic") == label)
         first = some.select("doc_id", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(train_docs).select("doc_id").distinct()
-        found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "text", "toxic").collect()
+        found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", spread_pieces(F.col("text")).alias("text"), "toxic").collect()
         sample += sorted(found, key=lambda r: (r["doc_id"], r["text"]))
     return fit_field([r["text"] for r in sample], [r["toxic"] for r in sample], marks)
 
