@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quarters, scalars
 from ..operators import catalog, forecast, hedonic, ledger, nowcast, panel
 from ..sources.adapter import complexes, span, trade_sale
+from ..sources.store import stored
 from .queries import INDEX_SQL, LAST, SCALES_SQL, query, scales, valid
 
 RESIDUALS_SQL = """, ce AS (SELECT cell, avg(log_ppm2) AS e FROM valid GROUP BY 1),
@@ -42,9 +43,9 @@ def _weights(spark, d):
 
 def _ladder(spark, d):
     w = _weights(spark, d)
-    index = hedonic.attach_se(*scales(spark, d)).withColumnRenamed("log_index_se", "se")
+    index = stored(hedonic.attach_se(*scales(spark, d)).withColumnRenamed("log_index_se", "se"), "ladder-index")
     rows = forecast.delta_features(index, w).join(forecast.delta_targets(index, w).select("q", "dong", "delta"), ["q", "dong"])
-    return forecast.ladder_predictions(rows, least=100)
+    return stored(forecast.ladder_predictions(stored(rows, "ladder-rows"), least=100), "ladder")
 
 
 def _relative(spark, d):
