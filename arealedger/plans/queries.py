@@ -393,7 +393,8 @@ def structure_clusters(spark, d):
     return hedonic.structure_clusters(v, ["level", "built", "n"], ks=(4, 5, 6))
 
 
-@query()
+@query(""", p AS (SELECT DISTINCT apt_seq, 126.7 + l_suppkey % 600 / 1000 AS x, 37.4 + l_suppkey % 350 / 1000 AS y FROM joined), c AS (SELECT DISTINCT floor(x * 10) / 10 AS a, floor(y * 10) / 10 AS b FROM p)
+SELECT apt_seq, round(a, 1)::VARCHAR || '_' || round(b, 1)::VARCHAR AS key FROM p JOIN c ON x >= a AND x < a + 0.1 AND y >= b AND y < b + 0.1""")
 def complexes_in_squares(spark, d):
     """Complexes in the tenth-of-a-degree squares of the map that have suppliers of one gu or more."""
     p = complexes(spark, d).select("apt_seq", F.col("lng").alias("x"), F.col("lat").alias("y"))
