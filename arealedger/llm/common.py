@@ -9,6 +9,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a narrow table that is broadcast; a larger one is joined by a shuffle.
+FEW = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
@@ -38,6 +41,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to have few rows; else a join with it shuffles both sides."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     while name.lower() in {c.lower() for c in df.columns}:
