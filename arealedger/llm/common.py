@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 #: Rows of a narrow table that is broadcast; a larger one is joined by a shuffle.
 FEW = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
-
-    Where neither is set: a temporary folder if driver and executors are one process, else an error, since executors
-    of a cluster would write to disks of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arealedger-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    """The folder that driver and executors share, see sources.store."""
+    return store.shared_dir(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store.stored(df, label)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove what materialize has written and no later step reads; tables of other origin are left alone."""
+    for df in tables:
+        if path := vars(df).get("stored_at"):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +99,8 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) ->
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(moved.union(smallest.select("a", F.col("m").alias("b"))).distinct(), label)
+        before, now = now, materialize(moved.union(smallest.select("a", F.col("m").alias("b"))).distinct(), label)
+        drop_tables(before)
         if (new := mark(now)) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = new

@@ -88,13 +88,16 @@ def cell_pairs(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
     p = np.repeat(lacking[:, None], len(terms), axis=1)
     p[place.get_indexer(rows["source"]), code] = rows["p"].to_numpy(np.int64)
     others = int(head["size"].iloc[0]) - len(terms) if len(head) else 0
-    names, out = head["source"].to_numpy(), []
+    names = head["source"].to_numpy(dtype=object)
+    made: tuple[list, list, list] = ([], [], [])
     for i in np.flatnonzero(block == left):
         js = np.flatnonzero(block == right)
         js = js[js > i] if left == right else js
         value = ((p[js] - p[i]) ** 2 // (p[js] + p[i])).sum(axis=1) + others * ((lacking[js] - lacking[i]) ** 2 // (lacking[js] + lacking[i]))
-        out.append(pd.DataFrame({"lang": lang, "a": names[i], "b": names[js], "value": value}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
+        made[0].extend([names[i]] * len(js))
+        made[1].extend(names[js])
+        made[2].extend(value.tolist())
+    return pd.DataFrame({"lang": pd.Series([lang] * len(made[0]), dtype=object), "a": pd.Series(made[0], dtype=object), "b": pd.Series(made[1], dtype=object), "value": pd.Series(made[2], dtype="int64")})
 
 
 def ranked(df: DataFrame, part: str, top: int | None = None) -> DataFrame:

@@ -15,18 +15,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import drop_tables, fresh, materialize
 from .tokens import sole, text_slices
 
 #: Labelled documents of each label, about, whose terms are counted.
 TRAIN_ROWS = 20_000
-#: Documents of each label in the fitting sample.
-TRAIN_DOCS = 800
-#: Pieces of each of them that the fit reads, spread evenly over it, and characters in a piece; tagging reads whole texts.
-TRAIN_PIECES, TRAIN_CHARS = 40, 1_000
+#: Documents of each label in the fitting sample, read whole.
+TRAIN_DOCS = 400
 #: Terms of the token-label lexicon at most.
 LEXICON = 4000
 PREFIXES = (4, 5, 6)
@@ -230,14 +228,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFr
     place = F.shiftright(F.xxhash64("doc_id"), 11).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     drawn = materialize(known.join(F.broadcast(share), "toxic").where(place < F.col("share")).select("doc_id", "toxic"), "toxic-drawn")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(drawn), "doc_id"), "toxic-labelled")
-
-
-def spread_pieces(text: Column) -> Column:
-    """A text, or TRAIN_PIECES pieces spread evenly over a longer one."""
-    step = F.length(text) / F.lit(float(TRAIN_PIECES))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda i: F.substring(text, (i * step).cast("int") + 1, F.lit(TRAIN_CHARS)))
-    return F.when(F.length(text) <= TRAIN_PIECES * TRAIN_CHARS, text).otherwise(F.array_join(cut, "\n"))
+    found = materialize(texts.join(F.broadcast(drawn), "doc_id"), "toxic-labelled")
+    drop_tables(known, drawn)
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Field:
@@ -245,14 +238,17 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
 
     A doc_id labelled twice counts as toxic if one label says so. Without both labels every score is that of no sign.
     """
-    rows = materialize(one_of_copies(training_rows(docs, labels, train_rows)), "toxic-train")
+    drawn = training_rows(docs, labels, train_rows)
+    rows = materialize(one_of_copies(drawn), "toxic-train")
+    drop_tables(drawn)
     marks = lexicon(rows)
     sample = []
     for label in (0, 1):
         some = rows.where(F.col("toxic") == label)
         first = some.select("doc_id", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(train_docs).select("doc_id").distinct()
-        found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", spread_pieces(F.col("text")).alias("text"), "toxic").collect()
+        found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "text", "toxic").collect()
         sample += sorted(found, key=lambda r: (r["doc_id"], r["text"]))
+    drop_tables(rows)
     return fit_field([r["text"] for r in sample], [r["toxic"] for r in sample], marks)
 
 

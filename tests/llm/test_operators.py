@@ -224,9 +224,15 @@ def brute_groups(rows_, words=5, num=4, den=5):
     return sorted(min(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("paired", [2, 64])
-def test_near_copies_against_brute_force(spark, paired):
-    rng = random.Random(paired)
+@pytest.mark.parametrize("spread", [2, 64])
+def test_near_copies_against_brute_force(spark, spread, monkeypatch):
+    """Few texts to a block and no early rounds, so that blocks and full meetings are tried; then as used."""
+    monkeypatch.setattr(shingle_groups, "SPREAD", spread)
+    if spread == 2:
+        for name in ("EARLY", "PIVOTS", "OFTEN"):
+            monkeypatch.setattr(shingle_groups, name, 0)
+        monkeypatch.setattr(shingle_groups, "small", lambda df: df)
+    rng = random.Random(spread)
     made, line = [], sentence(rng, 12)
     for g in range(25):
         base = [sentence(rng, 1) for _ in range(rng.randint(8, 150))]
@@ -239,8 +245,8 @@ def test_near_copies_against_brute_force(spark, paired):
     rows_ = list(enumerate(made))
     df = spark.createDataFrame(rows_, "doc_id bigint, text string")
     want = brute_groups(rows_)
-    assert sorted(r["doc_id"] for r in shingle_groups.keep_one(df, paired=paired).collect()) == want
-    if paired == 64:
+    assert sorted(r["doc_id"] for r in shingle_groups.keep_one(df).collect()) == want
+    if spread == 64:
         kept = simhash_golay.keep_one_per_group(df)
         assert sorted(r["doc_id"] for r in kept.collect()) == want
         assert len({r["component_id"] for r in simhash_golay.simhash_groups(df).collect()}) > len(want)
