@@ -120,7 +120,7 @@ def codec(path: str) -> Bpe:
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text.
 
-    A null or empty text has no ids. Null and repeated doc_ids keep a row each; other columns are not looked at; an empty
+    A null or empty text has no ids. Null and repeated doc_ids (of bigint) keep a row each; other columns are not looked at; an empty
     table gives an empty one.
     """
 
@@ -142,7 +142,10 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """df with an array of token ids of each text."""
+    """df with an array of token ids of each text; none for a null or empty one.
+
+    Rows and other columns stay as they are; a column named `to` is replaced; an empty table stays empty.
+    """
     @F.pandas_udf("array<int>")
     def ids(s: pd.Series) -> pd.Series:
         c = codec(path)
@@ -152,7 +155,10 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") ->
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """df with the text of each array of token ids."""
+    """df with the text of each array of token ids; empty for a null or empty one.
+
+    Rows and other columns stay as they are; a column named `to` is replaced; an empty table stays empty.
+    """
     @F.pandas_udf("string")
     def text(s: pd.Series) -> pd.Series:
         c = codec(path)

@@ -267,7 +267,7 @@ def pack(items: DataFrame, size: int, order: tuple[str, ...]) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece of each document row; an empty or null text is a piece of the end id alone.
+    """One row per piece of each document row (doc_id of bigint); an empty or null text is a piece of the end id alone.
 
     Rows that repeat a doc_id are packed as documents of their own; pieces of equal length are interchangeable, so which
     of them stands where follows doc_id (null first), piece and checksum. Other columns are not looked at.

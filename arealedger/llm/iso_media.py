@@ -159,7 +159,8 @@ def describe(raw: bytes) -> str:
 def media_index(df: DataFrame, media: str = "media", to: str = "media_index") -> DataFrame:
     """df with an array of a struct for each track of a container: codec, handler, seconds, samples, keyframes.
 
-    A null or malformed container gives null.
+    A null or malformed container gives null. Rows and other columns stay as they are; a column named `to` is replaced; an
+    empty table stays empty.
     """
     @F.pandas_udf("array<struct<codec: string, handler: string, seconds: double, samples: bigint, keyframes: array<struct<start: bigint, end: bigint>>>>")
     def index(s: pd.Series) -> pd.Series:
@@ -205,5 +206,9 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store every document and read it back; one row per document row, an empty text has one unit of blanks."""
+    """Store every document and read it back; one row per document row, an empty text has one unit of blanks.
+
+    A null text counts as empty; null and repeated doc_ids (of bigint, as the query's) keep a row each; other columns are not
+    looked at; an empty table gives an empty one. No row is shuffled, so copies of a text are no hot group.
+    """
     return read_media(store_texts(docs))

@@ -131,7 +131,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     then take nodes whole, so that equal texts are split only where they are more than a shard holds, or where the last
     places of a shard are filled. A null text is a node of its own with size 8 and the checksum of the empty text. Rows that repeat a
     doc_id keep a row each, and a null doc_id counts like any other; other columns are not looked at. An empty table gives
-    an empty one.
+    an empty one. A text takes part by its few least anchored runs; rows join their text's shards on its hash, where a hot
+    text (all null ones are one) has a row for each of its shards on the other side and Spark splits its partition.
     """
     text = F.col("text")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8

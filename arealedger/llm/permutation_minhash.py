@@ -119,7 +119,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null text: empty. A row with a null doc_id has no neighbour: its edited text just loses its end, and near_next is
     null. Rows that repeat a doc_id each have a row; as the next document such an id stands for the one of its texts
     with the least SHA-256. With one document the next one is itself. Other columns are not looked at; an empty table
-    gives an empty one. Each text is shuffled once, and a quarter of it once more.
+    gives an empty one. Each text is shuffled once, and a quarter of it once more,
+    by doc_id: an id that much of the table repeats would be split by Spark's skew handling alone.
     """
     every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = every.where("doc_id is not null")  # the same rows in both joins below, so that one exchange serves both

@@ -72,7 +72,10 @@ def fingerprint(text: str) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
-    """df with a bigint SimHash of each whole text (null: empty)."""
+    """df with a bigint SimHash of each whole text (null: empty; no words: 0).
+
+    Rows and other columns stay as they are; `to` has to be a name that df doesn't have; an empty table stays empty.
+    """
     out = df.select("*", F.lit(0).cast("long").alias(to)).schema
 
     def run(batches):
@@ -138,7 +141,13 @@ def components(prints: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row. Repeated rows each keep their row."""
+    """doc_id, fingerprint (16 hex digits) and component_id of each row.
+
+    Null and empty texts, and such without words, have fingerprint zero and are linked like any other. Repeated rows each keep
+    their row, null doc_ids count only where a component has no other; other columns are not looked at; an empty table gives
+    an empty one. Rows meet their fingerprint's component by a join on the fingerprint: a hot one (empty texts, copies) has one
+    row on the other side, and Spark splits its partition while it joins.
+    """
     prints = materialize(with_fingerprint(docs.select("doc_id", "text"), to="fp").select("doc_id", "fp"), "simhash-prints")
     out = prints.join(components(prints), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -244,7 +244,7 @@ def read_shards(shards: DataFrame, end_id: int) -> DataFrame:
 def wavelet_tokens(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write and read back: one row per document row.
 
-    Null or empty texts hold the end id alone. Null doc_ids come first. Rows that repeat a doc_id go by text hash, then
+    Null or empty texts hold the end id alone. doc_id is a bigint; null ones come first. Rows that repeat a doc_id go by text hash, then
     text (null first). Other columns of docs are not looked at; an empty table gives an empty one.
     """
     return read_shards(write_shards(docs, path, end_id), end_id)
