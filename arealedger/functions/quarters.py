@@ -40,3 +40,8 @@ def ym_minus_months(ym: Column, n: int) -> Column:
 
 def day_in_quarter(date: Column) -> Column:
     return F.datediff(date, F.trunc(date, "quarter")) + 1
+
+
+def first_day(q: Column) -> Column:
+    """The date on which a quarter ordinal begins."""
+    return F.make_date(F.floor(q / 4).cast("int"), F.pmod(q, F.lit(4)).cast("int") * 3 + 1, F.lit(1))

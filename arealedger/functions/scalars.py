@@ -144,14 +144,13 @@ def format_price(c: Column) -> Column:
 
 
 def zone_neighbourhood(address: Column, gu: Column) -> Column:
-    """The neighbourhood that a zone's lot stands in: without the gu's name and lot numbers; null for a list of lots.
+    """The neighbourhood that a zone's lot stands in: without the gu's name and lot numbers; null for a list of lots, or without a lot.
 
     A digit that belongs to the name (before its last letter) stays.
     """
     bare = F.trim(F.regexp_replace(F.trim(address), F.concat(F.lit("^"), gu, F.lit(r"\s*")), F.lit("")))
     name = F.regexp_extract(bare, r"^(.*?[가-힣])\s*(?:산\s*)?\d+(?:-\d+)?(?:\s*(?:번지|일대|일원|외|~).*)?$", 1)
-    one = F.when(name != "", F.trim(name)).otherwise(F.when(bare.rlike("^[가-힣0-9]*[가-힣]$"), bare))
-    return F.when(~bare.rlike(r"[,·]"), one)
+    return F.when(~bare.rlike(r"[,·]") & (name != ""), F.trim(name))
 
 
 def round_coords(polygons: Column, digits: int = 6) -> Column:

@@ -10,12 +10,16 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+from .hedonic import drawn
 from .windows import origins_before, shifted, spearman, weighted_quantile
 
 
@@ -113,6 +117,40 @@ def boosted_relative(train: DataFrame, rows: DataFrame, xs: Sequence[str], y: st
     return got.withColumn("centered", F.col("_p") - F.avg("_p").over(Window.partitionBy("q"))).drop("_p")
 
 
+def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_origins: int = 1, least_rows: int = 1, loss: str = "squared", trees: int = 10, depth: int = 4, seed: int = 42, abreast: int = 4) -> DataFrame:
+    """(h, q, dong, pred, n_train, label_vintage) of panel (h, q, dong, xs, y): for every horizon h and origin q gradient-boosted
+    trees fitted on the rows whose target was known then, s + h <= q.
+
+    Every fit reads the one stored panel, `abreast` of them at a time. An origin without `least_origins` known origins or
+    `least_rows` known rows has no forecast. Missing features count as 0, rows without y teach nothing but get forecasts.
+    label_vintage is the last quarter that a label of the fit needed.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    spark = panel.sparkSession
+    made = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(panel.select("h", "q", "dong", F.col(y).cast("double").alias("_y"), *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in xs]))
+    rows = stored(made.select("h", "q", "dong", "_y", "_x"), "boosted-panel")
+    sizes = rows.groupBy("h", "q").agg(F.count("_y").alias("n")).collect()  # one row for each horizon and origin
+    learner = GBTRegressor(featuresCol="_x", labelCol="_y", lossType=loss, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, predictionCol="pred")
+
+    def fit(h: int, q: int) -> DataFrame | None:
+        known = [r for r in sizes if r["h"] == h and r["q"] + h <= q and r["n"]]
+        n = sum(r["n"] for r in known)
+        if len(known) < least_origins or n < least_rows:
+            return None
+        model = learner.fit(rows.where((F.col("h") == h) & (F.col("q") + h <= q) & F.col("_y").isNotNull()))
+        out = model.transform(rows.where((F.col("h") == h) & (F.col("q") == q))).select("h", "q", "dong", "pred")
+        return stored(out.withColumns({"n_train": F.lit(n).cast("long"), "label_vintage": F.lit(max(r["q"] for r in known) + h)}), "boosted")
+
+    with ThreadPoolExecutor(abreast) as pool:
+        done = [x for x in pool.map(inheritable_thread_target(spark)(lambda r: fit(r["h"], r["q"])), sorted(sizes, key=lambda r: (r["h"], r["q"]))) if x is not None]
+    out = rows.select("h", "q", "dong", F.lit(0.0).alias("pred"), F.lit(0).cast("long").alias("n_train"), F.lit(0).alias("label_vintage")).where("false")
+    for x in done:
+        out = out.union(x)
+    return out
+
+
 def rolling_gamma(history: DataFrame, h: int, grid: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), least_origins: int = 8, least_rows: int = 1000) -> DataFrame:
     """(q, gamma): the share of x with the least mean absolute error of y over known origins, which weigh alike; 0 before there are enough."""
     each = history.withColumn("gamma", F.explode(F.array(*[F.lit(g) for g in grid]))).groupBy("gamma", "q").agg(F.avg(F.abs(F.col("y") - F.col("gamma") * F.col("x"))).alias("mae"), F.count("y").alias("n"))
@@ -184,7 +222,7 @@ def moving_block_bootstrap(series: DataFrame, block: int, draws: int = 2000, see
     starts = starts.select(F.col("pos").alias("start"), (F.row_number().over(Window.orderBy("pos")) - 1).alias("slot"))
     size = series.agg(F.count(F.lit(1)).alias("n")).crossJoin(starts.agg(F.count(F.lit(1)).alias("starts"))).where("starts > 0")
     picks = series.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))
-    picks = picks.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1))).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("starts")))
+    picks = picks.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1))).withColumn("slot", drawn(F.col("starts"), seed, F.col("draw"), F.col("k")))
     at = picks.join(F.broadcast(starts), "slot").withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("k") * block + F.col("off") < F.col("n"))
     each = at.select("draw", (F.col("start") + F.col("off")).alias("pos")).join(F.broadcast(series), "pos").groupBy("draw").agg(F.avg("value").alias("m"))
     return each.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("draws")).crossJoin(series.agg(F.avg("value").alias("mean")))

@@ -50,6 +50,51 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.size(hits) % 2 == 1
 
 
+def edges_of(polygons: Column) -> Column:
+    """The edges of every ring of polygons (each an outer ring and its holes)."""
+    return F.flatten(F.transform(F.flatten(polygons), _edges))
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd rule over the edges of all rings: holes are out, parts are in; boundaries as in `inside`."""
+    hits = F.filter(edges, lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]))
+    return F.size(hits) % 2 == 1
+
+
+def collective_bounds(features: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x0, y0, x1, y1, n): the box that holds all features (polygons) of a group; features without a point don't count."""
+    rows = features.where(F.size(F.flatten(F.flatten("polygons"))) > 0).select(*by, multi_bounds(F.col("polygons")).alias("b"))
+    return rows.groupBy(*by).agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def grid_cover(shapes: DataFrame, cell: float) -> DataFrame:
+    """(key, cx, cy, border): grid cells of shapes (key, polygons) that an edge's box touches, and those wholly inside.
+
+    No edge enters a cell outside of all edges' boxes, so its centre speaks for all of it.
+    """
+    at = lambda c: F.floor(c / cell)
+    edges = shapes.select("key", F.explode(edges_of(F.col("polygons"))).alias("e"))
+    span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)), at(F.greatest(a, b))))
+    border = edges.withColumn("cx", span(F.col("e.x0"), F.col("e.x1"))).withColumn("cy", span(F.col("e.y0"), F.col("e.y1"))).select("key", "cx", "cy").distinct()
+    whole = shapes.select("key", multi_bounds(F.col("polygons")).alias("b")).withColumn("cx", span(F.col("b.x0"), F.col("b.x1"))).withColumn("cy", span(F.col("b.y0"), F.col("b.y1"))).drop("b")
+    rest = whole.join(border, ["key", "cx", "cy"], "left_anti").join(shapes.select("key", edges_of(F.col("polygons")).alias("edges")), "key")
+    inner = rest.where(inside_edges((F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell, F.col("edges"))).select("key", "cx", "cy")
+    return border.withColumn("border", F.lit(True)).union(inner.withColumn("border", F.lit(False)))
+
+
+def points_in_multipolygons(points: DataFrame, shapes: DataFrame, cell: float = 0.01) -> DataFrame:
+    """points (x, y, ...) with the key of each shape (key, polygons) that holds them: parts, less their holes.
+
+    Points meet shapes by grid cells; only points in cells that a boundary touches are tested edge by edge. Points without a
+    coordinate lie nowhere; a shape without rings holds nothing.
+    """
+    tiles = grid_cover(shapes, cell)
+    met = points.where("x is not null and y is not null").withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(tiles, ["cx", "cy"])
+    sure = met.where("not border").select(*points.columns, "key")
+    near = met.where("border").join(shapes.select("key", edges_of(F.col("polygons")).alias("_edges")), "key")
+    return sure.union(near.where(inside_edges(F.col("x"), F.col("y"), F.col("_edges"))).select(*points.columns, "key"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 0.01) -> DataFrame:
     """points (x, y, ...) with the key of each polygon (key, ring) that holds them, matched by grid cells of their bounds."""
     b = polygons.withColumn("b", bounds(F.col("ring")))

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import index_se
+from ..sources.store import stored
 from .windows import numbered_rows, spearman
 
 #: Cells whose counts one group of a first solve holds, about.
@@ -39,7 +40,8 @@ def dong_equations(rows: DataFrame, first: int, origins: list[int]) -> DataFrame
     A cell lies in one dong, so its level is taken out within the dong; sums over parts of a dong's cells add up.
     """
     width = max(origins) - first + 1
-    parts = max(1, rows.agg(F.approx_count_distinct("cell").alias("n")).first()["n"] // CELLS + 1)
+    large = rows.groupBy("sgg_cd", "dong").agg((F.floor(F.approx_count_distinct("cell") / CELLS) + 1).cast("int").alias("_parts")).where("_parts > 1")
+    some = not large.isEmpty()
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         cell, cells = pd.factorize(pdf["cell"])
@@ -55,11 +57,20 @@ def dong_equations(rows: DataFrame, first: int, origins: list[int]) -> DataFrame
                 out.append((key[0], o, key[1], w.ravel().tolist(), v.tolist(), np.where(np.arange(width) < k, n.sum(axis=0), 0.0).tolist()))
         return pd.DataFrame(out, columns=["sgg_cd", "origin", "dong", "w", "v", "n"])
 
-    each = rows.where(F.col("q") <= max(origins)).groupBy("sgg_cd", "dong", F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("part")).applyInPandas(fit, f"{KEYS}, w array<double>, v array<double>, n array<double>")
-    if parts == 1:
+    seen = rows.where(F.col("q") <= max(origins))
+    part = F.lit(0)
+    if some:
+        seen, part = seen.join(large, ["sgg_cd", "dong"], "left"), F.pmod(F.xxhash64("cell"), F.coalesce("_parts", F.lit(1)))
+    each = seen.groupBy("sgg_cd", "dong", part.alias("part")).applyInPandas(fit, f"{KEYS}, w array<double>, v array<double>, n array<double>")
+    if not some:
         return each
-    add = lambda c: F.reduce(F.collect_list(c), F.array_repeat(F.lit(0.0), width * width if c == "w" else width), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias(c)
-    return each.groupBy("sgg_cd", "origin", "dong").agg(add("w"), add("v"), add("n"))  # as many as `parts` arrays come together
+    each = stored(each, "dong-parts")
+    whole = each.join(large, ["sgg_cd", "dong"], "left_anti").select("sgg_cd", "origin", "dong", "w", "v", "n")
+    long = each.join(large.select("sgg_cd", "dong"), ["sgg_cd", "dong"]).select("sgg_cd", "origin", "dong", F.posexplode(F.concat("w", "v", "n")).alias("i", "x"))
+    sums = long.groupBy("sgg_cd", "origin", "dong", "i").agg(F.sum("x").alias("x")).groupBy("sgg_cd", "origin", "dong")
+    flat = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("a"))  # one array of numbers, as wide as a part's
+    cut = lambda at, n, to: F.slice("a", at + 1, n).alias(to)
+    return whole.union(flat.select("sgg_cd", "origin", "dong", cut(0, width * width, "w"), cut(width * width, width, "v"), cut(width * width + width, width, "n")))
 
 
 def gu_effects(equations: DataFrame, lam: float, width: int) -> DataFrame:
@@ -98,14 +109,14 @@ def hedonic_index(valid: DataFrame, lam: float = 5.0, origins: list[int] | None
     deviation 0. Levels are arbitrary; differences within a dong are what is estimated. The least squares are exact: cells are
     taken out by dong, dongs by gu, and what is solved are systems as wide as there are quarters.
     """
-    rows = compress(valid)
+    rows = stored(compress(valid), "cells")
     ends = rows.agg(F.min("q").alias("first"), F.max("q").alias("last")).first()
     names = f"{KEYS}, q int, gq_effect double, dq_effect double, n_sales bigint"
     if ends["first"] is None:
         return rows.sparkSession.createDataFrame([], names).withColumn("log_index", F.col("gq_effect"))
     first, seen_at = ends["first"], sorted(origins or [ends["last"]])
     width = max(seen_at) - first + 1
-    equations = dong_equations(rows, first, seen_at)
+    equations = stored(dong_equations(rows, first, seen_at), "equations")
 
     def deviations(batches):
         for b in batches:
@@ -181,6 +192,12 @@ def repeat_sales_index(pairs: DataFrame, damp: float = 1e-4) -> DataFrame:
     return moments.groupBy("dong").applyInPandas(fit, "dong string, q int, repeat_index double")
 
 
+def drawn(n: Column, *parts) -> Column:
+    """A number below n from the MD5 of the parts, joined by colons: the same wherever and in whatever order it is drawn."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
+
+
 def block_bootstrap(errors: DataFrame, unit: str, a: str, b: str, draws: int = 1000, seed: int = 1) -> DataFrame:
     """Mean error difference a - b and its 95 % interval over draws of units with replacement; one row.
 
@@ -191,7 +208,7 @@ def block_bootstrap(errors: DataFrame, unit: str, a: str, b: str, draws: int = 1
     numbered = numbered_rows(units, unit, "slot")
     size = numbered.agg(F.count(F.lit(1)).alias("units"))
     picks = errors.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size)).select("draw", "units", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("k"))
-    picks = picks.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("units")).alias("slot"))
+    picks = picks.select("draw", drawn(F.col("units"), seed, F.col("draw"), F.col("k")).alias("slot"))
     each = picks.join(numbered, "slot").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("diff"))
     mean = units.agg((F.sum("s") / F.sum("n")).alias("mean"))
     return each.agg(F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high")).crossJoin(mean)

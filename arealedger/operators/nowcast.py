@@ -86,7 +86,9 @@ def select_shrinkage(valid: DataFrame, lam: float = 5.0, splits: int = 3, least_
     The best lam is adopted if it betters the present one by `least_gain`. All halves are fitted in one grouped solve.
     """
     of = F.when(F.col("_k") == 0, F.col("_sale")).otherwise(F.xxhash64("cell", "_k"))
-    rows = valid.withColumn("_sale", F.xxhash64(*valid.columns)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(splits)))).withColumn("_half", F.pmod(of, F.lit(2)))
+    # Equal sales are told apart by a number, so that a half gets one as often as the other.
+    each = valid.groupBy(*valid.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    rows = each.withColumn("_sale", F.xxhash64(*valid.columns, "_i")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(splits)))).withColumn("_half", F.pmod(of, F.lit(2)))
     fitted = hedonic_index(rows.withColumn("sgg_cd", F.concat_ws("#", "sgg_cd", "_k", "_half")), lam).where("n_sales > 0")
     fitted = fitted.select("dong", "q", F.element_at(F.split("sgg_cd", "#"), -2).alias("k"), F.element_at(F.split("sgg_cd", "#"), -1).alias("half"), "n_sales", unshrink(F.col("dq_effect"), F.col("n_sales"), lam).alias("raw"))
     b = fitted.where("half = '1'").select("dong", "q", "k", F.col("raw").alias("other"))

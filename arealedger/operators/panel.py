@@ -11,10 +11,11 @@ from .windows import running_order_statistic, shifted, top_by
 
 def mean_index(valid: DataFrame, lam: float = 5.0) -> DataFrame:
     """Gu mean of log price by quarter plus the dong's deviation, shrunk by n / (n + lam): the quick index."""
-    gu = valid.groupBy("sgg_cd", "q").agg(F.avg("log_ppm2").alias("gu_mean"))
-    d = valid.groupBy("sgg_cd", "dong", "q").agg(F.count(F.lit(1)).alias("n_sales"), F.avg("log_ppm2").alias("mean"))
+    d = valid.groupBy("sgg_cd", "dong", "q").agg(F.count(F.lit(1)).alias("n_sales"), F.sum("log_ppm2").alias("_s"), F.avg("log_ppm2").alias("mean"))
+    gu = Window.partitionBy("sgg_cd", "q")  # a row for each dong of a gu
+    d = d.withColumn("gu_mean", F.sum("_s").over(gu) / F.sum("n_sales").over(gu))
     dev = (F.col("mean") - F.col("gu_mean")) * F.col("n_sales") / (F.col("n_sales") + lam)
-    return d.join(gu, ["sgg_cd", "q"]).select("dong", "sgg_cd", "q", "n_sales", dev.alias("dq_effect"), (F.col("gu_mean") + dev).alias("log_index"))
+    return d.select("dong", "sgg_cd", "q", "n_sales", dev.alias("dq_effect"), (F.col("gu_mean") + dev).alias("log_index"))
 
 
 def with_targets(index: DataFrame, h: int) -> DataFrame:
@@ -85,6 +86,36 @@ def event_summary(paths: DataFrame) -> DataFrame:
     return m.join(down, ["event_id", "k"]).withColumn("same_direction", F.when(F.round("mean", 12) != 0, F.when(F.col("mean") > 0, F.col("share_up")).otherwise(F.col("share_down")))).drop("share_down")
 
 
+# What is said of events that the index doesn't reach.
+OUTSIDE_EVENT, OUTSIDE_BASE = "이벤트 분기가 지수 범위 밖", "기준 분기가 지수 범위 밖"
+
+
+def event_outcomes(index: DataFrame, events: DataFrame, back: int = 4, ahead: int = 3) -> DataFrame:
+    """One row for each event (event_id, q, pos): changes of eligible dongs before and after it, whether the index (dong, q,
+    log_index, eligible) reaches far enough for either, overlapping events, and why there is nothing.
+
+    The base is the quarter before the event; dongs that are eligible there count. An event or base outside of the index has
+    no dongs and null changes. Dongs without an index at the other end are left out of a mean.
+    """
+    ends = index.agg(F.min("q").alias("first"), F.max("q").alias("last"))
+    rows = events.select("event_id", "q", "pos").crossJoin(F.broadcast(ends))
+    within = lambda c: F.coalesce(c.between(F.col("first"), F.col("last")), F.lit(False))
+    note = F.array_join(F.array_compact(F.array(F.when(~within(F.col("q")), OUTSIDE_EVENT), F.when(~within(F.col("q") - 1), OUTSIDE_BASE))), "; ")
+    rows = rows.withColumn("note", note).withColumn("pre_observable", F.coalesce(F.col("q") - 1 - back >= F.col("first"), F.lit(False))).withColumn("post_observable", F.coalesce(F.col("q") + ahead <= F.col("last"), F.lit(False)))
+    seen = F.broadcast(rows.where("note = ''").select("event_id", F.col("q").alias("_q")))  # events are a list kept by hand
+    at = lambda k, to, *more: index.join(seen, F.col("q") == F.col("_q") + k).select("event_id", "dong", F.col("log_index").alias(to), *more)
+    base = at(-1, "base", "eligible").where("eligible").drop("eligible")
+    both = base.join(at(-1 - back, "before"), ["event_id", "dong"], "left").join(at(ahead, "after"), ["event_id", "dong"], "left")
+    change = both.select("event_id", (F.col("base") - F.col("before")).alias("pre"), (F.col("after") - F.col("base")).alias("post"))
+    way = lambda c: F.avg(c.cast("double"))
+    each = change.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_dongs"), F.count("post").alias("n_post"), F.avg("pre").alias("pre_change"), F.avg("post").alias("post_change"), F.median("post").alias("post_median"), F.percentile("post", F.lit(0.1)).alias("post_p10"), F.percentile("post", F.lit(0.9)).alias("post_p90"), way(F.col("post") > 0).alias("share_up"), way(F.col("post") < 0).alias("_down"))
+    out = rows.join(each, "event_id", "left").join(overlapping_events(events), "event_id")
+    if_seen = lambda flag, c: F.when(F.col(flag), F.col(c)).alias(c)
+    same = F.when(F.round("post_change", 12) > 0, F.col("share_up")).when(F.round("post_change", 12) < 0, F.col("_down"))
+    after = [if_seen("post_observable", c) for c in ("post_change", "post_median", "post_p10", "post_p90", "share_up")]
+    return out.select("event_id", "q", F.coalesce("n_dongs", F.lit(0)).alias("n_dongs"), F.when(F.col("post_observable"), F.coalesce("n_post", F.lit(0))).otherwise(0).alias("n_post"), if_seen("pre_observable", "pre_change"), *after, F.when(F.col("post_observable"), same).alias("same_direction"), "pre_observable", "post_observable", "overlaps", "note")
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement of two labelings, from their contingency counts."""
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

@@ -99,6 +99,45 @@ def schema_diff(df: DataFrame, expected: dict[str, tuple[str, bool]]) -> list[st
     return out
 
 
+def schema_report(tables: dict[str, DataFrame], catalogue: dict[str, dict]) -> DataFrame:
+    """(table, kind, name, issue, n) of everything in which tables differ from a catalogue; nothing where all is as declared.
+
+    An entry has columns {name: type}, and may have required (columns without nulls), key, references [(columns, table,
+    columns)] and checks {name: SQL condition that a row meets; null passes}. Tables and columns are missing or unexpected;
+    keys are repeated, references orphaned (nulls refer to nothing), checks violated, with the number of rows. What a missing
+    column is needed for is not looked at. A table's checks are one aggregation, a key or a reference one more.
+    """
+    found, parts = [], []
+    missing = [t for t in catalogue if t not in tables]
+    found += [(t, "table", t, "missing", 1) for t in missing] + [(t, "table", t, "unexpected", 1) for t in tables if t not in catalogue]
+    for t, want in catalogue.items():
+        if t in missing:
+            continue
+        df = tables[t]
+        have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        found += [(t, "column", c, "missing", 1) for c in want["columns"] if c not in have] + [(t, "column", c, "unexpected", 1) for c in have if c not in want["columns"]]
+        found += [(t, "type", c, f"{have[c]}, not {kind}", 1) for c, kind in want["columns"].items() if c in have and have[c] != kind]
+        rows = {("required", c, "null"): F.count_if(F.col(c).isNull()) for c in want.get("required", ()) if c in have}
+        rows |= {("check", name, "violated"): F.count_if(~F.coalesce(F.expr(c), F.lit(True))) for name, c in want.get("checks", {}).items()}
+        if rows:
+            counts = df.agg(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(name).alias("name"), F.lit(issue).alias("issue"), n.alias("n")) for (k, name, issue), n in rows.items()]).alias("x"))
+            parts.append(counts.select(F.lit(t).alias("table"), F.explode("x").alias("x")).select("table", "x.*"))
+        one = lambda n, kind, name, issue, t=t: n.select(F.lit(t).alias("table"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(issue).alias("issue"), F.col("n").cast("long").alias("n"))
+        key = want.get("key", ())
+        if key and set(key) <= set(have):
+            again = df.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("n"))
+            parts.append(one(again, "key", ",".join(key), "repeated"))
+        for cols, other, there in want.get("references", ()):
+            if other in tables and set(cols) <= set(have) and set(there) <= set(tables[other].columns):
+                known = tables[other].select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(there)]).distinct()
+                on = [F.col(c) == F.col(f"_{i}") for i, c in enumerate(cols)]
+                parts.append(one(df.dropna(subset=list(cols)).join(known, on, "left_anti").agg(F.count(F.lit(1)).alias("n")), "reference", f"{','.join(cols)} -> {other}", "orphaned"))
+    out = next(iter(tables.values())).sparkSession.createDataFrame(found, "table string, kind string, name string, issue string, n bigint")
+    for p in parts:
+        out = out.union(p)
+    return out.where("n > 0")
+
+
 def check_geojson(features: DataFrame, keys: list[str]) -> DataFrame:
     """(properties, why) of read features whose keys differ, whose type is another, or that have an open or short ring or a
     coordinate that is no finite number."""
@@ -151,9 +190,9 @@ def master_of(trades: DataFrame, key: str, names: list[str], year: str) -> DataF
 
 
 def recount_concentration(valid: DataFrame, q: int, width: int = 4) -> DataFrame:
-    """(dong, n_complexes, dominant_share) counted straight from the ledger's last `width` quarters."""
+    """(dong, sale_n, n_complexes, dominant_share) counted straight from the ledger's last `width` quarters."""
     rows = valid.where(F.col("q").between(q - width + 1, q)).groupBy("dong", "apt_seq").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("dong").agg(F.count_distinct("apt_seq").alias("n_complexes"), (F.max("n") / F.sum("n")).alias("dominant_share"))
+    return rows.groupBy("dong").agg(F.sum("n").alias("sale_n"), F.count_distinct("apt_seq").alias("n_complexes"), (F.max("n") / F.sum("n")).alias("dominant_share"))
 
 
 def match_registry(master: DataFrame, registry: DataFrame, key: str) -> DataFrame:

@@ -43,11 +43,12 @@ def peak_states(index: DataFrame, q: int, width: int = 20) -> DataFrame:
     return top.select("dong", F.col("p.q").alias("peak_q"), gap.alias("peak_gap"), se.alias("peak_gap_se"), F.when(F.col("p.q") == q, PEAK).otherwise(state(gap, se)).alias("peak_state"))
 
 
-def structure_matrix(features: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
-    """features with nulls of cols filled by the group's median, or by that of all where the group has none."""
-    own = features.groupBy(group).agg(*[F.median(c).alias(f"_g_{c}") for c in cols])
-    every = features.agg(*[F.median(c).alias(f"_a_{c}") for c in cols])
-    rows = features.join(own, group, "left").crossJoin(F.broadcast(every))
+def structure_matrix(features: DataFrame, cols: Sequence[str], group: str, time: Sequence[str] = ()) -> DataFrame:
+    """features with nulls of cols filled by the group's median, or by that of all where the group has none; at each time by itself."""
+    own = features.groupBy(*time, group).agg(*[F.median(c).alias(f"_g_{c}") for c in cols])
+    every = features.groupBy(*time).agg(*[F.median(c).alias(f"_a_{c}") for c in cols])
+    rows = features.join(own, [*time, group], "left")
+    rows = rows.join(every, list(time)) if time else rows.crossJoin(F.broadcast(every))
     return rows.select(*[F.coalesce(c, f"_g_{c}", f"_a_{c}").alias(c) if c in cols else F.col(c) for c in features.columns])
 
 

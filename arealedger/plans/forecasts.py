@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quarters, scalars
-from ..operators import catalog, forecast, hedonic, ledger, nowcast, panel
+from ..operators import catalog, cluster, forecast, hedonic, ledger, nowcast, panel
 from ..sources.adapter import complexes, span, trade_sale
 from ..sources.store import stored
-from .queries import INDEX_SQL, LAST, SCALES_SQL, query, scales, valid
+from .kmeans import ROUNDS, STARTS, kmeans_sql
+from .queries import INDEX_SQL, LAST, SCALES_SQL, query, scales, stored_index, valid
 
 RESIDUALS_SQL = """, ce AS (SELECT cell, avg(log_ppm2) AS e FROM valid GROUP BY 1),
 rs AS (SELECT sgg_cd, dong, q, datediff('day', date_trunc('quarter', deal_date), deal_date) + 1 AS day, log_ppm2 - e AS residual FROM valid JOIN ce USING (cell)),
@@ -50,8 +51,9 @@ def _ladder(spark, d):
 
 def _relative(spark, d):
     """Own changes of a dong less their mean, the next year's as target."""
-    rows = panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4))
-    return rows.select("q", "dong", "y", "b2", (F.col("b1") - F.col("b2")).alias("x"), F.log("n_sales").alias("x2"), (F.col("y") - F.avg("y").over(panel.Window.partitionBy("q"))).alias("r"))
+    rows = panel.baselines(panel.with_targets(stored_index(spark, d), 4))
+    rows = rows.select("q", "dong", "y", "b2", (F.col("b1") - F.col("b2")).alias("x"), F.log("n_sales").alias("x2"), (F.col("y") - F.avg("y").over(panel.Window.partitionBy("q"))).alias("r"))
+    return stored(rows, "relative")
 
 
 @query(f"{RESIDUALS_SQL} SELECT q, visible, dong, n, round(log_index, 6) AS log_index, round(slope, 6) AS slope FROM pv")
@@ -130,22 +132,68 @@ def empirical_intervals(spark, d):
     return forecast.empirical_intervals(rows, 4, n=4, least_rows=20).withColumn("half", F.round("half", 6))
 
 
-@query()
+def drawn_sql(n, *parts):
+    """The SQL of hedonic.drawn."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 8))::BIGINT % {n})"
+
+
+BASE_ERRORS_SQL = f"""{INDEX_SQL}, t_ AS (SELECT i.dong, i.q, a.log_index - i.log_index AS y, i.log_index - b.log_index AS b1 FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4),
+eb AS (SELECT dong, q, q // 4 AS year, abs(y - b1) AS a, abs(y - avg(b1) OVER (PARTITION BY q)) AS b FROM t_)"""
+
+
+def bootstrap_sql(unit):
+    return f"""{BASE_ERRORS_SQL}, un AS MATERIALIZED (SELECT {unit} AS unit, sum(a - b) AS s, count(*) AS n, row_number() OVER (ORDER BY {unit}) - 1 AS slot FROM eb GROUP BY 1), sz AS (SELECT count(*) AS units FROM un),
+dr AS (SELECT draw, {drawn_sql("units", 1, "draw", "k")} AS slot FROM sz, (SELECT unnest(range(1000)) AS draw) x, (SELECT slot AS k FROM un) y), ds_ AS (SELECT draw, sum(s) / sum(n) AS diff FROM dr JOIN un USING (slot) GROUP BY 1)
+SELECT round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, (SELECT round(sum(s) / sum(n), 6) FROM un) AS mean FROM ds_"""
+
+
+def _unit_bootstrap(spark, d, unit):
+    rows = panel.baselines(panel.with_targets(stored_index(spark, d), 4)).withColumn("year", F.floor(F.col("q") / 4))
+    out = hedonic.block_bootstrap(stored(rows.select(unit, F.abs(F.col("y") - F.col("b1")).alias("a"), F.abs(F.col("y") - F.col("b2")).alias("b")), "errors"), unit, "a", "b")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "mean")])
+
+
+@query(bootstrap_sql("dong"))
+def mae_bootstrap(spark, d):
+    """Own momentum against the city's mean, by dong blocks."""
+    return _unit_bootstrap(spark, d, "dong")
+
+
+@query(bootstrap_sql("q"))
+def quarter_bootstrap(spark, d):
+    """The same by quarters."""
+    return _unit_bootstrap(spark, d, "q")
+
+
+@query(bootstrap_sql("year"))
+def year_bootstrap(spark, d):
+    """The same by years: a year's origins are drawn together."""
+    return _unit_bootstrap(spark, d, "year")
+
+
+@query(f"""{BASE_ERRORS_SQL}, se_ AS MATERIALIZED (SELECT q - min(q) OVER () AS pos, avg(a) - avg(b) AS value FROM eb GROUP BY q), st AS MATERIALIZED (SELECT pos AS start, row_number() OVER (ORDER BY pos) - 1 AS slot FROM (SELECT pos, count(value) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM se_) WHERE n = 4),
+sz AS (SELECT (SELECT count(*) FROM se_) AS n, (SELECT count(*) FROM st) AS starts), dr AS (SELECT draw, k, {drawn_sql("starts", 42, "draw", "k")} AS slot FROM (SELECT * FROM sz WHERE starts > 0) z, (SELECT unnest(range(2000)) AS draw) x, (SELECT unnest(range(1000)) AS k) y WHERE k < ceil(n / 4)),
+pk_ AS (SELECT draw, start + o AS pos FROM dr JOIN st USING (slot), (SELECT unnest(range(4)) AS o) o_, sz WHERE k * 4 + o < n), ds_ AS (SELECT draw, avg(value) AS m FROM pk_ JOIN se_ USING (pos) GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws, (SELECT round(avg(value), 6) FROM se_) AS mean FROM ds_""")
 def error_gap_bootstrap(spark, d):
     """Mean gap of two baselines' errors by origin, over moving blocks of quarters."""
-    e = panel.mae_by_origin(panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4)))
+    e = panel.mae_by_origin(panel.baselines(panel.with_targets(stored_index(spark, d), 4)))
     first = e.agg(F.min("q").alias("f"))
     series = e.crossJoin(F.broadcast(first)).select((F.col("q") - F.col("f")).alias("pos"), (F.col("mae_b1") - F.col("mae_b2")).alias("value"))
-    return forecast.moving_block_bootstrap(series, 4)
+    out = forecast.moving_block_bootstrap(stored(series, "gaps"), 4)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high")], "draws", F.round("mean", 6).alias("mean"))
 
 
-@query(f"""{INDEX_SQL}, f AS (SELECT dong, cast(sgg_cd AS INT) % 4 AS cluster, log_index AS level, n_sales::DOUBLE AS n FROM idx WHERE q = {LAST}),
+@query(f"""{INDEX_SQL}, fz AS (SELECT dong, log_index AS level, n_sales::DOUBLE AS n FROM idx WHERE q = {LAST}), zx AS MATERIALIZED (SELECT l AS as_of, dong, [coalesce((level - avg(level) OVER ()) / nullif(stddev_pop(level) OVER (), 0), 0), coalesce((n - avg(n) OVER ()) / nullif(stddev_pop(n) OVER (), 0), 0)] AS x, 1.0::DOUBLE AS w FROM fz, span),
+{kmeans_sql("zx", "(VALUES (4)) t(k)", 2, "zk")}, f AS (SELECT fz.*, cluster FROM fz JOIN zk USING (dong)),
 l AS (SELECT dong, cluster, unnest(['level', 'n']) AS feature, unnest([level, n]) AS value FROM f), w AS (SELECT feature, median(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY 1), c AS (SELECT cluster, feature, median(value) AS c FROM l GROUP BY 1, 2)
 SELECT cluster, feature, coalesce(round((c - m) / nullif(sd, 0), 6), 0) AS z FROM c JOIN w USING (feature)""")
 def structure_z(spark, d):
+    """How far each of four clusters by index level and sales stands from all dongs."""
     last = span(spark, d)[1]
-    f = panel.mean_index(valid(spark, d)).where(F.col("q") == last).select("dong", (F.col("sgg_cd").cast("int") % 4).alias("cluster"), F.col("log_index").alias("level"), F.col("n_sales").cast("double").alias("n"))
-    return catalog.structure_z(f.select("dong", "level", "n"), f, ["level", "n"]).withColumn("z", F.round("z", 6))
+    f = stored(panel.mean_index(valid(spark, d)).where(F.col("q") == last).select("dong", F.lit(last).alias("as_of"), F.col("log_index").alias("level"), F.col("n_sales").cast("double").alias("n")), "levels")
+    found = cluster.keyed_kmeans(cluster.standardized(f, ["level", "n"], ["as_of"], least=1), [4], 2, starts=STARTS, rounds=ROUNDS)
+    return catalog.structure_z(f.select("dong", "level", "n"), found.select("dong", "cluster"), ["level", "n"]).withColumn("z", F.round("z", 6))
 
 
 @query(f""", c AS (SELECT dong, sgg_cd AS gu_name, umd_nm AS umd_name, count(*) AS n, round(median(price / area), 4) AS price FROM valid WHERE q > {LAST} - 4 GROUP BY 1, 2, 3) SELECT dong, price FROM c WHERE contains(gu_name || ' ' || umd_name, 'S1') AND n >= 20 AND price BETWEEN 1000 AND 2000""")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quarters, scalars
-from ..operators import geometry, hedonic, ledger, panel, windows
+from ..operators import geometry, hedonic, ledger, panel, quality, serving, windows
+from ..sources import files
 from ..sources.adapter import SALE_SQL, completions, complexes, span, table, trade_rent, trade_sale
+from ..sources.store import stored
 
 #: The last complete quarter, and quarters as a table, in the SQL.
 LAST = "(SELECT l FROM span)"
@@ -41,6 +43,11 @@ def valid(spark: SparkSession, d: str) -> DataFrame:
     return ledger.valid_sales(trade_sale(spark, d))
 
 
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The mean index, written once for the several reads of it that shifts and joins make."""
+    return stored(panel.mean_index(valid(spark, d)), "index")
+
+
 def events_table(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(list(EVENTS), "pos int, event_id string, date string, score int")
     return rows.withColumn("q", quarters.quarter_ord(F.to_date("date")))
@@ -105,21 +112,53 @@ def supply_features(spark, d):
     return ledger.supply_features(completions(spark, d), first, last)
 
 
-@query(f""", n AS (SELECT count(*) AS n FROM supplier), o AS (SELECT o_custkey, min(cast(o_orderdate AS DATE)) AS f FROM orders GROUP BY 1),
-z AS (SELECT s_nationkey || '_S' || s_suppkey AS dong, cast(c_custkey % 100 AS BIGINT) AS households, f, f + 180 AS f2, f + 720 AS f3 FROM customer JOIN o ON o_custkey = c_custkey, n JOIN supplier ON s_suppkey = c_custkey % n.n),
-zz AS (SELECT dong, households, year(f) * 4 + quarter(f) - 1 AS s1, year(f2) * 4 + quarter(f2) - 1 AS s2, year(f3) * 4 + quarter(f3) - 1 AS s3 FROM z),
-k AS (SELECT dong, as_of FROM (SELECT DISTINCT dong FROM valid), (SELECT q AS as_of FROM {LAST_8Q}) r)
-SELECT dong, as_of, count_if(s1 <= as_of)::BIGINT AS n_s1, count_if(s2 <= as_of)::BIGINT AS n_s2, count_if(s3 <= as_of)::BIGINT AS n_s3, cast(sum(CASE WHEN s1 <= as_of AND NOT s3 <= as_of THEN households ELSE 0 END) AS BIGINT) AS active_households,
-cast(sum((s1 <= as_of AND s1 > as_of - 4)::INT + (s2 <= as_of AND s2 > as_of - 4)::INT + (s3 <= as_of AND s3 > as_of - 4)::INT) AS BIGINT) AS events_4q FROM k JOIN zz USING (dong) GROUP BY 1, 2""")
-def zone_features(spark, d):
-    last = span(spark, d)[1]
+#: What is declared of some given tables: the ledger has no key, and one column and one table that don't exist are asked for.
+CATALOGUE = {
+    "nation": {"columns": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}, "key": ["n_nationkey"], "references": [(["n_regionkey"], "region", ["r_regionkey"])]},
+    "region": {"columns": {"r_regionkey": "int", "r_name": "string", "r_code": "string"}, "key": ["r_regionkey"]},
+    "supplier": {"columns": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"}, "key": ["s_suppkey"], "references": [(["s_nationkey"], "nation", ["n_nationkey"])], "checks": {"no debt": "s_acctbal >= 0"}},
+    "lineitem": {"columns": {}, "required": ["l_shipdate", "l_quantity"], "key": ["l_orderkey", "l_linenumber"], "references": [(["l_suppkey"], "supplier", ["s_suppkey"]), (["l_orderkey"], "orders", ["o_orderkey"])], "checks": {"small discount": "l_discount < 0.08", "some quantity": "l_quantity > 0"}},
+    "permits": {"columns": {}},
+}
+
+
+@query("""WITH have AS (SELECT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'supplier', 'lineitem', 'orders')),
+want(t, c) AS (VALUES ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'n_regionkey'), ('region', 'r_regionkey'), ('region', 'r_name'), ('region', 'r_code'), ('supplier', 's_suppkey'), ('supplier', 's_name'), ('supplier', 's_nationkey'), ('supplier', 's_acctbal')),
+x AS (SELECT 'permits' AS "table", 'table' AS kind, 'permits' AS name, 'missing' AS issue, 1::BIGINT AS n UNION ALL SELECT 'orders', 'table', 'orders', 'unexpected', 1
+UNION ALL SELECT t, 'column', c, 'missing', 1 FROM want ANTI JOIN have USING (t, c) UNION ALL SELECT t, 'column', c, 'unexpected', 1 FROM have ANTI JOIN want USING (t, c) WHERE t <> 'orders'
+UNION ALL SELECT 'nation', 'key', 'n_nationkey', 'repeated', count(*) - count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'region', 'key', 'r_regionkey', 'repeated', count(*) - count(DISTINCT r_regionkey) FROM region
+UNION ALL SELECT 'supplier', 'key', 's_suppkey', 'repeated', count(*) - count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'lineitem', 'key', 'l_orderkey,l_linenumber', 'repeated', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem
+UNION ALL SELECT 'nation', 'reference', 'n_regionkey -> region', 'orphaned', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT 'supplier', 'reference', 's_nationkey -> nation', 'orphaned', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'lineitem', 'reference', 'l_suppkey -> supplier', 'orphaned', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'lineitem', 'reference', 'l_orderkey -> orders', 'orphaned', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'supplier', 'check', 'no debt', 'violated', count_if(s_acctbal < 0) FROM supplier UNION ALL SELECT 'lineitem', 'check', 'small discount', 'violated', count_if(l_discount >= 0.08) FROM lineitem UNION ALL SELECT 'lineitem', 'check', 'some quantity', 'violated', count_if(l_quantity <= 0) FROM lineitem
+UNION ALL SELECT 'lineitem', 'required', c, 'null', n FROM (SELECT count(*) - count(l_shipdate) AS l_shipdate, count(*) - count(l_quantity) AS l_quantity FROM lineitem) UNPIVOT (n FOR c IN (l_shipdate, l_quantity)))
+SELECT * FROM x WHERE n > 0""", ledgers=False)
+def schema_issues(spark, d):
+    """What given tables lack or have beyond a declaration, keys, references and checks included."""
+    return quality.schema_report({t: table(spark, d, t) for t in ("nation", "region", "supplier", "lineitem", "orders")}, CATALOGUE)
+
+
+ZONES_SQL = """, zn AS (SELECT count(*) AS n FROM supplier), zo AS (SELECT o_custkey, min(cast(o_orderdate AS DATE)) AS f FROM orders GROUP BY 1),
+zd AS (SELECT s_nationkey || '_S' || s_suppkey AS dong, cast(c_custkey % 100 AS BIGINT) AS households, zo.f, zo.f + 180 AS f2, zo.f + 720 AS f3 FROM customer JOIN zo ON o_custkey = c_custkey, zn JOIN supplier ON s_suppkey = c_custkey % zn.n),
+zz AS (SELECT dong, households, year(f) * 4 + quarter(f) - 1 AS s1, year(f2) * 4 + quarter(f2) - 1 AS s2, year(f3) * 4 + quarter(f3) - 1 AS s3 FROM zd)"""
+
+
+def zones_of(spark, d):
+    """(dong, households, s1, s2, s3): zones with the quarters in which they reach their stages."""
     s = table(spark, d, "supplier")
     n = s.agg(F.count(F.lit(1)).alias("_n"))
     first = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("f"))
     c = table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey")).crossJoin(F.broadcast(n)).withColumn("k", F.col("c_custkey") % F.col("_n"))
-    z = c.join(s, F.col("k") == F.col("s_suppkey")).select(F.concat(F.col("s_nationkey").cast("string"), F.lit("_S"), F.col("s_suppkey").cast("string")).alias("dong"), (F.col("c_custkey") % 100).alias("households"), *[quarters.quarter_ord(F.date_add("f", 180 * k)).alias(a) for a, k in (("s1", 0), ("s2", 1), ("s3", 4))])
+    return c.join(s, F.col("k") == F.col("s_suppkey")).select(F.concat(F.col("s_nationkey").cast("string"), F.lit("_S"), F.col("s_suppkey").cast("string")).alias("dong"), (F.col("c_custkey") % 100).alias("households"), *[quarters.quarter_ord(F.date_add("f", 180 * k)).alias(a) for a, k in (("s1", 0), ("s2", 1), ("s3", 4))])
+
+
+@query(f"""{ZONES_SQL}, k AS (SELECT dong, as_of FROM (SELECT DISTINCT dong FROM valid), (SELECT q AS as_of FROM {LAST_8Q}) r)
+SELECT dong, as_of, count_if(s1 <= as_of)::BIGINT AS n_s1, count_if(s2 <= as_of)::BIGINT AS n_s2, count_if(s3 <= as_of)::BIGINT AS n_s3, cast(sum(CASE WHEN s1 <= as_of AND NOT s3 <= as_of THEN households ELSE 0 END) AS BIGINT) AS active_households,
+cast(sum((s1 <= as_of AND s1 > as_of - 4)::INT + (s2 <= as_of AND s2 > as_of - 4)::INT + (s3 <= as_of AND s3 > as_of - 4)::INT) AS BIGINT) AS events_4q FROM k JOIN zz USING (dong) GROUP BY 1, 2""")
+def zone_features(spark, d):
+    last = span(spark, d)[1]
     origins = windows.grid(valid(spark, d).select("dong").distinct(), last - 7, last, "as_of")
-    return ledger.zone_features(z, origins)
+    return ledger.zone_features(zones_of(spark, d), origins)
 
 
 @query(f""", qs AS (SELECT DISTINCT q FROM sale), e AS (SELECT q, (make_date(((q + 1) // 4)::INT, ((q + 1) % 4 * 3 + 1)::INT, 1) - INTERVAL 1 DAY)::DATE AS day FROM qs),
@@ -152,7 +191,7 @@ def mean_index(spark, d):
 @query(f"""{INDEX_SQL}, t AS (SELECT i.dong, i.q, a.log_index - i.log_index AS y, i.log_index - b.log_index AS b1 FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4),
 u AS (SELECT *, avg(b1) OVER (PARTITION BY q) AS b2 FROM t) SELECT q, count(*) AS n, round(avg(abs(y)), 6) AS mae_b0, round(avg(abs(y - b1)), 6) AS mae_b1, round(avg(abs(y - b2)), 6) AS mae_b2 FROM u GROUP BY q""")
 def rolling_baselines(spark, d):
-    out = panel.mae_by_origin(panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4)))
+    out = panel.mae_by_origin(panel.baselines(panel.with_targets(stored_index(spark, d), 4)))
     return out.select("q", "n", *[F.round(c, 6).alias(c) for c in ("mae_b0", "mae_b1", "mae_b2")])
 
 
@@ -180,15 +219,15 @@ def interval_coverage(spark, d):
 
 
 def _intervals(spark, d):
-    rows = panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 2)).withColumnRenamed("b2", "pred")
-    return panel.conformal_intervals(rows, 2)
+    rows = panel.baselines(panel.with_targets(stored_index(spark, d), 2)).withColumnRenamed("b2", "pred")
+    return panel.conformal_intervals(stored(rows, "baselines"), 2)
 
 
 @query(f"""{INDEX_SQL}, t AS (SELECT i.q, a.log_index - i.log_index AS y, i.log_index - b.log_index AS x FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4),
 e AS (SELECT gamma, q, avg(abs(y - gamma * x)) AS mae FROM t, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) g(gamma) GROUP BY 1, 2), w AS (SELECT cast(gamma AS DOUBLE) AS gamma, round(avg(mae), 10) AS m FROM e GROUP BY 1)
 SELECT gamma, round(m, 6) AS mae, row_number() OVER (ORDER BY m, gamma) = 1 AS chosen FROM w""")
 def gamma_choice(spark, d):
-    rows = panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4)).withColumnRenamed("b1", "x")
+    rows = panel.baselines(panel.with_targets(stored_index(spark, d), 4)).withColumnRenamed("b1", "x")
     return panel.choose_gamma(rows).withColumn("mae", F.round("mae", 6))
 
 
@@ -203,7 +242,7 @@ m AS (SELECT sum(change * w) / sum(w) AS mu FROM c) SELECT dong, round(change, 6
 def change_block(spark, d):
     last = span(spark, d)[1]
     cx = ledger.map_complexes(complexes(spark, d), trade_sale(spark, d)).groupBy("dong").agg(F.sum("households").alias("w"))
-    out = panel.change_block(panel.mean_index(valid(spark, d)), cx, last)
+    out = panel.change_block(stored_index(spark, d), cx, last)
     return out.select("dong", *[F.round(c, 6).alias(c) for c in ("change", "mu", "delta")])
 
 
@@ -219,13 +258,38 @@ def overlapping_events(spark, d):
 SELECT event_id, k, count(*) AS n, round(avg(path), 6) AS mean, round(median(path), 6) AS median, round(quantile_cont(path, 0.1), 6) AS p10, round(quantile_cont(path, 0.9), 6) AS p90, round(avg((path > 0)::INT), 6) AS share_up,
 CASE WHEN round(avg(path), 12) <> 0 THEN round(CASE WHEN avg(path) > 0 THEN avg((path > 0)::INT) ELSE avg((path < 0)::INT) END, 6) END AS same_direction FROM p GROUP BY 1, 2""")
 def event_study(spark, d):
-    out = panel.event_summary(panel.event_paths(panel.mean_index(valid(spark, d)), events_table(spark)))
+    out = panel.event_summary(stored(panel.event_paths(stored_index(spark, d), events_table(spark)), "paths"))
     return out.select("event_id", "k", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p10", "p90", "share_up", "same_direction")])
 
 
-@query(f""" SELECT dong, CASE WHEN area < 13 THEN 'A' WHEN area < 26 THEN 'B' WHEN area < 39 THEN 'C' ELSE 'D' END AS band, count(*) AS n, round(median(price), 4) AS median_price, min(price) AS min_price, max(price) AS max_price FROM valid WHERE deal_ym >= '199910' GROUP BY 1, 2""")
+# Events that the ledger doesn't reach, or only in part.
+FAR_EVENTS = ((7, "E7", "1990-01-01", 1), (8, "E8", "1995-01-15", -1), (9, "E9", "2001-08-01", 1), (10, "E10", "2030-05-01", 1))
+
+
+@query(f"""{INDEX_SQL}, ev AS (SELECT pos, event_id, score, year(cast(d AS DATE)) * 4 + quarter(cast(d AS DATE)) - 1 AS q FROM (VALUES {values((*EVENTS, *FAR_EVENTS))}) t(pos, event_id, d, score)),
+gr AS (SELECT dong, q FROM (SELECT DISTINCT dong FROM valid), {ALL_Q} r), cn AS (SELECT dong, q, count(*) AS n FROM valid GROUP BY 1, 2), el AS (SELECT dong, q, coalesce(CASE WHEN count(*) OVER w = 4 THEN sum(coalesce(n, 0)) OVER w END >= 20, false) AS eligible FROM gr LEFT JOIN cn USING (dong, q) WINDOW w AS (PARTITION BY dong ORDER BY q ROWS 3 PRECEDING)),
+ix AS (SELECT idx.dong, idx.q, log_index, eligible FROM idx JOIN el USING (dong, q)), en AS (SELECT min(q) AS f1, max(q) AS l1 FROM ix),
+eo AS (SELECT ev.*, array_to_string([x FOR x IN [CASE WHEN NOT q BETWEEN f1 AND l1 THEN '{panel.OUTSIDE_EVENT}' END, CASE WHEN NOT q - 1 BETWEEN f1 AND l1 THEN '{panel.OUTSIDE_BASE}' END] IF x IS NOT NULL], '; ') AS note, q - 5 >= f1 AS pre_observable, q + 3 <= l1 AS post_observable FROM ev, en),
+ep AS (SELECT event_id, b.log_index - p.log_index AS pre, a.log_index - b.log_index AS post FROM eo JOIN ix b ON b.q = eo.q - 1 AND b.eligible LEFT JOIN ix p ON p.dong = b.dong AND p.q = eo.q - 5 LEFT JOIN ix a ON a.dong = b.dong AND a.q = eo.q + 3 WHERE note = ''),
+es AS (SELECT event_id, count(*) AS n_dongs, count(post) AS n_post, avg(pre) AS pre_change, avg(post) AS post_change, median(post) AS post_median, quantile_cont(post, 0.1) AS post_p10, quantile_cont(post, 0.9) AS post_p90, avg((post > 0)::INT) AS up, avg((post < 0)::INT) AS down FROM ep GROUP BY 1),
+ol AS (SELECT a.event_id, coalesce(string_agg(b.event_id, ',' ORDER BY b.pos), '') AS overlaps FROM ev a LEFT JOIN ev b ON abs(a.q - b.q) <= 4 AND a.event_id <> b.event_id GROUP BY 1)
+SELECT event_id, q, coalesce(n_dongs, 0) AS n_dongs, CASE WHEN post_observable THEN coalesce(n_post, 0) ELSE 0 END AS n_post, CASE WHEN pre_observable THEN round(pre_change, 6) END AS pre_change, {", ".join(f"CASE WHEN post_observable THEN round({c}, 6) END AS {c}" for c in ("post_change", "post_median", "post_p10", "post_p90"))},
+CASE WHEN post_observable THEN round(up, 6) END AS share_up, CASE WHEN post_observable THEN round(CASE WHEN round(post_change, 12) > 0 THEN up WHEN round(post_change, 12) < 0 THEN down END, 6) END AS same_direction, pre_observable, post_observable, "overlaps", note FROM eo LEFT JOIN es USING (event_id) JOIN ol USING (event_id)""")
+def event_outcomes(spark, d):
+    """Each event's changes before and after, and those that the index doesn't reach with the reason."""
+    first, last = span(spark, d)
+    v = valid(spark, d)
+    index = panel.mean_index(v).join(ledger.eligible(v, first, last).select("dong", "q", "eligible"), ["dong", "q"]).select("dong", "q", "log_index", "eligible")
+    rows = spark.createDataFrame([*EVENTS, *FAR_EVENTS], "pos int, event_id string, date string, score int")
+    out = panel.event_outcomes(stored(index, "index"), rows.withColumn("q", quarters.quarter_ord(F.to_date("date"))))
+    return out.withColumns({c: F.round(c, 6) for c in ("pre_change", "post_change", "post_median", "post_p10", "post_p90", "share_up", "same_direction")})
+
+
+@query(""" SELECT dong, CASE WHEN area < 13 THEN 'A' WHEN area < 26 THEN 'B' WHEN area < 39 THEN 'C' ELSE 'D' END AS band, count(*) AS n, round(median(price), 4) AS median_price, min(price) AS min_price, max(price) AS max_price FROM valid
+WHERE deal_ym >= (SELECT strftime(date_trunc('month', max(deal_date)) - INTERVAL 23 MONTH, '%Y%m') FROM sale) GROUP BY 1, 2""")
 def area_bands(spark, d):
-    return ledger.area_bands(valid(spark, d), "199910").withColumn("median_price", F.round("median_price", 4))
+    """Prices by dong and area band over the ledger's last 24 months."""
+    return ledger.area_bands(valid(spark, d), serving.area_window(trade_sale(spark, d))).withColumn("median_price", F.round("median_price", 4))
 
 
 @query(f""", s AS (SELECT dong, q, count(*) AS a FROM valid GROUP BY 1, 2), r AS (SELECT dong, q, count(*) AS b, count_if(monthly <> 0) AS m FROM rent GROUP BY 1, 2),
@@ -273,7 +337,7 @@ SELECT dong, peer, round(distance, 6) AS distance, row_number() OVER (PARTITION
 def nearest_peers(spark, d):
     last = span(spark, d)[1]
     m = panel.mean_index(valid(spark, d)).where(F.col("q") == last).select("dong", "sgg_cd", F.col("log_index").alias("a"), F.col("n_sales").cast("double").alias("b"))
-    return panel.peers(m, ["a", "b"], "sgg_cd").withColumn("distance", F.round("distance", 6))
+    return panel.peers(stored(m, "levels"), ["a", "b"], "sgg_cd").withColumn("distance", F.round("distance", 6))
 
 
 @query(""", c AS (SELECT cast(floor(area / 10) AS INT) AS x, floor AS y, count(*) AS n FROM valid GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c), a AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT x, sum(n) AS n FROM c GROUP BY 1)),
@@ -306,6 +370,37 @@ def html_links(spark, d):
     return a.groupBy("page_id", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), F.regexp_replace(F.regexp_extract("a", ">([^<]*)</a>", 1), r"\s+", " ").alias("title")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Links as a list of releases has them, made from the pages' numbers: years of two and four digits, a month that is none, another kind of file.
+RELEASES_SQL = """WITH r AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 2018 + page_id % 7 ELSE 18 + page_id % 7 END AS y, page_id % 14 AS m, CASE WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'xlsx' END AS ext FROM pages),
+l AS (SELECT page_id, page_id::VARCHAR AS seq, y || '년 ' || m || '월 A&B.' || ext AS title, (CASE WHEN y < 100 THEN y + 2000 ELSE y END)::INT AS year, m::INT AS month FROM r WHERE ext = 'xlsx' AND m BETWEEN 1 AND 12)"""
+
+
+def _releases(spark, d):
+    p = table(spark, d, "pages").withColumn("y", F.when(F.col("page_id") % 2 == 0, 2018 + F.col("page_id") % 7).otherwise(18 + F.col("page_id") % 7).cast("string"))
+    title = F.concat("y", F.lit("년 "), (F.col("page_id") % 14).cast("string"), F.lit("월 A&amp;B."), F.when(F.col("page_id") % 5 == 0, "pdf").otherwise("xlsx"))
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<A title='"), title, F.lit("' href=\"javascript:downloadFile('"), F.col("page_id").cast("string"), F.lit("')\">x</A>"))).otherwise(F.concat(F.lit('<a href="#" onclick="return downloadFile( '), F.col("page_id").cast("string"), F.lit(' )" title="'), title, F.lit('">x</a>')))
+    return files.release_links(p.select("page_id", F.concat("html", link).alias("html")), keys=("page_id",))
+
+
+@query(f"{RELEASES_SQL} SELECT * FROM l", ledgers=False)
+def release_links(spark, d):
+    """Workbooks of a stated month among the links of all pages."""
+    return _releases(spark, d)
+
+
+@query(f"{RELEASES_SQL} SELECT * FROM l ORDER BY year DESC, month DESC, seq::BIGINT DESC LIMIT 1", ledgers=False)
+def newest_release(spark, d):
+    """The newest of them."""
+    return files.newest_release(_releases(spark, d))
+
+
+@query(""", n AS (SELECT apt_seq, 'umd_nm' AS name, umd_nm AS value FROM sale UNION ALL SELECT apt_seq, 'deal_ym', deal_ym FROM sale UNION ALL SELECT apt_seq, 'sgg_cd', sgg_cd FROM sale), c AS (SELECT apt_seq, name, value FROM n GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY apt_seq, name ORDER BY count(*) DESC, value) = 1),
+y AS (SELECT apt_seq, median(build_year) AS build_year, count(*) AS n FROM sale GROUP BY 1) SELECT y.*, max(value) FILTER (name = 'umd_nm') AS umd_nm, max(value) FILTER (name = 'deal_ym') AS deal_ym, max(value) FILTER (name = 'sgg_cd') AS sgg_cd FROM y JOIN c USING (apt_seq) GROUP BY ALL""")
+def complex_master(spark, d):
+    """One row for each complex: its usual names, the median year it was built, and its trades."""
+    return quality.master_of(trade_sale(spark, d), "apt_seq", ["umd_nm", "deal_ym", "sgg_cd"], "build_year")
+
+
 @query("""SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total, sum(cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1, 2""", ledgers=False)
 def event_counts(spark, d):
     e = table(spark, d, "events")
@@ -342,7 +437,7 @@ se AS (SELECT idx.*, sqrt(sigma * sigma * n_sales + tau * tau * 25) / (n_sales +
 def scales(spark, d):
     """The mean index and its two scales."""
     v = valid(spark, d)
-    index = panel.mean_index(v)
+    index = stored_index(spark, d)
     return index, hedonic.deviation_scale(index, hedonic.residual_scale(v))
 
 
@@ -380,13 +475,6 @@ def repeat_sales_index(spark, d):
     return hedonic.repeat_sales_index(ledger.repeat_pairs(valid(spark, d)))
 
 
-@query()
-def mae_bootstrap(spark, d):
-    """Own momentum against the city's mean, by dong blocks."""
-    rows = panel.baselines(panel.with_targets(panel.mean_index(valid(spark, d)), 4))
-    return hedonic.block_bootstrap(rows.select("dong", F.abs(F.col("y") - F.col("b1")).alias("a"), F.abs(F.col("y") - F.col("b2")).alias("b")), "dong", "a", "b")
-
-
 @query()
 def structure_clusters(spark, d):
     v = valid(spark, d).groupBy("dong").agg(F.avg("log_ppm2").alias("level"), F.avg("build_year").alias("built"), F.count(F.lit(1)).cast("double").alias("n"))
@@ -402,3 +490,39 @@ def complexes_in_squares(spark, d):
     ring = F.array(*[F.array(F.col("a") + i, F.col("b") + j) for i, j in ((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1), (0.0, 0.0))])
     squares = corner.select(F.concat_ws("_", F.round("a", 1).cast("string"), F.round("b", 1).cast("string")).alias("key"), ring.alias("ring"))
     return geometry.points_in_polygons(p, squares).select("apt_seq", "key")
+
+
+def _diamond(x, y, r):
+    """A closed ring around (x, y)."""
+    return [(x + r, y), (x, y + r), (x - r, y), (x, y - r), (x + r, y)]
+
+
+#: Rings of each corner's shape: a diamond with a hole, and a small triangle apart from it.
+_RINGS = (_diamond(0.0503, 0.0487, 0.0451), _diamond(0.0513, 0.0477, 0.0171), [(0.0903, 0.0011), (0.0989, 0.0017), (0.0957, 0.0983), (0.0903, 0.0011)])
+_EDGES_SQL = ", ".join(f"({i}, {p[0]!r}, {p[1]!r}, {q[0]!r}, {q[1]!r})" for i, ring in enumerate(_RINGS) for p, q in zip(ring, ring[1:]))
+
+
+def _shapes(points):
+    """A shape of two parts, one of them with a hole, in each tenth-of-a-degree square that has points."""
+    corner = points.select((F.floor(F.col("x") * 10) / 10).alias("a"), (F.floor(F.col("y") * 10) / 10).alias("b")).distinct()
+    ring = lambda r: F.array(*[F.array(F.col("a") + p[0], F.col("b") + p[1]) for p in r])
+    return corner.select(F.concat_ws("_", F.round("a", 1).cast("string"), F.round("b", 1).cast("string")).alias("key"), F.array(F.array(ring(_RINGS[0]), ring(_RINGS[1])), F.array(ring(_RINGS[2]))).alias("polygons"))
+
+
+_PLACES_SQL = "p AS (SELECT DISTINCT apt_seq, 126.7 + l_suppkey % 600 / 1000 AS x, 37.4 + l_suppkey % 350 / 1000 AS y FROM joined), c AS (SELECT DISTINCT floor(x * 10) / 10 AS a, floor(y * 10) / 10 AS b FROM p)"
+
+
+@query(f""", {_PLACES_SQL}, e AS (SELECT a, b, a + x0 AS x0, b + y0 AS y0, a + x1 AS x1, b + y1 AS y1 FROM c, (VALUES {_EDGES_SQL}) t(i, x0, y0, x1, y1)),
+h AS (SELECT apt_seq, a, b, count(*) AS n FROM p JOIN e ON (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY 1, 2, 3) SELECT apt_seq, round(a, 1)::VARCHAR || '_' || round(b, 1)::VARCHAR AS key FROM h WHERE n % 2 = 1""")
+def complexes_in_shapes(spark, d):
+    """Complexes in shapes of several parts with holes."""
+    p = complexes(spark, d).select("apt_seq", F.col("lng").alias("x"), F.col("lat").alias("y"))
+    return geometry.points_in_multipolygons(p, _shapes(p)).select("apt_seq", "key")
+
+
+@query(f""", {_PLACES_SQL}, e AS (SELECT floor(a)::BIGINT AS degree, a, b, a + x0 AS x0, b + y0 AS y0 FROM c, (VALUES {_EDGES_SQL}) t(i, x0, y0, x1, y1)) SELECT degree, round(min(x0), 9) AS x0, round(min(y0), 9) AS y0, round(max(x0), 9) AS x1, round(max(y0), 9) AS y1, count(DISTINCT (a, b)) AS n FROM e GROUP BY 1""")
+def shape_bounds(spark, d):
+    """The box of all shapes of a degree of longitude."""
+    p = complexes(spark, d).select(F.col("lng").alias("x"), F.col("lat").alias("y"))
+    rows = _shapes(p).withColumn("degree", F.floor(F.split("key", "_")[0].cast("double")))
+    return geometry.collective_bounds(rows, ["degree"]).select("degree", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")], "n")

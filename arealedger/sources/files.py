@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,39 @@ def read_trade_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select("*", part(1).alias("kind"), part(2).alias("gu"), part(3).alias("deal_ym")).drop("_file")
 
 
+def decoded(text: Column) -> Column:
+    """text with XML's entities, numbered ones too, as the characters that they stand for."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(1)))
+    code = lambda c: F.when(c.startswith("x"), F.substring(c, 2, 6)).otherwise(F.conv(c, 10, 16))
+    char = lambda c: F.decode(F.unhex(F.lpad(code(c), 8, "0")), "UTF-32")
+    out = F.aggregate(numbers, text, lambda s, c: F.replace(s, F.concat(F.lit("&#"), c, F.lit(";")), char(c)))
+    for name, one in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(one))
+    return out
+
+
+def release_links(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, seq, title, year, month) of links that download a workbook of a stated month.
+
+    The number is that of downloadFile(..) in a link's href or onclick, year and month stand in its title, two digits of a
+    year mean this century. Links without either, of another kind of file or with a month that is none are left out.
+    """
+    tag = F.explode(F.regexp_extract_all(html, F.lit(r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0)))
+    part = lambda name, k: F.regexp_extract("tag", rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", k)
+    value = lambda name: F.trim(decoded(F.concat(part(name, 1), part(name, 2))))
+    rows = pages.select(*keys, tag.alias("tag")).select(*keys, F.concat_ws(" ", value("href"), value("onclick")).alias("_does"), value("title").alias("title"))
+    month = r"(\d{2,4})\s*년\s*(\d{1,2})\s*월"
+    rows = rows.select(*keys, F.regexp_extract("_does", r"""downloadFile\(\s*['"]?(\d+)""", 1).alias("seq"), "title", F.regexp_extract("title", month, 1).alias("_y"), F.regexp_extract("title", month, 2).try_cast("int").alias("month"))
+    year = F.when(F.length("_y") == 2, F.col("_y").try_cast("int") + 2000).otherwise(F.col("_y").try_cast("int"))
+    return rows.where((F.col("seq") != "") & (F.col("_y") != "") & F.lower("title").endswith(".xlsx") & F.col("month").between(1, 12)).select(*keys, "seq", "title", year.alias("year"), "month")
+
+
+def newest_release(links: DataFrame) -> DataFrame:
+    """The one link with the latest month, of those with the highest number."""
+    best = links.agg(F.max_by(F.struct(*links.columns), F.struct("year", "month", F.col("seq").cast("decimal(38,0)"))).alias("x"))
+    return best.where("x is not null").select("x.*")
+
+
 def read_trade_xml(spark: SparkSession, path: str, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected): items of API pages under our names, whatever the case of their tags, and pages whose result code isn't zeros.
 
@@ -48,7 +81,7 @@ def read_trade_xml(spark: SparkSession, path: str, fields: dict[str, str]) -> tu
     pages = spark.read.text(path, wholetext=True).withColumn("code", F.regexp_extract("value", r"(?i)<resultCode>\s*([^<]*?)\s*</resultCode>", 1))
     ok = F.col("code").rlike("^0+$")
     item = pages.where(ok).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?is)<item>(.*?)</item>"), F.lit(1))).alias("item"))
-    cell = lambda tag: F.nullif(F.trim(F.regexp_extract("item", rf"(?is)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
+    cell = lambda tag: F.nullif(F.trim(decoded(F.regexp_extract("item", rf"(?is)<{tag}>(.*?)</{tag}>", 1))), F.lit(""))
     return item.select(*[cell(tag).alias(name) for tag, name in fields.items()]), pages.where(~ok).select(F.substring("value", 1, 500).alias("page"), "code")
 
 
@@ -155,12 +188,20 @@ def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
     return max(numbers), spark.read.parquet(f"{root}/_active/version={max(numbers)}").first()["snapshot_id"]
 
 
+def _published(spark: SparkSession, root: str) -> set[str]:
+    """Snapshots that a complete pointer names or has named; one short row each."""
+    if _newest(spark, root) is None:
+        return set()
+    return {r["snapshot_id"] for r in spark.read.schema("snapshot_id string").parquet(f"{root}/_active").collect()}
+
+
 def publish_snapshot(frames: dict[str, DataFrame], root: str, snapshot_id: str, checks: dict[str, DataFrame], commit: bool = False, carry: tuple[str, ...] = ()) -> dict[str, int]:
     """Write frames under a new snapshot_id, compare what was written with what was to be, and only then add a pointer to it.
 
     Checks run first; without commit nothing is written. carry: tables of the present snapshot that the new one takes over.
     Pointers are never changed: each publication adds the next one, and readers take the newest that is complete, so a run that
-    fails anywhere leaves the present snapshot in place. Gives the counts of rows written.
+    fails anywhere leaves the present snapshot in place, and can be run again under its id: what no pointer has named is
+    written anew. A published id is refused. Gives the counts of rows written.
     """
     bad = {name: n for name, df in checks.items() if (n := df.limit(1).count())}
     if bad:
@@ -171,10 +212,12 @@ def publish_snapshot(frames: dict[str, DataFrame], root: str, snapshot_id: str,
     present = _newest(spark, root)
     if carry and present is None:
         raise ValueError("there is no snapshot to carry tables over from")
+    if snapshot_id in _published(spark, root):
+        raise ValueError(f"snapshot {snapshot_id} is published already")
     every = frames | {name: active(spark, root, name).drop("snapshot_id") for name in carry if name not in frames}
     for name, df in every.items():
         path = f"{root}/{name}/snapshot_id={snapshot_id}"
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
         back = spark.read.parquet(path)
         mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*x.columns))).first())
         want, got = mark(df), mark(back.select(*df.columns))
@@ -182,7 +225,7 @@ def publish_snapshot(frames: dict[str, DataFrame], root: str, snapshot_id: str,
             raise ValueError(f"{name}: {got[0]} rows were written where {want[0]} were to be, or others")
         out[name] = got[0]
     number = 1 + (present[0] if present else 0)
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.parquet(f"{root}/_active/version={number}")
+    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_active/version={number}")
     return out
 
 
