@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def is_citywide(area: Column, kind: Column, remark: Column, whole: str = "市전체", barred: str = "외국인", needed: str = "아파트") -> Column:
+# The words that a designation of the whole city, one for some buyers only, and one of flats have.
+WHOLE, BARRED, NEEDED = "市전체", "외국인", "아파트"
+
+
+def is_citywide(area: Column, kind: Column, remark: Column, whole: str = WHOLE, barred: str = BARRED, needed: str = NEEDED) -> Column:
     """Whether a designation covers all flats of the city: by its area's words, not for some buyers only. Blanks don't count."""
     a, k, r = (F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "") for c in (area, kind, remark))
     return F.contains(a, F.lit(whole)) & ~F.contains(k, F.lit(barred)) & (F.contains(k, F.lit(needed)) | F.contains(r, F.lit(needed)))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..sources.store import stored
 
 STARTS, ROUNDS = 10, 10
+#: Rounds that one plan holds before centres are written.
+KEPT = 4
 
 
 def standardized(matrix: DataFrame, features: Sequence[str], keys: Sequence[str], item: str = "dong", least: int = 50) -> DataFrame:
@@ -50,11 +52,12 @@ def keyed_kmeans(points: DataFrame, ks: Sequence[int], width: int, keys: Sequenc
         rows = points.join(centres, list(keys)).withColumn("d", F.transform("centres", lambda c: _squares(F.col("x"), c)))
         return rows.withColumn("cost", F.array_min("d")).withColumn("cluster", (F.array_position("d", F.array_min("d")) - 1).cast("int"))
 
-    for _ in range(rounds):
-        means = assigned().groupBy(*own, "cluster").agg(F.array(*[F.sum(F.col("w") * F.col("x")[i]) / F.sum("w") for i in range(width)]).alias("mean"))
-        moved = means.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))  # k small rows
-        moved = moved.join(centres, own).select(*own, F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("means", i), c)).alias("centres"))
-        centres = stored(moved, "centres")
+    for r in range(rounds):
+        means = assigned().groupBy(*own, "cluster").agg(F.array(*[F.sum(F.col("w") * F.col("x")[i]) / F.sum("w") for i in range(width)]).alias("mean"), F.first("centres").alias("centres"))
+        moved = means.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"), F.first("centres").alias("centres"))  # k small rows
+        centres = moved.select(*own, F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("means", i), c)).alias("centres"))
+        if r % KEPT == KEPT - 1:
+            centres = stored(centres, "centres")
     rows = stored(assigned().select(*own, item, "cluster", (F.col("w") * F.col("cost")).alias("cost")), "assigned")
     best = rows.groupBy(*own).agg(F.sum("cost").alias("cost")).groupBy(*keys, "k").agg(F.min_by("start", F.struct(F.round("cost", 6), "start")).alias("start"))
     return rows.join(best, own).select(*keys, "k", item, "cluster")

@@ -117,13 +117,14 @@ def boosted_relative(train: DataFrame, rows: DataFrame, xs: Sequence[str], y: st
     return got.withColumn("centered", F.col("_p") - F.avg("_p").over(Window.partitionBy("q"))).drop("_p")
 
 
-def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_origins: int = 1, least_rows: int = 1, loss: str = "squared", trees: int = 10, depth: int = 4, seed: int = 42, abreast: int = 4) -> DataFrame:
+def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_origins: int = 1, least_rows: int = 1, loss: str = "squared", trees: int = 8, depth: int = 3, seed: int = 42, abreast: int = 8) -> DataFrame:
     """(h, q, dong, pred, n_train, label_vintage) of panel (h, q, dong, xs, y): for every horizon h and origin q gradient-boosted
     trees fitted on the rows whose target was known then, s + h <= q.
 
     Every fit reads the one stored panel, `abreast` of them at a time. An origin without `least_origins` known origins or
     `least_rows` known rows has no forecast. Missing features count as 0, rows without y teach nothing but get forecasts.
-    label_vintage is the last quarter that a label of the fit needed.
+    label_vintage is the last quarter that a label of the fit needed. Fits see all their rows, so they don't depend on how a
+    table is laid out.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -132,7 +133,7 @@ def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_ori
     made = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(panel.select("h", "q", "dong", F.col(y).cast("double").alias("_y"), *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in xs]))
     rows = stored(made.select("h", "q", "dong", "_y", "_x"), "boosted-panel")
     sizes = rows.groupBy("h", "q").agg(F.count("_y").alias("n")).collect()  # one row for each horizon and origin
-    learner = GBTRegressor(featuresCol="_x", labelCol="_y", lossType=loss, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, predictionCol="pred")
+    learner = GBTRegressor(featuresCol="_x", labelCol="_y", lossType=loss, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, predictionCol="pred")
 
     def fit(h: int, q: int) -> DataFrame | None:
         known = [r for r in sizes if r["h"] == h and r["q"] + h <= q and r["n"]]

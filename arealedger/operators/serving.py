@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quarters import quarter_label, ym_minus_months
 from ..functions.scalars import half_up, log_se_to_pct, log_to_pct
+from .catalog import is_citywide
 from .ledger import recent_sale_per_complex
 from .panel import region_tags
 from .support import PEAK, SAME
@@ -30,10 +31,14 @@ def period(ledger: DataFrame, to: str) -> DataFrame:
     return ends.select(F.coalesce(F.concat(format_ym(F.col("a")), F.lit(" ~ "), format_ym(F.col("z"))), F.lit("-")).alias(to))
 
 
-def serve_meta(index: DataFrame, sale: DataFrame, rent: DataFrame) -> DataFrame:
-    """One row: the newest quarter of the index, the ledgers' periods and the thresholds."""
+def serve_meta(index: DataFrame, sale: DataFrame, rent: DataFrame, permits: DataFrame | None = None) -> DataFrame:
+    """One row: the newest quarter of the index, the ledgers' periods and the thresholds; with permits (area, kind, remark)
+    also permit_zone, whether one of them covers all flats of the city."""
     as_of = index.agg(F.coalesce(quarter_label(F.max("q")), F.lit("-")).alias("as_of_quarter"))
-    return as_of.crossJoin(period(sale, "sale_period")).crossJoin(period(rent, "rent_period")).select("*", *[F.lit(v).alias(k) for k, v in THRESHOLDS.items()])
+    out = as_of.crossJoin(period(sale, "sale_period")).crossJoin(period(rent, "rent_period")).select("*", *[F.lit(v).alias(k) for k, v in THRESHOLDS.items()])
+    if permits is None:
+        return out
+    return out.crossJoin(permits.agg(F.coalesce(F.bool_or(is_citywide(F.col("area"), F.col("kind"), F.col("remark"))), F.lit(False)).alias("permit_zone")))
 
 
 def zone_count(*stages: str) -> Column:

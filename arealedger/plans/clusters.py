@@ -99,6 +99,15 @@ def aligned_clusters(spark, d):
     return cluster.aligned(chosen_membership(spark, d), by=()).select("as_of", "dong", "cluster", "label")
 
 
+@query(f"""{CHOSEN_SQL} SELECT cluster, count(*) AS n, round(exp(median(log_ppm2)), 4) AS price, {", ".join(f"round(median({c}), 6) AS {c}" for c in ("jeonse_ratio", "log_stock", "dist_cbd"))} FROM kk JOIN km USING (as_of, dong), span WHERE as_of = l GROUP BY 1""")
+def cluster_profiles(spark, d):
+    """Size, price and usual features of each cluster in the last complete quarter."""
+    last = span(spark, d)[1]
+    rows = structure_panel(spark, d).where(F.col("as_of") == last)
+    out = hedonic.cluster_profile(rows, chosen_membership(spark, d).where(F.col("as_of") == last), "log_ppm2", ["jeonse_ratio", "log_stock", "dist_cbd"])
+    return _rounded(out.withColumn("price", F.round("price", 4)), ["jeonse_ratio", "log_stock", "dist_cbd"])
+
+
 DELTA_PATH_SQL = f"""{SCALES_SQL}{WEIGHT_SQL}{VINTAGE_SQL}"""
 
 

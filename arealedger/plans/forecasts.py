@@ -80,6 +80,16 @@ def shrinkage_choice(spark, d):
     return nowcast.select_shrinkage(valid(spark, d))
 
 
+@query(f"""{SCALES_SQL}, la AS (SELECT unnest([2.0, 5.0, 10.0])::DOUBLE AS lam), ls AS (SELECT lam, dong, q, n_sales, dq_effect * (n_sales + 5) / n_sales * n_sales / (n_sales + lam) AS d, log_index - dq_effect + dq_effect * (n_sales + 5) / n_sales * n_sales / (n_sales + lam) AS x, sqrt(sigma * sigma * n_sales + tau * tau * lam * lam) / (n_sales + lam) AS se FROM idx, la, sc),
+lc AS (SELECT *, x - lag(x) OVER (PARTITION BY lam, dong ORDER BY q) AS change FROM ls) SELECT lam, round(stddev_samp(change), 6) AS change_sd, round(stddev_samp(CASE WHEN n_sales <= 5 THEN d END), 6) AS thin_sd, round(median(se), 6) AS se_median FROM lc GROUP BY 1""")
+def shrinkage_stability(spark, d):
+    """Spread of quarterly changes, of thin dongs' deviations, and the usual error under three shrinkages."""
+    index, s = scales(spark, d)
+    sigma, tau = s.select("sigma", "tau").first()  # one row
+    out = nowcast.stability(index, sigma or 0.0, tau or 0.0, [2.0, 5.0, 10.0])
+    return out.select("lam", *[F.round(c, 6).alias(c) for c in ("change_sd", "thin_sd", "se_median")])
+
+
 @query(f"{DELTA_SQL} SELECT q, n, round(mae_c0, 6) AS mae_c0, round(mae_c1, 6) AS mae_c1, round(mae_c1f, 6) AS mae_c1f, round(mae_c2, 6) AS mae_c2 FROM er")
 def delta_ladder(spark, d):
     out = forecast.ladder_errors(_ladder(spark, d), RUNGS, 5)
@@ -105,7 +115,42 @@ def ladder_score(spark, d):
     return out.select("rung", F.round("mae", 6).alias("mae"), F.round("rho", 5).alias("rho"), F.round("positive", 6).alias("positive"))
 
 
-@query()
+def _ridge_sql(rows, x0, x1=None):
+    """The closed form of a standardized ridge of one or two features from running sums: prediction at (x0, x1)."""
+    m = lambda i: f"(s{i} / {rows})"
+    sd = lambda i: f"(CASE WHEN p{i}{i} / {rows} - {m(i)} * {m(i)} > 1e-15 THEN sqrt(greatest(p{i}{i} / {rows} - {m(i)} * {m(i)}, 1e-15)) ELSE 1 END)"
+    zz = lambda i, j: f"((p{i}{j} - {m(i)} * s{j} - s{i} * {m(j)} + {rows} * {m(i)} * {m(j)}) / ({sd(i)} * {sd(j)}))"
+    zy = lambda i: f"((c{i} - sy / {rows} * s{i}) / {sd(i)})"
+    z = lambda i, x: f"(({x} - {m(i)}) / {sd(i)})"
+    if x1 is None:
+        return f"(sy / {rows} + {z(0, x0)} * {zy(0)} / ({zz(0, 0)} + 1))"
+    a, b, d = f"({zz(0, 0)} + 1)", zz(0, 1), f"({zz(1, 1)} + 1)"
+    det = f"({a} * {d} - {b} * {b})"
+    return f"(sy / {rows} + {z(0, x0)} * ({d} * {zy(0)} - {b} * {zy(1)}) / {det} + {z(1, x1)} * ({a} * {zy(1)} - {b} * {zy(0)}) / {det})"
+
+
+_SUMS = ("sy", "s0", "p00", "c0", "s1", "p11", "p01", "c1")
+TWO_STAGE_SQL = f"""{INDEX_SQL}, u0 AS (SELECT i.dong, i.q, i.n_sales, a.log_index - i.log_index AS y, i.log_index - b.log_index AS b1 FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4),
+rl AS MATERIALIZED (SELECT q, dong, y, b2, b1 - b2 AS x, ln(n_sales) AS x2, y - avg(y) OVER (PARTITION BY q) AS r FROM (SELECT *, avg(b1) OVER (PARTITION BY q) AS b2 FROM u0)),
+mk AS (SELECT q, any_value(b2) AS base, avg(y) AS target, avg(x2) AS depth FROM rl GROUP BY 1), mi AS (SELECT *, target - base AS miss FROM mk),
+mp AS (SELECT q, base, depth, miss AS sy, base AS s0, base * base AS p00, base * miss AS c0, depth AS s1, depth * depth AS p11, base * depth AS p01, depth * miss AS c1 FROM mi),
+mw AS (SELECT q, base, depth, count(*) OVER w AS k, {", ".join(f"sum({c}) OVER w AS {c}" for c in _SUMS)} FROM mp WINDOW w AS (ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING)),
+mh AS (SELECT q, 'M0' AS m, base AS m_hat FROM mw UNION ALL SELECT q, 'M1', base + CASE WHEN k >= 4 THEN {_ridge_sql("k", "base")} ELSE 0 END FROM mw UNION ALL SELECT q, 'M2', base + CASE WHEN k >= 4 THEN {_ridge_sql("k", "base", "depth")} ELSE 0 END FROM mw),
+rp AS (SELECT q, count(*) AS n, sum(r) AS sy, sum(x) AS s0, sum(x * x) AS p00, sum(x * r) AS c0, sum(x2) AS s1, sum(x2 * x2) AS p11, sum(x * x2) AS p01, sum(x2 * r) AS c1 FROM rl GROUP BY 1),
+rw AS (SELECT q AS o, count(*) OVER w AS k, sum(n) OVER w AS n, {", ".join(f"sum({c}) OVER w AS {c}" for c in _SUMS)} FROM rp WINDOW w AS (ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING)),
+rr AS (SELECT q, dong, y, r, CASE WHEN k >= 4 AND n >= 100 THEN {_ridge_sql("n", "x", "x2")} ELSE 0 END AS raw FROM rl JOIN rw ON o = q), rc AS MATERIALIZED (SELECT *, raw - avg(raw) OVER (PARTITION BY q) AS centered FROM rr),
+ge AS (SELECT gamma, q, avg(abs(r - gamma * centered)) AS mae, count(*) AS n FROM rc, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) g(gamma) GROUP BY 1, 2),
+gw AS (SELECT gamma, q, sum(mae) OVER w AS mae, count(*) OVER w AS k, sum(n) OVER w AS n FROM ge WINDOW w AS (PARTITION BY gamma ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING)),
+gc AS (SELECT q, CASE WHEN k >= 4 AND n >= 100 THEN gamma ELSE 0 END::DOUBLE AS gamma FROM gw QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(mae / k, 12), gamma) = 1),
+pv_ AS (SELECT q, dong, y, m || '_R0' AS variant, m_hat, 0.0::DOUBLE AS rel FROM rc JOIN mh USING (q) UNION ALL SELECT q, dong, y, m || '_R1', m_hat, gamma * centered FROM rc JOIN mh USING (q) JOIN gc USING (q)),
+po_ AS (SELECT *, avg(y) OVER (PARTITION BY variant, q) AS mean FROM pv_),
+pe_ AS (SELECT variant, q, count(*) AS n, avg(abs(m_hat + rel - y)) AS mae, sum(abs(m_hat + rel - y)) AS total, abs(any_value(m_hat) - avg(y)) AS market, avg(abs(rel - (y - mean))) AS relative, covar_pop(y, rel) / nullif(stddev_pop(y) * stddev_pop(rel), 0) AS corr, (sign(any_value(m_hat)) = sign(avg(y)))::INT AS hit FROM po_ GROUP BY 1, 2),
+sg AS (SELECT 'early' AS segment, 0 AS f1, l - 12 AS l1 FROM span UNION ALL SELECT 'recent', l - 11, l FROM span),
+wd AS (SELECT segment, variant, count(*) AS n_origins, sum(n)::BIGINT AS n_rows, avg(mae) AS mae_origin, sum(total) / sum(n) AS mae_row, avg(market) AS market_mae, avg(relative) AS relative_mae, avg(corr) AS relative_corr, avg(hit) AS market_sign_hit FROM pe_ JOIN sg ON q BETWEEN f1 AND l1 GROUP BY 1, 2)
+SELECT segment, variant, n_origins, n_rows, unnest(['mae_origin', 'mae_row', 'market_mae', 'relative_mae', 'relative_corr', 'market_sign_hit']) AS metric, round(unnest([mae_origin, mae_row, market_mae, relative_mae, relative_corr, market_sign_hit]), 6) AS value FROM wd"""
+
+
+@query(TWO_STAGE_SQL)
 def two_stage_metrics(spark, d):
     """Market and relative parts, their variants and six metrics over two segments."""
     last = span(spark, d)[1]
@@ -118,7 +163,7 @@ def two_stage_metrics(spark, d):
     r = r.join(g, "q").withColumn("gamma", F.when(F.col("model") == "R0", 0.0).otherwise(F.col("gamma")))
     preds = forecast.assemble_variants(rel.select("q", "dong", "y"), m, r)
     segments = spark.createDataFrame([("early", 0, last - 12), ("recent", last - 11, last)], "segment string, first int, last int")
-    return forecast.metric_cube(preds, segments)
+    return forecast.metric_cube(preds, segments).withColumn("value", F.round("value", 6))
 
 
 @query(f"""{INDEX_SQL}, t AS (SELECT i.q, a.log_index - i.log_index AS y, i.log_index - b.log_index AS b1 FROM idx i JOIN idx a ON a.dong = i.dong AND a.q = i.q + 4 JOIN idx b ON b.dong = i.dong AND b.q = i.q - 4),
@@ -202,3 +247,31 @@ def catalog_filter(spark, d):
     c = valid(spark, d).where(F.col("q") > last - 4).groupBy("dong", F.col("sgg_cd").alias("gu_name"), F.col("umd_nm").alias("umd_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(F.col("price") / F.col("area")), 4).alias("price"))
     c = c.withColumn("flags", scalars.sample_flags(F.col("n"), F.lit(0.0)))
     return catalog.filter_dongs(c, "S1", flagged=False, band=(1000, 2000)).select("dong", "price")
+
+
+@query(f"""{BASE_ERRORS_SQL}, e0 AS (SELECT q, avg(abs(y)) AS b0, avg(abs(y - b1)) AS b1, avg(abs(y - m)) AS b2 FROM (SELECT *, avg(b1) OVER (PARTITION BY q) AS m FROM t_) GROUP BY 1), mv AS (SELECT avg(b0) AS b0, avg(b1) AS b1, avg(b2) AS b2 FROM e0),
+mc AS (SELECT unnest(['b0', 'b1', 'b2']) AS candidate, unnest([b0, b1, b2]) AS value, unnest([0, 1, 2]) AS o, b0 AS base FROM mv WHERE b0 IS NOT NULL), mg AS (SELECT *, (base - value) / base AS gain FROM mc)
+SELECT candidate, round(value, 6) AS value, round(gain, 6) AS gain, row_number() OVER (ORDER BY CASE WHEN candidate = 'b0' THEN 0 WHEN gain >= 0.02 THEN gain ELSE -1 END DESC, o) = 1 AS selected FROM mg""")
+def model_choice(spark, d):
+    """Which baseline betters no change by two per cent, if any."""
+    e = panel.mae_by_origin(panel.baselines(panel.with_targets(stored_index(spark, d), 4)))
+    wide = e.agg(*[F.avg(f"mae_{c}").alias(c) for c in ("b0", "b1", "b2")]).where("b0 is not null")
+    metrics = wide.unpivot([], ["b0", "b1", "b2"], "variant", "value").select(F.lit("all").alias("segment"), "variant", F.lit("mae_origin").alias("metric"), "value")
+    out = forecast.select_models(metrics, "all", "b0", ["b1", "b2"], "mae_origin")
+    return out.select("candidate", F.round("value", 6).alias("value"), F.round("gain", 6).alias("gain"), "selected")
+
+
+@query(f"""{BASE_ERRORS_SQL}, hf AS (SELECT quantile_cont(b, 0.8) AS half FROM eb), eg AS (SELECT dong, coalesce(count_if(q BETWEEN l - 3 AND l) >= 20, false) AS eligible FROM valid, span GROUP BY dong, l),
+mo AS (SELECT avg(a.log_index - b.log_index) AS y FROM idx a JOIN idx b ON b.dong = a.dong AND b.q = a.q - 4 JOIN eg ON eg.dong = a.dong AND eligible, span WHERE a.q = l)
+SELECT dong, CASE WHEN eligible THEN 'PREDICTED' ELSE 'INSUFFICIENT_SALES' END AS status, CASE WHEN eligible THEN round(y, 6) END AS y_hat, CASE WHEN eligible THEN round((exp(y) - 1) * 100, 4) END AS est, CASE WHEN eligible THEN round((exp(y - half) - 1) * 100, 4) END AS lower, CASE WHEN eligible THEN round((exp(y + half) - 1) * 100, 4) END AS upper FROM eg, mo, hf""")
+def latest_scores(spark, d):
+    """Every dong's change over the coming year by the city's momentum, with the range that four in five past errors kept to."""
+    first, last = span(spark, d)
+    index = stored_index(spark, d)
+    rows = panel.baselines(panel.with_targets(index, 4))
+    half = rows.agg(F.percentile(F.abs(F.col("y") - F.col("b2")), F.lit(0.8)).alias("half"))
+    dongs = ledger.eligible(valid(spark, d), first, last).where(F.col("q") == last).select("dong", "eligible")
+    now = panel.with_targets(index, 4).where((F.col("q") == last) & F.col("b1").isNotNull()).join(dongs.where("eligible"), "dong").agg(F.avg("b1").alias("y_hat"))
+    preds = dongs.select("dong").crossJoin(F.broadcast(now))  # one row
+    out = forecast.score_latest(dongs.crossJoin(F.broadcast(half)), preds, F.col("half"))
+    return out.select("dong", "status", F.round("y_hat", 6).alias("y_hat"), *[F.round(c, 4).alias(c) for c in ("est", "lower", "upper")])

@@ -134,6 +134,10 @@ def with_households(df: DataFrame, column: str = "households") -> DataFrame:
     return df.where(F.col(column) > 0)
 
 
+# Columns of a zone's stage dates.
+STAGE_COLUMNS = (11, 13, 14, 16, 18, 22)
+
+
 def read_zones(spark: SparkSession, path: str, gus: list[str]) -> DataFrame:
     """Redevelopment zones by column position: gu, lot, households and the quarters of their stage dates; rows whose first
     four cells stand and whose gu is known."""
@@ -142,7 +146,7 @@ def read_zones(spark: SparkSession, path: str, gus: list[str]) -> DataFrame:
     full = F.lit(True)
     for i in range(4):
         full = full & (F.trim(F.coalesce(f"c{i}", F.lit(""))) != "")
-    stages = [i for i in (11, 13, 14, 16, 18, 22) if i < len(raw.columns)]
+    stages = [i for i in STAGE_COLUMNS if i < len(raw.columns)]
     quarter = lambda i: quarter_ord(F.try_to_date(F.regexp_replace(F.trim(f"c{i}"), "[./]", "-"), "yyyy-MM-dd"))
     kept = raw.where(full & F.trim("c2").isin(gus))
     return kept.select(F.trim("c2").alias("gu"), F.trim("c4").alias("lot") if len(raw.columns) > 4 else F.lit(None).alias("lot"), F.col("c10").try_cast("int").alias("households") if len(raw.columns) > 10 else F.lit(None).alias("households"), *[quarter(i).alias(f"s{k + 1}") for k, i in enumerate(stages)])

@@ -52,30 +52,33 @@ def manifest(spark, target: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("as_of", "kind", "ym").agg(F.sum("n").alias("n"))
 
 
-def ingest_days(stream: DataFrame, keys: list[str], target: str, counts: str, checkpoint: str):
-    """Append rows whose key `target` doesn't hold yet, and recount every day (as_of) that a batch has rows of.
+def put_days(batch: DataFrame, number: int, keys: list[str], target: str, counts: str) -> None:
+    """Write the rows of batch `number` whose key earlier batches don't hold, and recount each day (as_of) that it has rows of.
 
-    Rows lie by day and batch, so a batch that runs again replaces its own part and looks up only its days. A day's counts
-    (as_of, kind, ym, n) are taken from all of its rows and replace the day's partition of `counts` whole.
+    Rows lie by day and batch, so a batch that runs again, after a failure anywhere, replaces its own part; it looks up its
+    days only. A day's counts (as_of, kind, ym, n) are taken from all of its rows and replace the day's partition whole.
     """
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        days = [r["as_of"] for r in batch.select("as_of").distinct().collect()]  # a batch has a few days
-        try:
-            known = spark.read.option("recursiveFileLookup", False).schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch bigint").parquet(target)
-            known = known.where(F.col("as_of").isin(days) & (F.col("batch") < number)).select(*keys).distinct()
-            fresh = batch.join(known, keys, "left_anti")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            fresh = batch
-        part = lambda df, path, *by: df.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-        part(fresh.withColumn("batch", F.lit(number)), target, "as_of", "batch")
-        whole = spark.read.parquet(target).withColumn("as_of", F.col("as_of").cast(batch.schema["as_of"].dataType)).where(F.col("as_of").isin(days) & (F.col("batch") <= number))
-        part(whole.groupBy("as_of", "kind", "ym").agg(F.count(F.lit(1)).alias("n")), counts, "as_of")
-        batch.unpersist()
+    spark, batch = batch.sparkSession, batch.persist()
+    days = [r["as_of"] for r in batch.select("as_of").distinct().collect()]  # a batch has a few days
+    fresh = batch
+    try:
+        held = spark.read.parquet(target)
+        held = held.withColumn("as_of", F.col("as_of").cast(batch.schema["as_of"].dataType)).where(F.col("as_of").isin(days))
+        fresh = batch.join(held.where(F.col("batch") < number).select(*keys).distinct(), keys, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    part = lambda df, path, *by: df.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    part(fresh.withColumn("batch", F.lit(number)), target, "as_of", "batch")
+    whole = spark.read.parquet(target).withColumn("as_of", F.col("as_of").cast(batch.schema["as_of"].dataType))
+    whole = whole.where(F.col("as_of").isin(days) & (F.col("batch") <= number))
+    part(whole.groupBy("as_of", "kind", "ym").agg(F.count(F.lit(1)).alias("n")), counts, "as_of")
+    batch.unpersist()
+
 
+def ingest_days(stream: DataFrame, keys: list[str], target: str, counts: str, checkpoint: str):
+    """Land a stream by day and recount its days, batch by batch, as `put_days` does. Rows of one key that come together all go in."""
+    put = lambda batch, number: put_days(batch, number, keys, target, counts)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arealedger.operators import cluster, forecast, geometry, ledger, panel, quality, support
+from arealedger.operators import cluster, forecast, geometry, ledger, panel, quality, serving, support
 from arealedger.sources import files
 from arealedger.streaming import vintages
 
@@ -141,9 +141,9 @@ def test_days_are_recounted_whole(spark, tmp_path):
     def land(rows):
         spark.createDataFrame(rows, "as_of string, kind string, ym string, id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
-    def run(state="state"):
+    def run():
         stream = spark.readStream.schema("as_of string, kind string, ym string, id int").parquet(str(tmp_path / "in"))
-        vintages.ingest_days(stream, ["as_of", "kind", "ym", "id"], str(tmp_path / "rows"), str(tmp_path / "counts"), str(tmp_path / state)).awaitTermination()
+        vintages.ingest_days(stream, ["as_of", "kind", "ym", "id"], str(tmp_path / "rows"), str(tmp_path / "counts"), str(tmp_path / "state")).awaitTermination()
         return {(r["as_of"], r["kind"], r["ym"]): r["n"] for r in spark.read.schema("kind string, ym string, n bigint, as_of string").parquet(str(tmp_path / "counts")).collect()}
 
     land([("2024-01-01", "sale", "202401", i) for i in range(5)])
@@ -151,7 +151,11 @@ def test_days_are_recounted_whole(spark, tmp_path):
     land([("2024-01-01", "sale", "202401", 3), ("2024-01-01", "sale", "202401", 9), ("2024-01-01", "rent", "202401", 1), ("2024-01-02", "sale", "202401", 1)])
     want = {("2024-01-01", "sale", "202401"): 6, ("2024-01-01", "rent", "202401"): 1, ("2024-01-02", "sale", "202401"): 1}
     assert run() == want
-    assert run("state of a rerun from the start") == want  # batch 0 comes again with all rows and replaces its part
+    again = spark.createDataFrame([("2024-01-01", "sale", "202401", 3), ("2024-01-01", "rent", "202401", 2), ("2024-01-03", "sale", "202401", 1)], "as_of string, kind string, ym string, id int")
+    for _ in range(2):  # a batch that comes again replaces itself
+        vintages.put_days(again, 2, ["as_of", "kind", "ym", "id"], str(tmp_path / "rows"), str(tmp_path / "counts"))
+    assert run() == want | {("2024-01-01", "rent", "202401"): 2, ("2024-01-03", "sale", "202401"): 1}
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 10
 
 
 def test_points_in_shapes_with_holes_and_parts(spark):
@@ -205,6 +209,13 @@ def test_recount_finds_a_planted_error(spark):
         assert [r["dong"] for r in support.recount(wrong, again).collect()] == ["a"]
 
 
+def test_meta_says_whether_a_permit_covers_the_city(spark):
+    sale = spark.createDataFrame([("2000-01-05",)], "deal_date string").select(F.to_date("deal_date").alias("deal_date"))
+    index = spark.createDataFrame([(8000,)], "q int")
+    flag = lambda rows: serving.serve_meta(index, sale, sale, spark.createDataFrame(rows, "area string, kind string, remark string")).first()["permit_zone"]
+    assert flag([("市 전체", "아파트", None)]) and not flag([("市 전체", "외국인 아파트", None), ("강남구", "아파트", None)]) and flag([("市전체", None, "아파트")]) and not flag([])
+
+
 def test_coverage_counts_complexes_that_nothing_maps(spark):
     own = spark.createDataFrame([("x", "1", "00001", 10), ("y", "1", "00001", 5), ("z", "1", "00002", 25)], "apt_seq string, sgg_cd string, bjd_code string, households int")
     mapped = ledger.map_complexes(own, spark.createDataFrame([("x", "1_A")], "apt_seq string, dong string"))
@@ -242,7 +253,7 @@ def test_schema_report_names_each_difference(spark):
     assert quality.schema_report({"b": b}, {"b": declared["b"]}).count() == 0
 
 
-@pytest.mark.parametrize("name", ["conformal_intervals", "interval_coverage", "rolling_baselines", "gamma_choice", "empirical_intervals", "mae_bootstrap", "error_gap_bootstrap", "event_study", "hedonic_index", "change_block"])
+@pytest.mark.parametrize("name", ["conformal_intervals", "interval_coverage", "rolling_baselines", "gamma_choice", "empirical_intervals", "mae_bootstrap", "error_gap_bootstrap", "event_study", "hedonic_index"])
 def test_index_queries_read_the_ledger_seldom(spark, name):
     from arealedger.plans import forecasts, queries, serving  # noqa: F401
 
