@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import store
 
 #: Rows of a narrow table that is broadcast; a larger one is joined by a shuffle.
-FEW = 1_000_000
+FEW = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
