@@ -1,8 +1,42 @@
 """Steps that once grew faster than their input: what they give, and that they don't."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from arealedger.operators import hedonic
+from arealedger.operators import hedonic, neighbours
+
+
+@pytest.mark.parametrize("box, digits, gaps", [(512, 12, False), (8, 12, False), (8, None, True)])
+def test_nearest_equals_all_pairs(spark, monkeypatch, box, digits, gaps):
+    """Many boxes, equal rows beyond one, groups smaller than k and gaps; against every pair."""
+    monkeypatch.setattr(neighbours, "BOX", box)
+    monkeypatch.setattr(neighbours, "ABREAST", 2)
+    rng = random.Random(box)
+    rows = [(f"d{i}", i % 3, [round(rng.gauss(0, 1), 2) for _ in range(3)]) for i in range(150)]
+    rows += [(f"e{i}", 1, [0.5, 0.5, 0.5]) for i in range(40)] + [(f"f{i}", 7, [float(i), 0.0, 1.0]) for i in range(3)]
+    if gaps:
+        rows = [(n, g, [None if rng.random() < 0.1 else v for v in x]) for n, g, x in rows]
+    got = neighbours.nearest(spark.createDataFrame(rows, "dong string, g int, z array<double>"), "dong", "g", "z", 4, digits)
+    found = sorted((r["dong"], r["rank"], r["peer"], r["distance"]) for r in got.collect())
+    want, z = [], np.array([[np.nan if v is None else v for v in x] for _, _, x in rows])
+    d = neighbours.distances(z, z, digits)
+    for i, (n, g, _) in enumerate(rows):
+        near = sorted((d[i, j], m) for j, (m, h, _) in enumerate(rows) if g == h and i != j)[:4]
+        want += [(n, r + 1, m, x) for r, (x, m) in enumerate(near)]
+    assert found == sorted(want)
+
+
+def test_nearest_calls_at_few_boxes(spark, monkeypatch):
+    """On a line a row meets its own box and its neighbours', not all of them."""
+    monkeypatch.setattr(neighbours, "BOX", 16)
+    kept, store = {}, neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, label: kept.setdefault(label, store(df, label)))
+    rows = spark.range(2000).select(F.concat(F.lit("d"), "id").alias("dong"), F.lit(1).alias("g"), F.array(F.col("id").cast("double")).alias("z"))
+    assert neighbours.nearest(rows, "dong", "g", "z", 5).count() == 10_000
+    assert kept["calls"].count() < 3 * 2000
 
 
 def test_draws_stay_off_the_driver(spark):
