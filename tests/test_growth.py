@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arealedger.operators import hedonic, neighbours
+from arealedger.operators import cluster, hedonic, neighbours
 
 
 @pytest.mark.parametrize("box, digits, gaps", [(512, 12, False), (8, 12, False), (8, None, True)])
@@ -39,6 +39,21 @@ def test_nearest_calls_at_few_boxes(spark, monkeypatch):
     assert kept["calls"].count() < 3 * 2000
 
 
+def test_a_round_of_kmeans_shuffles_sums_only(spark):
+    """What goes between tasks is a row for each task and key, whatever the number of points, starts and clusters."""
+    points = spark.range(4000).select((F.col("id") % 2).cast("int").alias("as_of"), F.col("id").alias("dong"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("x"), F.lit(1.0).alias("w"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = cluster.keyed_kmeans(points, (4, 5), 2, starts=5, rounds=3).collect()
+    assert shuffled() - before < 4000
+    assert len({(r["k"], r["dong"]) for r in got}) == len(got) == 8000
+
+
 def test_draws_stay_off_the_driver(spark):
     """Draws times units rows are never the side that is broadcast."""
     errors = spark.range(300).select(F.concat(F.lit("d"), "id").alias("dong"), (F.col("id") % 5).cast("double").alias("a"), F.lit(1.0).alias("b"))
