@@ -59,3 +59,15 @@ def test_draws_stay_off_the_driver(spark):
     errors = spark.range(300).select(F.concat(F.lit("d"), "id").alias("dong"), (F.col("id") % 5).cast("double").alias("a"), F.lit(1.0).alias("b"))
     plan = hedonic.block_bootstrap(errors, "dong", "a", "b", 20, 1)._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "Join [slot" in line] and all("BroadcastHashJoin" not in line for line in plan.splitlines() if "Join [slot" in line)
+
+
+def test_structure_clusters_run_all_starts_together(spark):
+    """As many jobs for one start as for ten."""
+    rows = spark.range(60).select(F.concat(F.lit("d"), "id").alias("dong"), (F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    jobs = []
+    for tries in (1, 10):
+        spark.sparkContext.setJobGroup(f"tries-{tries}", "")
+        got = hedonic.structure_clusters(rows, ["a", "b"], (4, 5), tries)
+        assert got.groupBy("k").count().where("count = 60").count() == 2
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"tries-{tries}")))
+    assert jobs[0] == jobs[1] < 60
