@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arealedger.operators import cluster, hedonic, neighbours, vintage
+from arealedger.operators import cluster, hedonic, ledger, neighbours, vintage
 
 
 @pytest.mark.parametrize("box, digits, gaps", [(512, 12, False), (8, 12, False), (8, None, True)])
@@ -83,3 +83,14 @@ def test_structure_clusters_run_all_starts_together(spark):
         assert got.groupBy("k").count().where("count = 60").count() == 2
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"tries-{tries}")))
     assert jobs[0] == jobs[1] < 60
+
+
+def test_windows_repeat_rows_after_they_are_dealt(spark):
+    """Medians of trailing windows are whole where their rows are repeated: nothing partial goes between tasks."""
+    sale = spark.createDataFrame([("d", 8000, 9.0, 3.0, False, "2000-02-01", 1990)], "dong string, q int, price double, area double, is_cancelled boolean, deal_date string, build_year int").withColumn("deal_date", F.to_date("deal_date"))
+    rent = spark.createDataFrame([("d", 8000, 9.0, 3.0, True)], "dong string, q int, deposit double, area double, is_jeonse boolean")
+    for out in (ledger.sale_features(sale, sale), ledger.rent_features(rent)):
+        assert out.count() == 4
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        above = [a for a, b in zip(lines, lines[1:], strict=False) if "partial_percentile" in b or "partial_median" in b]
+        assert above and not any("Exchange" in a for a in above)
