@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import index_se, shrink, unshrink
+from ..sources.store import stored
 from .forecast import known_before
 from .hedonic import hedonic_index
 
@@ -28,23 +29,30 @@ def provisional_index(rows: DataFrame, days: Sequence[int] = VISIBLE_DAYS, lam:
     """rows (sgg_cd, dong, q, day, residual): (q, visible, dong, n, log_index, slope) as seen by each day.
 
     The gu's mean plus the dong's deviation, sum / (n + lam). slope is the residual's per day over all that is seen, 0 under
-    30 sales. Sales are summed by day first, so what is repeated for each visible day is sums.
+    30 sales. Sales are dealt to tasks by dong and summed by day first, so what is repeated for each visible day is sums that
+    stay where they are; the sums by dong are written once for the gu's and the city's.
     """
-    by_day = rows.groupBy("sgg_cd", "dong", "q", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("residual").alias("s"))
+    dealt = rows.select("sgg_cd", "dong", "q", "day", "residual").repartition("dong")
+    by_day = dealt.groupBy("sgg_cd", "dong", "q", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("residual").alias("s"))
     seen = by_day.withColumn("visible", F.explode(F.array(*[F.lit(d) for d in days]))).where("day <= visible")
-    dong = seen.groupBy("sgg_cd", "dong", "q", "visible").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    n, day = F.col("n"), F.col("day")
+    dong = seen.groupBy("sgg_cd", "dong", "q", "visible").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(n * day).alias("x"), F.sum(n * day * day).alias("xx"), F.sum(F.col("s") * day).alias("xy"))
+    dong = stored(dong, "provisional")
     gu = dong.groupBy("sgg_cd", "q", "visible").agg((F.sum("s") / F.sum("n")).alias("level"))
-    total = seen.groupBy("q", "visible").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("day")).alias("x"), F.sum(F.col("n") * F.col("day") * F.col("day")).alias("xx"), F.sum("s").alias("y"), F.sum(F.col("s") * F.col("day")).alias("xy"))
+    total = dong.groupBy("q", "visible").agg(F.sum("n").alias("t"), F.sum("x").alias("x"), F.sum("xx").alias("xx"), F.sum("s").alias("y"), F.sum("xy").alias("xy"))
     slope = F.try_divide(F.col("t") * F.col("xy") - F.col("x") * F.col("y"), F.col("t") * F.col("xx") - F.col("x") * F.col("x"))
     total = total.select("q", "visible", F.when(F.col("t") >= 30, F.coalesce(slope, F.lit(0.0))).otherwise(0.0).alias("slope"))
+    dong = dong.drop("x", "xx", "xy")
     out = dong.join(gu, ["sgg_cd", "q", "visible"]).join(F.broadcast(total), ["q", "visible"])
     return out.select("q", "visible", "dong", "n", (F.col("level") + (F.col("s") - F.col("n") * F.col("level")) / (F.col("n") + lam)).alias("log_index"), "slope")
 
 
 def revision_panel(provisional: DataFrame, last: int = 92) -> DataFrame:
     """Earlier views against the one of day `last`: the revision and what is known of it at the time."""
-    final = provisional.where(F.col("visible") == last).select("q", "dong", F.col("n").alias("n_final"), F.col("log_index").alias("final"))
-    rows = provisional.where(F.col("visible") < last).join(final, ["q", "dong"])
+    # The last view is read beside the earlier ones of its dong's quarter, not joined to them.
+    own, end = Window.partitionBy("dong", "q"), lambda c: F.when(F.col("visible") == last, F.col(c))
+    rows = provisional.repartition("dong").withColumn("n_final", F.max(end("n")).over(own)).withColumn("final", F.max(end("log_index")).over(own))
+    rows = rows.where((F.col("visible") < last) & F.col("n_final").isNotNull())
     before = Window.partitionBy("dong").orderBy("q", "visible").rowsBetween(-8, -1)
     typical = F.when(F.count("n_final").over(before) >= 2, F.avg("n_final").over(before))
     rows = rows.withColumn("typical", typical).where("typical is not null")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arealedger.operators import cluster, hedonic, ledger, neighbours, vintage
+from arealedger.operators import cluster, hedonic, ledger, neighbours, nowcast, vintage
 
 
 @pytest.mark.parametrize("box, digits, gaps", [(512, 12, False), (8, 12, False), (8, None, True)])
@@ -94,3 +94,14 @@ def test_windows_repeat_rows_after_they_are_dealt(spark):
         lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
         above = [a for a, b in zip(lines, lines[1:], strict=False) if "partial_percentile" in b or "partial_median" in b]
         assert above and not any("Exchange" in a for a in above)
+
+
+def test_provisional_sums_are_read_once(spark, monkeypatch):
+    """Rows are read once for the dongs', the gus' and the city's sums; the last view is no join."""
+    rows = spark.createDataFrame([("g", f"d{i % 3}", 8000 + i % 4, 1 + i % 90, float(i % 7)) for i in range(200)], "sgg_cd string, dong string, q int, day int, residual double")
+    kept, store = [], nowcast.stored
+    monkeypatch.setattr(nowcast, "stored", lambda df, label: kept.append(label) or store(df, label))
+    seen = nowcast.provisional_index(rows)
+    assert kept == ["provisional"] and "LogicalRDD" not in seen._jdf.queryExecution().optimizedPlan().toString()
+    out = nowcast.revision_panel(seen)
+    assert "SortMergeJoin [q" not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
