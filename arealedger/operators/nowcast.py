@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import index_se, shrink, unshrink
 from ..sources.store import stored
 from .forecast import known_before
-from .hedonic import hedonic_index
+from .hedonic import compressed_index
 
 #: Days of a quarter up to which sales are seen.
 VISIBLE_DAYS = (31, 46, 62, 77, 92)
@@ -93,16 +93,26 @@ def select_shrinkage(valid: DataFrame, lam: float = 5.0, splits: int = 3, least_
 
     The best lam is adopted if it betters the present one by `least_gain`. All halves are fitted in one grouped solve.
     """
-    of = F.when(F.col("_k") == 0, F.col("_sale")).otherwise(F.xxhash64("cell", "_k"))
     # Equal sales are told apart by a number, so that a half gets one as often as the other.
     each = valid.groupBy(*valid.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-    rows = each.withColumn("_sale", F.xxhash64(*valid.columns, "_i")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(splits)))).withColumn("_half", F.pmod(of, F.lit(2)))
-    fitted = hedonic_index(rows.withColumn("sgg_cd", F.concat_ws("#", "sgg_cd", "_k", "_half")), lam).where("n_sales > 0")
+    half = lambda *of: F.pmod(F.xxhash64(*of), F.lit(2))
+    # Sales are summed by cell, quarter and half first; what is repeated for each split are those sums.
+    sale = half(*valid.columns, "_i")
+    sums = each.withColumn("_half", sale).groupBy("cell", "sgg_cd", "dong", "q").agg(*[f(F.when(F.col("_half") == i, x)).alias(f"{c}{i}") for i in (0, 1) for f, x, c in ((F.count, F.lit(1), "n"), (F.sum, F.col("log_ppm2"), "s"))])
+    own = lambda k, h, n, s: F.struct(F.lit(k).alias("k"), h.cast("int").alias("half"), n.alias("n"), s.alias("s"))
+    whole = F.col("n0") + F.col("n1"), F.coalesce("s0", F.lit(0.0)) + F.coalesce("s1", F.lit(0.0))
+    parts = [own(0, F.lit(i), F.col(f"n{i}"), F.col(f"s{i}")) for i in (0, 1)] + [own(k, half("cell", F.lit(k)), *whole) for k in range(1, splits + 1)]
+    rows = sums.select("cell", "sgg_cd", "dong", "q", F.explode(F.array(*parts)).alias("p")).where("p.n > 0")
+    rows = rows.select("cell", F.concat_ws("#", "sgg_cd", "p.k", "p.half").alias("sgg_cd"), "dong", "q", "p.n", "p.s")
+    fitted = compressed_index(rows, lam).where("n_sales > 0")
     fitted = fitted.select("dong", "q", F.element_at(F.split("sgg_cd", "#"), -2).alias("k"), F.element_at(F.split("sgg_cd", "#"), -1).alias("half"), "n_sales", unshrink(F.col("dq_effect"), F.col("n_sales"), lam).alias("raw"))
+    fitted = stored(fitted, "halves")
     b = fitted.where("half = '1'").select("dong", "q", "k", F.col("raw").alias("other"))
     pair = fitted.where("half = '0'").join(b, ["dong", "q", "k"])
-    tried = pair.withColumn("lam", F.explode(F.array(*[F.lit(1 + x / 2) for x in range(31)])))
-    each = tried.groupBy("lam", "k").agg(F.avg(F.pow(F.col("raw") * F.col("n_sales") / (F.col("n_sales") + F.col("lam")) - F.col("other"), 2)).alias("mse"))
+    lams = [1 + x / 2 for x in range(31)]
+    error = lambda x: F.avg(F.pow(F.col("raw") * F.col("n_sales") / (F.col("n_sales") + F.lit(x)) - F.col("other"), 2))
+    tried = pair.groupBy("k").agg(*[error(x).alias(f"m{i}") for i, x in enumerate(lams)])
+    each = tried.select("k", F.explode(F.array(*[F.struct(F.lit(x).alias("lam"), F.col(f"m{i}").alias("mse")) for i, x in enumerate(lams)])).alias("t")).select("t.lam", "k", "t.mse")
     curve = each.groupBy("lam").agg(F.avg("mse").alias("mse"))
     pick = curve.agg(F.min_by("lam", F.struct("mse", "lam")).alias("best"), F.min("mse").alias("least"), F.max(F.when(F.col("lam") == lam, F.col("mse"))).alias("now"))
     pick = pick.select(F.when(F.col("now") / F.col("least") - 1 >= least_gain, F.col("best")).otherwise(F.lit(float(lam))).alias("adopt"))

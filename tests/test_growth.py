@@ -105,3 +105,34 @@ def test_provisional_sums_are_read_once(spark, monkeypatch):
     assert kept == ["provisional"] and "LogicalRDD" not in seen._jdf.queryExecution().optimizedPlan().toString()
     out = nowcast.revision_panel(seen)
     assert "SortMergeJoin [q" not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
+
+
+def test_vintages_store_no_squares(spark):
+    """Whatever the number of origins, what is written of a dong is its cells' sums."""
+    rows = [("c%d" % (i % 20), "g%d" % (i % 2), "d%d" % (i % 4), 8000 + i * 7 % 12, (i % 7) / 10) for i in range(600)]
+    valid = spark.createDataFrame(rows, "cell string, sgg_cd string, dong string, q int, log_ppm2 double")
+    kept, real = {}, hedonic.stored
+    try:
+        hedonic.stored = lambda df, label: kept.setdefault(label, real(df, label))
+        got = hedonic.hedonic_index(valid, origins=list(range(8003, 8012))).count()
+    finally:
+        hedonic.stored = real
+    squares = [k for k, df in kept.items() if "w" in df.columns or "origin" in df.columns and "dong" in df.columns]
+    assert got > 0 and not squares and kept["dongs"].count() == 4
+
+
+@pytest.mark.parametrize("cells", [20_000, 2])
+def test_shrinkage_equals_fits_of_all_halves(spark, monkeypatch, cells):
+    """Sums by half, split after the sales are summed, against each half's own fit; also where dongs come in parts."""
+    monkeypatch.setattr(hedonic, "CELLS", cells)
+    rng = random.Random(3)
+    rows = [(f"g{d % 2}", f"d{d}", f"d{d}_{rng.randrange(5)}", 8000 + rng.randrange(5), round(rng.gauss(0, 0.3), 1)) for d in range(6) for _ in range(90)]
+    valid = spark.createDataFrame(rows + rows[:7], "sgg_cd string, dong string, cell string, q int, log_ppm2 double")
+    got = {r["lam"]: r["mse"] for r in nowcast.select_shrinkage(valid, splits=1).collect()}
+    each = valid.groupBy(*valid.columns).count().withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).drop("count")
+    parts = each.withColumn("half", F.pmod(F.xxhash64(*valid.columns, "i"), F.lit(2))), each.withColumn("half", F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(2)))
+    fits = [[{(r["dong"], r["q"]): r for r in hedonic.hedonic_index(p.where(F.col("half") == h)).where("n_sales > 0").collect()} for h in (0, 1)] for p in parts]
+    for lam in (1.0, 5.0, 16.0):
+        raw = lambda r: r["dq_effect"] * (r["n_sales"] + 5) / r["n_sales"]
+        mse = [np.mean([(raw(a[k]) * a[k]["n_sales"] / (a[k]["n_sales"] + lam) - raw(b[k])) ** 2 for k in a.keys() & b.keys()]) for a, b in fits]
+        assert got[lam] == pytest.approx(np.mean(mse), abs=1e-9)
