@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, running_totals
-from .tokens import encoder, text_slices
+from .tokens import encoder, text_slices, trimmed
 
 #: The program ends once every length is covered so many times over (the result is scaled), or after ROUNDS rounds.
 PASSES, ROUNDS = 2, 400
@@ -23,6 +23,8 @@ PASSES, ROUNDS = 2, 400
 RATE, SLACK = 0.5, 1.0
 #: A round raises up to FAN patterns whose value is within NEAR of the best one's.
 FAN, NEAR = 32, 0.02
+#: Bytes of text whose ids are put together at once.
+SLICE = 1_500_000
 #: Times the program is solved, each time for what rounding left.
 RESOLVES = 4
 #: Parts of a rounding after each of which the closing is tried.
@@ -227,7 +229,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
         enc = encoder(path)
         for b in batches:
             keys, col = b.column(0).to_pylist(), b.column(1)
-            for lo, hi in text_slices(col):
+            for lo, hi in text_slices(col, SLICE):
                 ids, own = enc.flat(col.slice(lo, hi - lo))
                 raw, at, rows = memoryview(np.insert(ids, np.cumsum(own), end_id).astype("<u4").tobytes()), 0, []
                 for key, n in zip(keys[lo:hi], (own + 1).tolist(), strict=True):
@@ -237,7 +239,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
                 doc, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(items: DataFrame, size: int, order: tuple[str, ...]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, fresh, materialize
-from .tokens import sole, text_slices
+from .tokens import sole, text_slices, trimmed
 
 #: Labelled documents of each label, about, whose terms are counted.
 TRAIN_ROWS = 20_000
@@ -269,7 +269,7 @@ def with_scores(df: DataFrame, fit: Field, text: str, score: str, spans: str) ->
                     found.append(",".join(f"{w.start()}:{w.end()}" for w, k in zip(WORD.finditer(t), bad.tolist(), strict=True) if k) if bad.any() else "")
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(f.scores(m), pa.float64()), pa.array(found, pa.string())], names=[*b.schema.names, score, spans])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from arealedger.llm import tokens
 from arealedger.llm.bpe_codec import codec
 from arealedger.llm.tokens import Encoder, PieceCache
 
@@ -36,3 +37,12 @@ def test_a_full_cache_starts_anew():
     c = PieceCache(lambda x: [p * 2 for p in x], limit=3)
     for batch in (["a", "b"], ["b", "c", "d"], ["e", "f", "g", "h"]):
         assert all(c.ready(batch)[p] == p * 2 for p in batch)
+
+
+def test_a_worker_lets_go_of_freed_memory(monkeypatch):
+    """After a task, when the last batch is out, and not before."""
+    said = []
+    monkeypatch.setattr(tokens, "let_go", lambda: said.append("gone"))
+    for x in tokens.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2])):
+        said.append(x)
+    assert said == [2, 4, "gone"]
