@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_tables, fresh, materialize, small
-from .tokens import sole, text_slices
+from .tokens import sole, text_slices, trimmed
 
 #: Words in a shingle, and the likeness from which two documents are near copies.
 WORDS, LEAST = 5, 0.8
@@ -82,7 +83,7 @@ def common_elements(texts: DataFrame, words: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in b.column(0).slice(lo, hi - lo).to_pylist()]))], names=["token"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(SAMPLE)) == 0).select("text")
-    counts = materialize(some.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "near-often")
+    counts = materialize(some.mapInArrow(trimmed(run), "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "near-often")
     size = F.floor(F.log2("n") * 4).cast("int")  # counts grow by a fifth from class to class
     classes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("m")).orderBy(F.desc("size")).collect()
     least, total = None, 0
@@ -101,9 +102,9 @@ def same_row(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-def with_set(texts: DataFrame, words: int, least: Fraction, late: np.ndarray) -> DataFrame:
-    """(doc_id, th, node, size, early, map, prefix) of texts (doc_id, th, text): hash of a text's shingle set, its size, elements
-    that aren't late, parity map and prefix. Of rows with equal texts in a slice one is looked at."""
+def with_set(texts: DataFrame, words: int, least: Fraction, late: np.ndarray, fingerprint: Callable[[str], int] | None = None) -> DataFrame:
+    """(doc_id, th, node, size, early, fp, map, prefix) of texts (doc_id, th, text): hash of a text's shingle set, its size, elements
+    that aren't late, fingerprint (0 without a function), parity map and prefix. Of rows with equal texts in a slice one is looked at."""
     num, den = least.numerator, least.denominator
     sent = texts.sparkSession.sparkContext.broadcast(late)
 
@@ -113,7 +114,7 @@ def with_set(texts: DataFrame, words: int, least: Fraction, late: np.ndarray) ->
         sole(("shingles",), dict)
         for b in batches:
             for lo, hi in text_slices(b.column(2), SLICE):
-                node, size, early, maps, first = [], [], [], [], []
+                node, size, early, fp, maps, first = [], [], [], [], [], []
                 hashes = b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 at = np.sort(np.unique(hashes, return_index=True)[1])  # one row of each text
                 for t in b.column(2).slice(lo, hi - lo).take(pa.array(at)).to_pylist():
@@ -124,11 +125,12 @@ def with_set(texts: DataFrame, words: int, least: Fraction, late: np.ndarray) ->
                     ordered, n = in_order(s, sent.value)
                     first.append(ordered[: len(s) + (-num * len(s) // den) + 1].copy())
                     early.append(n)
-                made = [pa.array(np.array(node, np.uint64).view(np.int64), pa.int64()), pa.array(size, pa.int32()), pa.array(early, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(lo, hi - lo).take(pa.array(at)) for i in (0, 1)], *made], names=["doc_id", "th", "node", "size", "early", "map", "prefix"])
+                    fp.append(fingerprint(t or "") if fingerprint else 0)
+                made = [pa.array(np.array(node, np.uint64).view(np.int64), pa.int64()), pa.array(size, pa.int32()), pa.array(early, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(lo, hi - lo).take(pa.array(at)) for i in (0, 1)], *made], names=["doc_id", "th", "node", "size", "early", "fp", "map", "prefix"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, size int, early int, map array<bigint>, prefix array<bigint>")
+    return texts.select("doc_id", "th", "text").mapInArrow(trimmed(run), f"doc_id {kind}, th bigint, node bigint, size int, early int, fp bigint, map array<bigint>, prefix array<bigint>")
 
 
 def _prefix(size: Column, least: Fraction) -> Column:
@@ -184,7 +186,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, lat
 
     found = texts.alias("t").join(small(wanted).alias("w"), same_row("t", "w")).select("w.node", "w.b", "w.side", "t.text", "w.part")
     blocks = found.repartition("b", "part").sortWithinPartitions("b", "part", "side", "node")
-    out = materialize(blocks.mapInArrow(run, names).distinct(), "near-tried")
+    out = materialize(blocks.mapInArrow(trimmed(run), names).distinct(), "near-tried")
     drop_tables(pairs, wanted)
     return out
 
@@ -226,12 +228,12 @@ def pivot_pairs(rows: DataFrame, least: Fraction, outside: bool) -> DataFrame:
     return each.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
 
 
-def links(sets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: Fraction, late: np.ndarray) -> DataFrame:
+def links(sets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: Fraction, late: np.ndarray, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) links among sets (doc_id, th, node, size, map, prefix) that are alike, enough for all components; sets are used up.
 
     Alike sets share an element of their prefixes in any common order of elements. Here common elements go last, so that a
     line which many documents have gives no pairs unless a document has little else. Pairs are tried in rounds, those of one
-    component no more: first each set with one pivot, under its first elements, then under all of its prefix; at last sets of
+    component no more: first those that `near` gives of (node, fp), then each set with one pivot, under its first elements, then under all of its prefix; at last sets of
     different components under one element meet, as far as sizes, pivots, what prefixes share and parity maps allow.
     """
     spark = nodes.sparkSession
@@ -248,6 +250,8 @@ def links(sets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least
         drop_tables(tried, more)
         tried = both
 
+    if near is not None:
+        take(near(nodes.select("node", "fp")))
     rows = materialize(sets.select("node", "size", F.explode(F.slice("prefix", 1, FIRST)).alias("token")), "near-first")
     for k in range(EARLY):
         now = materialize(rooted(rows, found()), "near-rooted")
@@ -302,23 +306,24 @@ def all_pairs(rows: DataFrame, tried: DataFrame, least: Fraction) -> DataFrame:
     return shared.where(need(F.col("c") + F.col("unseen") + F.greatest(rest(F.col("an")), rest(F.col("bn"))))).select("a", "b").distinct()
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST, fingerprint: Callable[[str], int] | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with one row of each group of documents linked by a shingle likeness of `least` or more.
 
     It is the one with the smallest doc_id (a null one only where the group has no other), then the least text hash, then the
     least hash of the whole row. Likeness is exact: equal sets are one node, and no pair at `least` or above is missed. Null
     texts count as empty, and empty texts are alike. Columns of any name pass through; an empty table stays empty. Narrow
-    rows are shuffled, and of texts those whose sets are compared.
+    rows are shuffled, and of texts those whose sets are compared. near (a, b) of (node, fingerprint of its text) are the pairs
+    to be verified first; whatever they leave out is found by prefixes.
     """
     share = Fraction(least).limit_denominator(1000)
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = materialize(texts.select("doc_id", "th"), "near-docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("m")
     late = common_elements(texts, words)
-    sets = materialize(with_set(texts, words, share, late), "near-sets")
-    nodes = materialize(sets.groupBy("node").agg(first, F.first("size").alias("size"), F.first("map").alias("map")).select("node", "m.doc_id", "m.th", "size", "map"), "near-nodes")
+    sets = materialize(with_set(texts, words, share, late, fingerprint), "near-sets")
+    nodes = materialize(sets.groupBy("node").agg(first, F.first("size").alias("size"), F.first("map").alias("map"), F.min("fp").alias("fp")).select("node", "m.doc_id", "m.th", "size", "map", "fp"), "near-nodes")
     own = materialize(sets.select("node", "doc_id", "th"), "near-own")
-    found = links(sets, nodes, texts, words, share, late)
+    found = links(sets, nodes, texts, words, share, late, near)
     named = materialize(rooted(own, found), "near-roots")
     drop_tables(own, nodes, found)
     placed = materialize(rows.join(named.select("th", "root").distinct(), "th"), "near-placed")

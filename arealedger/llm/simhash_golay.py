@@ -153,10 +153,22 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (node, fp) whose fingerprints differ in 2 bits or fewer: a node with the least one of its own fingerprint,
+    and that one with the one of the smallest fingerprint that `links` joins to its own. So there is about a pair for each node."""
+    nodes = materialize(nodes, "simhash-near")
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("b"))
+    same = nodes.join(firsts, "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    next_to = links(firsts.select("fp")).groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("to"))
+    own = next_to.join(firsts.withColumnRenamed("b", "a"), "fp")
+    return same.union(own.select("a", F.col("to").alias("fp")).join(firsts, "fp").select("a", "b"))
+
+
 def keep_one_per_group(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest doc_id (among equal ids, one).
 
-    Groups are those of exact shingle likeness, `least` or more over `words` words; such copies differ in 3 to 11 bits
-    of a fingerprint as a rule, so op8's links at 2 bits would miss them.
+    Documents whose fingerprints meet under op8's Golay keys at 2 bits or fewer are verified first, by exact shingle likeness,
+    `least` or more over `words` words. Most such copies differ in 3 to 11 bits, so those that the keys miss are found exactly,
+    by the shingles themselves.
     """
-    return keep_one(docs, words, least)
+    return keep_one(docs, words, least, fingerprint, near_pairs)

@@ -224,6 +224,23 @@ def brute_groups(rows_, words=5, num=4, den=5):
     return sorted(min(g) for g in groups.values())
 
 
+def test_golay_keys_come_first(spark, monkeypatch):
+    """Near copies are looked for by fingerprints at 2 bits or fewer, a pair for each, before shingles find the rest."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = base + base[:5] + [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base[:20]] + [base[29] ^ 7]
+    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(prints)], "node bigint, fp bigint")
+    pairs = [(r["a"], r["b"]) for r in simhash_golay.near_pairs(nodes).collect()]
+    far = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    assert all(a != b and far(a, b) <= 2 for a, b in pairs) and len(pairs) == 25
+    assert {i for p in pairs for i in p} == {i for i in range(len(prints)) if any(j != i and far(i, j) <= 2 for j in range(len(prints)))}
+    met, real = [], simhash_golay.near_pairs
+    monkeypatch.setattr(simhash_golay, "near_pairs", lambda nodes: met.append(1) or real(nodes))
+    w = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w + ["end"])), (3, "other words")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash_golay.keep_one_per_group(df).collect()) == [1, 3] and met == [1]
+
+
 @pytest.mark.parametrize("spread", [2, 64])
 def test_near_copies_against_brute_force(spark, spread, monkeypatch):
     """Few texts to a block and no early rounds, so that blocks and full meetings are tried; then as used."""
