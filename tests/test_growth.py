@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arealedger.operators import cluster, hedonic, ledger, neighbours, nowcast, vintage
+from arealedger.operators import cluster, hedonic, ledger, neighbours, nowcast, vintage, windows
 
 
 @pytest.mark.parametrize("box, digits, gaps", [(512, 12, False), (8, 12, False), (8, None, True)])
@@ -136,3 +136,18 @@ def test_shrinkage_equals_fits_of_all_halves(spark, monkeypatch, cells):
         raw = lambda r: r["dq_effect"] * (r["n_sales"] + 5) / r["n_sales"]
         mse = [np.mean([(raw(a[k]) * a[k]["n_sales"] / (a[k]["n_sales"] + lam) - raw(b[k])) ** 2 for k in a.keys() & b.keys()]) for a, b in fits]
         assert got[lam] == pytest.approx(np.mean(mse), abs=1e-9)
+
+
+def test_ranks_of_a_large_group_are_spread(spark):
+    """Ties, a null group, a side that doesn't vary and null values, against plain Python; no task sorts a whole group."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["x", None]), float(rng.randrange(6)), rng.choice([None, *[round(rng.gauss(0, 1), 1) for _ in range(5)]])) for _ in range(500)] + [("flat", 1.0, float(i)) for i in range(5)]
+    got = windows.spearman(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"])
+    found = {r["g"]: (r["n"], r["spearman"]) for r in got.collect()}
+    rank = lambda v: [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+    for g in ("x", None):
+        own = [(a, b) for h, a, b in rows if h == g and b is not None]
+        assert found[g] == (len(own), pytest.approx(np.corrcoef(rank([a for a, _ in own]), rank([b for _, b in own]))[0, 1], abs=1e-12))
+    assert found["flat"] == (5, None) and len(found) == 3
+    over = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in line]
+    assert over and all("_part" in line for line in over)
