@@ -24,6 +24,33 @@ def test_encoder_equals_the_library(name):
         assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("limit", [0, 40, 10_000])
+def test_signs_behind_letters_and_full_caches(name, limit):
+    """Whatever is kept, ids are the library's: signs behind a letter, and letters whose composed form ends in a mark."""
+    e, rng = Encoder(P.path(name), limit), random.Random(2)
+    ends = ["", ".", ",", "!!", "'", "'s", "...!", "_", "?)", "\u0301."]
+    for _ in range(20):
+        some = [" ".join(rng.choice(["word", "Ça", "\u0958", "\u0130", "\ufb1d", "漢", "x1", "(a", "é", "µ", "-"]) * rng.randint(1, 3) + rng.choice(ends) for _ in range(30)) for _ in range(20)]
+        for t, got, want in zip(some, e.encode(some), e.tok.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
+
+
+def test_a_full_cache_keeps_what_it_knows():
+    """Frequent words aren't encoded again because rare ones come along; of a changed vocabulary the cache starts anew."""
+    e, asked = Encoder(P.path("word_bpe_49k.json"), 60), []
+    own = e._library
+    e._library = lambda pieces: asked.append(pieces) or own(pieces)
+    word = lambda i: "w" + "abcdefghij"[i // 100 % 10] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10]
+    for k in range(8):
+        e.encode([" ".join(word(i) for i in [*range(50), *range(100 + 20 * k, 120 + 20 * k)]) + "!!"])
+    assert sum("waaa" in x for x in asked) == 1 and len(e.place) <= 60 + 22
+    e.encode([" ".join(word(i) for i in range(500, 550))])
+    asked.clear()
+    e.encode([" ".join(word(i) for i in range(500, 550))])
+    assert not asked
+
+
 def test_own_bpe_equals_the_library():
     path = P.path("word_bpe_49k.json")
     lib, own = Encoder(path).tok, codec(path)
