@@ -262,13 +262,12 @@ def links(sets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least
     live = materialize(live_tokens(every), "near-live")
     rows = materialize(every.withColumn("late", F.col("place") >= F.col("early")).join(small(live), "token").select("token", "node", "size", "root", "late", (_prefix(F.col("size"), least) - F.least(_prefix(F.col("size"), least), "early")).alias("lates")), "near-shared")
     drop_tables(live, sets)
-    for k in range(PIVOTS):
-        now = materialize(rooted(rows.drop("root"), found()), "near-rooted")
-        take(pivot_pairs(now, least, True))
-        drop_tables(now)
-    now = materialize(rooted(rows.drop("root"), found()), "near-rooted")
-    take(all_pairs(now, tried, least))
-    drop_tables(now, rows)
+    for _ in range(PIVOTS):
+        take(pivot_pairs(rows, least, True))
+        before, rows = rows, materialize(rooted(rows.drop("root"), found()), "near-rooted")
+        drop_tables(before)
+    take(all_pairs(rows, tried, least))
+    drop_tables(rows)
     return found()
 
 

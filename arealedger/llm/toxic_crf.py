@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, fresh, materialize
-from .tokens import sole, text_slices, trimmed
+from .tokens import let_go, sole, text_slices, trimmed
 
 #: Labelled documents of each label, about, whose terms are counted.
 TRAIN_ROWS = 20_000
@@ -249,7 +249,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
         found = some.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "text", "toxic").collect()
         sample += sorted(found, key=lambda r: (r["doc_id"], r["text"]))
     drop_tables(rows)
-    return fit_field([r["text"] for r in sample], [r["toxic"] for r in sample], marks)
+    fit = fit_field([r["text"] for r in sample], [r["toxic"] for r in sample], marks)
+    del sample, found
+    let_go()  # the driver's Python is idle through the later stages
+    return fit
 
 
 def with_scores(df: DataFrame, fit: Field, text: str, score: str, spans: str) -> DataFrame:

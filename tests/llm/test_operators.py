@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arealedger.llm import bpe_codec, chat_rotation, config_packing, iso_media, label_propagation, permutation_minhash, secret_battery, shingle_groups, simhash_golay, toxic_crf, wavelet_tokens
+from arealedger.llm import bpe_codec, chat_rotation, common, config_packing, iso_media, label_propagation, permutation_minhash, secret_battery, shingle_groups, simhash_golay, toxic_crf, wavelet_tokens
 from arealedger.llm.common import connected_components, running_totals
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -296,6 +296,28 @@ def test_golay_links(spark, paired):
     assert {x: got.get(x, x) for x in v} == {x: find(x) for x in v}
 
 
+def test_components_of_a_path_take_one_query_a_round(spark, monkeypatch):
+    """A round's digest comes with its table; as rounds are many, their plans are what fills the driver."""
+    written, own = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: written.append(label) or own(df, label))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21), (30, 30)], "a bigint, b bigint")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    found = common.connected_components(edges, "t")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert len(written) > 2 and store.executionsCount() - before == len(written)
+    assert {r["node"]: r["root"] for r in found.collect()} == {i: 0 for i in range(13)} | {20: 20, 21: 20}
+    assert common.connected_components(edges.where("a = b"), "t").count() == 0
+
+
+def test_near_copies_look_for_components_once_a_change(spark, monkeypatch):
+    calls, own = [], shingle_groups.connected_components
+    monkeypatch.setattr(shingle_groups, "connected_components", lambda *a: calls.append(1) or own(*a))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(0, text), (1, text + " end"), (2, "x " + text), (3, "other words"), (4, None), (5, "")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in shingle_groups.keep_one(docs).collect()) == [0, 3, 4] and len(calls) == 4
+
+
 def test_golay_keys_are_shared():
     g, rng = simhash_golay.Golay(), random.Random(5)
     for _ in range(200):
