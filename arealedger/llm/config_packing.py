@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, running_totals
-from .tokens import encoder, text_slices, trimmed
+from .tokens import CACHE_PIECES, encoder, let_go, text_slices, trimmed
 
 #: The program ends once every length is covered so many times over (the result is scaled), or after ROUNDS rounds.
 PASSES, ROUNDS = 2, 400
@@ -222,14 +222,14 @@ def solve(counts: dict[int, int], size: int, resolves: int = RESOLVES) -> Plan:
     return Plan(patterns, sum(k for _, k in taken[: best[1]]), bound)
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, size: int, kept: int = CACHE_PIECES, most: int = SLICE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents in pieces of at most `size` ids, the first one shorter."""
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, kept)
         for b in batches:
             keys, col = b.column(0).to_pylist(), b.column(1)
-            for lo, hi in text_slices(col, SLICE):
+            for lo, hi in text_slices(col, most):
                 ids, own = enc.flat(col.slice(lo, hi - lo))
                 raw, at, rows = memoryview(np.insert(ids, np.cumsum(own), end_id).astype("<u4").tobytes()), 0, []
                 for key, n in zip(keys[lo:hi], (own + 1).tolist(), strict=True):
@@ -238,6 +238,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
                     at += n
                 doc, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            let_go()
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -268,11 +269,12 @@ def pack(items: DataFrame, size: int, order: tuple[str, ...]) -> DataFrame:
     return ranked.join(F.broadcast(table), on).select(*items.columns, (F.col("_base") + F.floor(inside / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_at") + F.pmod(inside, F.col("_each")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, kept: int = CACHE_PIECES, most: int = SLICE) -> DataFrame:
     """One row per piece of each document row (doc_id of bigint); an empty or null text is a piece of the end id alone.
 
     Rows that repeat a doc_id are packed as documents of their own; pieces of equal length are interchangeable, so which
-    of them stands where follows doc_id (null first), piece and checksum. Other columns are not looked at.
+    of them stands where follows doc_id (null first), piece and checksum. Other columns are not looked at. `kept` pieces of text
+    that a worker knows and `most` bytes encoded at once trade time for memory and change no result.
     """
-    cut = materialize(pieces(docs, path, end_id, size), "packing-pieces")
+    cut = materialize(pieces(docs, path, end_id, size, kept, most), "packing-pieces")
     return pack(cut, size, ("doc_id", "piece", "ids_crc32"))

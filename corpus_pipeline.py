@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arealedger.llm.common import documents, materialize
+from arealedger.llm.common import documents, materialize, small_batches
 from arealedger.llm.config_packing import pack_documents
 from arealedger.llm.queries import table, tokenizer
 from arealedger.llm.secret_battery import redact
 from arealedger.llm.simhash_golay import keep_one_per_group
 from arealedger.llm.toxic_crf import drop_toxic
 
+#: Packing meets executors whose heap the earlier stages have filled, so its workers keep fewer pieces and take smaller slices than op9's.
+KEPT, SLICE = 100_000, 600_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field of labelled rows doesn't reject.
 
     Null and empty texts have no sign and stay. Equal rows share their fate; all columns pass through; an empty table stays empty.
     """
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+    with small_batches(spark):
+        return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The smallest doc_id stays (a null one only where there is no other), then the least text hash. Null and empty texts are
     copies of each other. Of repeated rows one stays; all columns pass through; an empty table stays empty.
     """
-    return keep_one_per_group(docs)
+    with small_batches(spark):
+        return keep_one_per_group(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +47,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are a piece of the end id alone; repeated rows are packed each; an empty table gives an empty one.
     """
-    return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    with small_batches(spark):
+        return pack_documents(docs, tokenizer("byte_bpe_50k.json"), kept=KEPT, most=SLICE)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]

@@ -73,3 +73,29 @@ def test_a_worker_lets_go_of_freed_memory(monkeypatch):
     for x in tokens.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2])):
         said.append(x)
     assert said == [2, 4, "gone"]
+
+
+def test_pipeline_hands_texts_to_python_in_small_batches(spark):
+    """400 texts of 100 kB were one batch, which an executor and its worker hold twice each."""
+    import pyarrow as pa
+
+    from arealedger.llm.common import BATCH, BATCH_KEY, small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    before = spark.conf.get(BATCH_KEY)
+    with small_batches(spark):
+        got = spark.range(0, 400, 1, 1).selectExpr("repeat('ab cd', 20000) AS text").mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in got) == 400 and max(r["size"] for r in got) < BATCH + 200_000
+    assert spark.conf.get(BATCH_KEY) == before
+
+
+def test_packing_is_the_same_with_little_memory(spark):
+    from arealedger.llm import config_packing
+    from arealedger.llm.queries import tokenizer
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 97} r{k}." for k in range(i * 7))) for i in range(60)] + [(60, None)], "doc_id bigint, text string")
+    both = [sorted(map(tuple, config_packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), size=64, **more).collect())) for more in ({}, {"kept": 20, "most": 100})]
+    assert both[0] == both[1] and len(both[0]) > 100
