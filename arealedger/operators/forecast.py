@@ -23,6 +23,10 @@ from .hedonic import drawn
 from .windows import origins_before, shifted, spearman, weighted_quantile
 
 
+#: Rows of a fit that a task takes at least, where there are as many.
+TASK_ROWS = 50_000
+
+
 def moments(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
     """Counts and sums by group of what a ridge fit needs; a null x counts in no mean and as 0 elsewhere."""
     zero = {x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in xs}
@@ -121,7 +125,7 @@ def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_ori
     """(h, q, dong, pred, n_train, label_vintage) of panel (h, q, dong, xs, y): for every horizon h and origin q gradient-boosted
     trees fitted on the rows whose target was known then, s + h <= q.
 
-    Every fit reads the one stored panel, `abreast` of them at a time. An origin without `least_origins` known origins or
+    Every fit reads its own horizon and origins of the one stored panel, `abreast` of them at a time. An origin without `least_origins` known origins or
     `least_rows` known rows has no forecast. Missing features count as 0, rows without y teach nothing but get forecasts.
     label_vintage is the last quarter that a label of the fit needed. Fits see all their rows, so they don't depend on how a
     table is laid out.
@@ -131,7 +135,7 @@ def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_ori
 
     spark = panel.sparkSession
     made = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(panel.select("h", "q", "dong", F.col(y).cast("double").alias("_y"), *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in xs]))
-    rows = stored(made.select("h", "q", "dong", "_y", "_x"), "boosted-panel")
+    rows = stored(made.select("h", "q", "dong", "_y", "_x").repartitionByRange("h", "q", "dong"), "boosted-panel", ["h", "q"])
     sizes = rows.groupBy("h", "q").agg(F.count("_y").alias("n")).collect()  # one row for each horizon and origin
     learner = GBTRegressor(featuresCol="_x", labelCol="_y", lossType=loss, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, predictionCol="pred")
 
@@ -140,7 +144,7 @@ def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_ori
         n = sum(r["n"] for r in known)
         if len(known) < least_origins or n < least_rows:
             return None
-        model = learner.fit(rows.where((F.col("h") == h) & (F.col("q") + h <= q) & F.col("_y").isNotNull()))
+        model = learner.fit(rows.where((F.col("h") == h) & (F.col("q") <= q - h) & F.col("_y").isNotNull()).coalesce(n // TASK_ROWS + 1))
         out = model.transform(rows.where((F.col("h") == h) & (F.col("q") == q))).select("h", "q", "dong", "pred")
         return stored(out.withColumns({"n_train": F.lit(n).cast("long"), "label_vintage": F.lit(max(r["q"] for r in known) + h)}), "boosted")
 
