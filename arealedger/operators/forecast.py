@@ -127,8 +127,8 @@ def rolling_boosted(panel: DataFrame, xs: Sequence[str], y: str = "y", least_ori
 
     Every fit reads its own horizon and origins of the one stored panel, `abreast` of them at a time. An origin without `least_origins` known origins or
     `least_rows` known rows has no forecast. Missing features count as 0, rows without y teach nothing but get forecasts.
-    label_vintage is the last quarter that a label of the fit needed. Fits see all their rows, so they don't depend on how a
-    table is laid out.
+    label_vintage is the last quarter that a label of the fit needed. Fits see all their rows; above
+    10,000 of them Spark draws a tree's thresholds from a sample, which hangs on how rows lie in files.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
